@@ -8,6 +8,7 @@ import importlib
 OPERATORS = {
     3: ("sharding", "op3_sharding"),
     5: ("decontam", "op5_decontamination"),
+    6: ("bpe", "op6_bpe"),
 }
 
 
