@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowio import pieces
+from .arrowio import arrow_map, pieces
 from .util import read
 
 #: Fixed value: the Unicode property White_Space.
@@ -196,7 +196,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             ids = [encoder.encode(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())], names=["id", "token_ids", "decoded"])
 
-    return slim.mapInArrow(run, f"id {id_type}, token_ids binary, decoded string")
+    return arrow_map(slim, run, f"id {id_type}, token_ids binary, decoded string")
 
 
 def default_path() -> str:

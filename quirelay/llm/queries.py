@@ -7,6 +7,7 @@ import importlib
 #: operator number: (module, query function)
 OPERATORS = {
     3: ("sharding", "op3_sharding"),
+    4: ("setsketch", "op4_setsketch"),
     5: ("decontam", "op5_decontamination"),
     6: ("bpe", "op6_bpe"),
 }
