@@ -10,6 +10,7 @@ OPERATORS = {
     4: ("setsketch", "op4_setsketch"),
     5: ("decontam", "op5_decontamination"),
     6: ("bpe", "op6_bpe"),
+    9: ("licenses", "op9_licenses"),
 }
 
 
