@@ -6,6 +6,8 @@ import importlib
 
 #: operator number: (module, query function)
 OPERATORS = {
+    1: ("toxicity", "op1_toxicity"),
+    2: ("langid", "op2_language_id"),
     3: ("sharding", "op3_sharding"),
     4: ("setsketch", "op4_setsketch"),
     5: ("decontam", "op5_decontamination"),
