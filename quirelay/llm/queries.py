@@ -12,6 +12,7 @@ OPERATORS = {
     4: ("setsketch", "op4_setsketch"),
     5: ("decontam", "op5_decontamination"),
     6: ("bpe", "op6_bpe"),
+    7: ("pii", "op7_personal_data"),
     9: ("licenses", "op9_licenses"),
 }
 
