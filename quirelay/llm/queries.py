@@ -14,6 +14,7 @@ OPERATORS = {
     6: ("bpe", "op6_bpe"),
     7: ("pii", "op7_personal_data"),
     9: ("licenses", "op9_licenses"),
+    10: ("linededup", "op10_line_dedup"),
 }
 
 
