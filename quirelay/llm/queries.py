@@ -13,6 +13,7 @@ OPERATORS = {
     5: ("decontam", "op5_decontamination"),
     6: ("bpe", "op6_bpe"),
     7: ("pii", "op7_personal_data"),
+    8: ("media", "op8_media"),
     9: ("licenses", "op9_licenses"),
     10: ("linededup", "op10_line_dedup"),
 }
