@@ -15,6 +15,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import containment as C
 from ..operators import detections as D
+from ..ship import ship
 from ..sources.dims import CLASSES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,7 @@ ROUND = "CAST(floor({} + 0.5) AS BIGINT)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1 +1,173 @@
-"""Queries of operators that SQL can't express; tests compare them with plain Python."""
+"""Queries of operators that SQL can't express; tests compare them with plain Python.
+
+Pages here are eight neighbouring orders, so every row of the table is on some page and pages stay small.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import blocks as B
+from ..operators import order as O
+from ..operators import raster as R
+from ..sources import images as I
+from .catalog import det, query, read
+
+
+def pages(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").withColumn("page_id", F.floor(F.col("l_orderkey") / 8).cast("long"))
+    order = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+    part, q = F.col("l_partkey"), F.col("l_quantity")
+    block = (part % 17).isin(0, 7, 15)
+    return line.select(
+        "page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy(*order)) - 1).cast("long").alias("det_idx"), (part % 17).cast("long").alias("class_idx"), (F.col("l_discount") * 10).alias("conf"),
+        ((part * 37) % 1000).cast("long").alias("x1"), ((F.col("l_suppkey") * 53) % 1400).cast("long").alias("y1"),
+        F.when(block, 150 + q * 6).otherwise(20 + q * 3).cast("long").alias("w"), F.when(block, 150 + q * 6).otherwise(12 + q % 20).cast("long").alias("h"),
+    )
+
+
+def lines(spark, sf_dir):
+    return pages(spark, sf_dir).where(~F.col("class_idx").isin(0, 7, 15))
+
+
+@query()
+def xy_cut_order(spark, sf_dir):
+    """G5, G6 to G6e, A6, A7, A13, A14, J8, O1, O5, W1."""
+    return O.page_order(lines(spark, sf_dir)).select("page_id", "det_idx", "ord")
+
+
+@query()
+def tolerance_sort(spark, sf_dir):
+    """O2."""
+    return O.tolerance_sorted(lines(spark, sf_dir)).select("page_id", "det_idx", "line_pos")
+
+
+@query()
+def dedup_lines(spark, sf_dir):
+    """W2 after O2."""
+    return O.deduplicated(lines(spark, sf_dir)).select("page_id", "det_idx", "line_pos")
+
+
+@query()
+def warichu_groups(spark, sf_dir):
+    """J7, F24."""
+    return O.grouped_notes(lines(spark, sf_dir)).select("page_id", "det_idx", "note_group")
+
+
+@query()
+def page_sort(spark, sf_dir):
+    """Pages in reading order."""
+    return O.page_sorted(O.page_order(lines(spark, sf_dir))).select("page_id", "det_idx", "line_pos")
+
+
+@query()
+def smooth_order(spark, sf_dir):
+    """G9, G9a."""
+    return O.page_sorted(O.page_order(lines(spark, sf_dir)), smooth=True).select("page_id", "det_idx", "line_pos")
+
+
+@query()
+def block_merge(spark, sf_dir):
+    """J5, J6."""
+    return B.merged_blocks(pages(spark, sf_dir)).select("page_id", "det_idx", "alive", F.size("members").alias("n_members"))
+
+
+@query()
+def page_elements(spark, sf_dir):
+    """G1, G2 to G2d, O8."""
+    return B.page_elements(pages(spark, sf_dir))
+
+
+@query()
+def line_numbers(spark, sf_dir):
+    """Lines in document order with their parents."""
+    e = B.page_elements(pages(spark, sf_dir))
+    up = B.parents(e).select("page_id", "section", "pos", "child", "parent")
+    return B.line_elements(e).join(up, ["page_id", "section", "pos", "child"], "left").select("page_id", "line_no", "det_idx", "parent")
+
+
+@query()
+def xml_export(spark, sf_dir):
+    """K2, T9, T10, T12."""
+    return B.page_xml(B.page_elements(pages(spark, sf_dir)), 1000, 1400)
+
+
+def tiles(spark, sf_dir):
+    """Vectors as pictures of 4 by 4 RGBA pixels."""
+
+    @F.pandas_udf("binary")
+    def content(e: pd.Series) -> pd.Series:
+        return e.map(lambda v: (np.floor(np.abs(np.asarray(v)) * 255).astype(np.int64) % 256).astype(np.uint8).tobytes())
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", content("embedding").alias("content"), F.lit(4).alias("width"), F.lit(4).alias("height"))
+
+
+def _digest(image):
+    return [image["width"].alias("width"), image["height"].alias("height"), F.md5(image["content"]).alias("digest")]
+
+
+@query()
+def raster_crop(spark, sf_dir):
+    """R-a, R-b, D4."""
+    c = R.cropped(F.col("content"), F.col("width"), F.col("height"), F.lit(1), F.lit(0), F.lit(5), F.lit(3))
+    return tiles(spark, sf_dir).select("vec_id", c.alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
+@query()
+def raster_letterbox(spark, sf_dir):
+    """R-c."""
+    return tiles(spark, sf_dir).select("vec_id", R.image_udf(lambda a: R.letterboxed(a, 16))("content", "width", "height").alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
+@query()
+def raster_upright(spark, sf_dir):
+    """R-d."""
+    return tiles(spark, sf_dir).select("vec_id", R.image_udf(lambda a: R.upright(a[:, :2], 24, 4))("content", "width", "height").alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
+@query()
+def raster_warp(spark, sf_dir):
+    """R-l, R-m, R-n, D5."""
+    m = R.homography([(0, 0), (3, 0), (3, 3), (0, 3)], [(0, 0), (7, 1), (6, 7), (1, 6)])
+    return tiles(spark, sf_dir).select("vec_id", R.image_udf(lambda a: R.warped(a, m, 8, 8))("content", "width", "height").alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
+@query()
+def png_encode(spark, sf_dir):
+    """K6."""
+
+    @F.pandas_udf("binary")
+    def png(content: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([I.encode_png(c, w, h) for c, w, h in zip(content, width, height)])
+
+    b = png("content", "width", "height")
+    return tiles(spark, sf_dir).select("vec_id", b.alias("b")).select("vec_id", F.octet_length("b").alias("n_bytes"), F.hex(F.substring("b", 1, 8)).alias("mark"))
+
+
+@query()
+def recognise_stub(spark, sf_dir):
+    """R-h, R-j, R-k, R-o, U2: the model interface with a stub that reads mean values."""
+
+    def provider():
+        def model(batch: pd.DataFrame) -> pd.DataFrame:
+            crops = [R.pixels(c, w, h) for c, w, h in zip(batch.content, batch.width, batch.height)]
+            texts = R.recognise_lines(crops, lambda x: ["".join(chr(97 + int(v) % 26) for v in a.mean(axis=(0, 2))) * (30 if a.shape[1] == 4 and a.sum() % 2 else 1) for a in x])
+            return pd.DataFrame({"vec_id": batch.vec_id, "text": texts})
+
+        return model
+
+    return R.infer(tiles(spark, sf_dir), provider, "vec_id long, text string")
+
+
+@query()
+def regex_flags(spark, sf_dir):
+    """T1 with the flag y (sticky), which runs as a pandas UDF."""
+    from ..functions.text import Rule, clean
+
+    return read(spark, sf_dir, "documents").select("doc_id", clean(spark, F.col("text"), [Rule("[A-Z]", "", "gy")]).alias("text_clean"))
+
+
+__all__ = ["det"]

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +35,22 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path).select(img["origin"].alias("image_id"), img["width"].alias("width"), img["height"].alias("height"), rgba(img["data"], img["nChannels"]).alias("content"))
 
 
-@F.pandas_udf("binary")
-def rgba(data, channels):
+def rgba(data: Column, channels: Column) -> Column:
     """BGR or BGRA or grey bytes to RGBA."""
-    out = []
-    for d, c in zip(data, channels):
-        a = np.frombuffer(d, np.uint8).reshape(-1, c)
-        full = np.full((len(a), 4), 255, np.uint8)
-        full[:, :3] = a[:, [2, 1, 0]] if c >= 3 else a[:, :1]
-        if c == 4:
-            full[:, 3] = a[:, 3]
-        out.append(full.tobytes())
-    return type(data)(out)
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for d, c in zip(data, channels):
+            a = np.frombuffer(d, np.uint8).reshape(-1, c)
+            full = np.full((len(a), 4), 255, np.uint8)
+            full[:, :3] = a[:, [2, 1, 0]] if c >= 3 else a[:, :1]
+            if c == 4:
+                full[:, 3] = a[:, 3]
+            out.append(full.tobytes())
+        return pd.Series(out)
+
+    return run(data, channels)
 
 
 def data_url_bytes(url: Column) -> Column:
