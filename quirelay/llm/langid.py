@@ -153,9 +153,17 @@ def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if least is None:
         return None
     sample = keyed.where(h <= least).select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.col(text_col).alias("text")).where("text is not null")
-    rows = arrow_map(sample, featurised, "lang string, h long, buckets array<int>, counts array<float>").limit(sample_rows).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["h"], r["lang"], r["buckets"]))
-    return train([(r["lang"], np.array(r["buckets"], np.int64), np.array(r["counts"], np.float32)) for r in rows])
+    table = arrow_map(sample, featurised, "lang string, h long, buckets array<int>, counts array<float>").limit(sample_rows).toArrow().combine_chunks()
+    if not len(table):
+        return None
+    # Views of the Arrow buffers: numbers never become Python objects.
+    column = lambda name: table.column(name).combine_chunks() if table.column(name).num_chunks != 1 else table.column(name).chunk(0)
+    at = column("buckets").offsets.to_numpy()
+    buckets, counts = column("buckets").values.to_numpy(), column("counts").values.to_numpy()
+    langs, h = table.column("lang").to_pylist(), table.column("h").to_numpy()
+    size = np.diff(at)
+    order = np.lexsort((size, np.unique(langs, return_inverse=True)[1], h))
+    return train([(langs[i], buckets[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]) for i in order])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
