@@ -272,7 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = durable(_streamed(_block_pairs(rest, BLOCK), _taking_part(percent), "key long, i int, j int, block int, rep long, label long"), "taking-part")
     more = durable(_streamed(part.join(sets, "rep"), _spanning(percent), "a long, b long"), "more-links")
     final = durable(components(links.union(more)), "components")
-    return named.join(final, named["rep"] == final["vertex"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class"), F.coalesce("component", "rep", "id").alias("component"))
+    own = F.col("id").isNotNull()
+    found = named.join(final, named["rep"] == final["vertex"], "left")
+    return found.select("id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("rep", "id")).alias("class"), F.when(own, F.coalesce("component", "rep", "id")).alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
