@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..ship import ship
+
 #: Bytes of text handled at once; a single longer text is a piece of its own.
 PIECE = 4 << 20
 
@@ -49,21 +48,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
-_shipped: dict[str, str] = {}
-
-
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package sent along, for executors on which it isn't installed."""
-    sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _shipped:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="quirelay-code-"), "quirelay.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(path)
-        _shipped[sc.applicationId] = path
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -8,8 +8,9 @@ words toxic), and in next to no other text. It is put into a trie. A word matche
 - as a misspelling, if the Levenshtein automaton of the word (one edit, a swap of neighbours included) and
   the trie, walked together, reach an accepted term of five letters or more. Terms are also compared with
   usual digits and signs for letters undone. Terms of which some sample text that isn't toxic has a
-  neighbour are matched exactly alone. A word that shares neither the first half nor the second half
-  of any term can't be within one edit and isn't walked.
+  neighbour are matched exactly alone. A word that shares neither
+  the first half (border letter swapped included) nor the second half of any term can't be within one edit
+  and isn't walked.
 
 Each match has a context window: if there are quotation marks on both sides of it within ``WINDOW``
 characters, or a word of reporting near before it, it counts as quotation, else as abuse. A logistic
@@ -62,8 +63,10 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = "stem" if stem or node.get("") == "stem" else "term"
             if not stem and len(text) >= 5 and text not in alone:
-                self.heads.add(text[: len(text) // 2])
-                self.tails.add(text[len(text) // 2 :])
+                half = len(text) // 2
+                # An edit leaves one half whole, or swaps the letters at their border.
+                self.heads |= {text[:half], text[: half - 1] + text[half]}
+                self.tails.add(text[half:])
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
 
     def exact(self, word: str) -> bool:
