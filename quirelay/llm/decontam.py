@@ -110,9 +110,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without its contaminated rows, all columns kept."""
-    bad = decontaminate(docs, items, id_col=id_col, **options).where("contaminated").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    """``docs`` without its contaminated rows, all columns kept; rows are told apart by id and text."""
+    text_col = options.get("text_col", "text")
+    keyed = docs.withColumn("__h", F.xxhash64(text_col))
+    bad = decontaminate(keyed, items, id_col=id_col, carry=["__h"], **options).where("contaminated").select(F.col("id").alias("__bad"), F.col("__h").alias("__bad_h")).distinct()
+    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["__bad"]) & (keyed["__h"] == bad["__bad_h"]), "left_anti").select(*docs.columns)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ its rows, and words met before are looked up in a table of bounded size.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and is rejected; without any
 labelled row to learn from every text is ``und``; languages of the sample alone can be predicted; equal
-rows are returned each; further columns are passed through.
+rows are returned each; further columns are passed through, but for those with the names of the appended ones.
 """
 
 from __future__ import annotations
@@ -168,6 +168,7 @@ def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
     """``docs`` with ``{prefix}pred``, ``{prefix}score`` and ``{prefix}rejected`` appended."""
+    docs = docs.drop(*{f"{prefix}{x}" for x in ("pred", "score", "rejected")} - {text_col})
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else model.__dict__)
     names = [c for c in docs.columns]
 

@@ -75,6 +75,8 @@ def test_decontamination(spark):
         assert got == brute(docs, items)
     clean = {r["doc_id"] for r in D.clean_documents(frame, bench).collect()}
     assert clean == {i for i, t in docs if i is not None and not dict((x[0], x[4]) for x in brute(docs, items))[i]}
+    same_id = spark.createDataFrame([(None, "q r s t u v w x y z a b c"), (None, "clean"), (1, "clean"), (1, "q r s t u v w x y z a b c")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in D.clean_documents(same_id, bench).collect()) == [(0, "clean"), (1, "clean")]
     assert D.decontaminate(frame, bench.limit(0)).where("n_hit > 0").count() == 0 and D.decontaminate(frame.limit(0), bench).count() == 0
     plan = D.decontaminate(frame, bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
