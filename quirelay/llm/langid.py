@@ -62,9 +62,9 @@ def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = letters(text)
             sums = np.bincount(np.concatenate([table[w] for w in found]), minlength=BUCKETS) if found else np.zeros(1, np.int64)
             used = np.flatnonzero(sums)
-            ids.append(used.astype(np.int32))
+            ids.append(used.astype(np.int16))
             counts.append(sums[used].astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "h", "buckets", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(ids, pa.list_(pa.int16())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "h", "buckets", "counts"])
 
 
 class Model:
@@ -93,8 +93,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
     bias = np.zeros(len(langs), np.float32)
     fit = [i for i in range(len(rows)) if i % 4] or list(range(len(rows)))
     check = [i for i in range(len(rows)) if i % 4 == 0]
-    shares = [r[2] / r[2].sum() for r in rows]
-    hidden = lambda i: shares[i] @ table[rows[i][1]]
+    share = lambda i: rows[i][2] / rows[i][2].sum()
+    hidden = lambda i: share(i) @ table[rows[i][1]]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.01
         order = rng.permutation(fit)
@@ -109,9 +109,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
             soft -= step * (h.T @ p) / len(batch) * 4
             bias -= step * p.mean(axis=0)
             for k, i in enumerate(batch):
-                table[rows[i][1]] -= (step * 20) * np.outer(shares[i], back[k])
+                table[rows[i][1]] -= (step * 20) * np.outer(share(i), back[k])
     scores = (table @ soft).astype(np.float64)
-    logits = np.stack([shares[i] @ scores[rows[i][1]] + bias for i in check])
+    logits = np.stack([share(i) @ scores[rows[i][1]] + bias for i in check])
     truth = y[check]
     best, temperature = np.inf, 1.0
     for t in np.geomspace(0.05, 20, 60):
@@ -153,17 +153,18 @@ def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if least is None:
         return None
     sample = keyed.where(h <= least).select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.col(text_col).alias("text")).where("text is not null")
-    table = arrow_map(sample, featurised, "lang string, h long, buckets array<int>, counts array<float>").limit(sample_rows).toArrow().combine_chunks()
-    if not len(table):
-        return None
-    # Views of the Arrow buffers: numbers never become Python objects.
-    column = lambda name: table.column(name).combine_chunks() if table.column(name).num_chunks != 1 else table.column(name).chunk(0)
-    at = column("buckets").offsets.to_numpy()
-    buckets, counts = column("buckets").values.to_numpy(), column("counts").values.to_numpy()
-    langs, h = table.column("lang").to_pylist(), table.column("h").to_numpy()
-    size = np.diff(at)
-    order = np.lexsort((size, np.unique(langs, return_inverse=True)[1], h))
-    return train([(langs[i], buckets[at[i] : at[i + 1]], counts[at[i] : at[i + 1]]) for i in order])
+    table = arrow_map(sample, featurised, "lang string, h long, buckets array<short>, counts array<float>").limit(sample_rows).toArrow()
+    # Views of the Arrow buffers, batch by batch: numbers are neither copied nor made Python objects.
+    rows = []
+    for batch in table.to_batches():
+        buckets, counts = batch.column("buckets"), batch.column("counts")
+        at, ids, values = buckets.offsets.to_numpy(), buckets.values.to_numpy(), counts.values.to_numpy()
+        rows += [(h, lang, ids[a:b], values[a:b]) for h, lang, a, b in zip(batch.column("h").to_pylist(), batch.column("lang").to_pylist(), at, at[1:])]
+    rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    model = train([r[1:] for r in rows])
+    del table, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
