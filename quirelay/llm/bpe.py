@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -102,6 +103,7 @@ class Encoder:
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.letters = byte_letters()
         self.arcs: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
         self.chunks = Chunks(self)
         self.labels = {**automaton.labels, **{i: t for t, i in added.items()}}
 
@@ -113,10 +115,9 @@ class Encoder:
         longest = self.automaton.longest
         for i in range(1, n + 1):
             tail = END if i == n else ""
-            for j in range(max(0, i - longest), i):
-                if j and not size[j]:
-                    continue
-                x = vocab.get(letters[j:i] + tail)
+            # One token fits at most, so the order of trying is free; short tokens are the usual ones.
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
+                x = vocab.get(letters[j:i] + tail) if tail else vocab.get(letters[j:i])
                 if x is None:
                     continue
                 if j == 0:
@@ -143,10 +144,17 @@ class Encoder:
         """Little-endian 32-bit ids of a text without white space."""
         norm = raw if raw.isascii() or unicodedata.is_normalized("NFC", raw) else unicodedata.normalize("NFC", raw)
         norm = norm.lower() if norm.isascii() else "".join(c.lower() for c in norm)
-        ids = []
+        out = []
         for piece in self.split.findall(norm):
-            ids += self.word("".join(map(self.letters.__getitem__, piece.encode())))
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+            found = self.pieces.get(piece)
+            if found is None:
+                found = struct.pack(f"<{len(ids)}I", *ids) if (ids := self.word(piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode())))) else b""
+                if len(piece) <= 40:
+                    if len(self.pieces) >= CHUNKS:
+                        self.pieces.clear()
+                    self.pieces[piece] = found
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if self.added_split and "<" in text:
