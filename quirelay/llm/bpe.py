@@ -25,6 +25,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -183,6 +184,7 @@ class Chunks(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
 def load(path: str) -> tuple[MergeAutomaton, dict[str, int], str]:
     """Compile a tokenizer file: its merges, its added tokens and its splitting pattern."""
     with open(path, encoding="utf-8") as f:
