@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks that an earlier document has go; a document of which nothing else remains goes as well."""
-    out = linededup.without_shared_lines(docs).where((F.col("removed_lines") == 0) | (F.col("text") != ""))
+    """Runs of lines that an earlier document has go; a document of which nothing else remains goes as well."""
+    out = linededup.without_copied_runs(docs).where((F.col("removed_lines") == 0) | (F.col("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -44,7 +44,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe_encoding", bpe_encoding)]
 
-#: Patience alignment, registers and the trained model have no SQL form; tests/llm compare with brute force.
+#: Line runs, registers and the trained model have no SQL form; tests/llm compare with brute force.
 ORACLE_SQL = None
 
 

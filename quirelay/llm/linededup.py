@@ -1,31 +1,37 @@
-"""Line dedup by pairwise alignment.
-
-A line that stands in several documents pairs each later document with the first one that has it, however
-many there are, so pairs grow with the lines and not with the square of a group. For each pair the shared
-lines are aligned as patience diff does: lines unique in both documents are anchors, and the longest
-sequence of anchors that rises in both is kept. A line met again in one document counts as a different line (its
-number of occurrence is part of its key), so every shared line is an anchor. Runs of aligned lines that
-follow each other in both documents are blocks; blocks of at least ``min_words`` words are deleted from the
-later document.
-
-Lines are compared by 128-bit hashes of their whole text; a task sees the shared lines of one document at
+"""Line dedup: lines of an earlier document go from the later one.
+
+:func:`without_copied_runs` does the whole job. A line goes if it stands in a run of consecutive lines of at
+least ``min_words`` words that an earlier document, any of them, holds as consecutive lines too. That is the union of
+the blocks of all alignments with all earlier documents, and it needs no pairs: such a run around a line
+can be shortened from its ends to one that has just enough words from its first line on, or from its last line
+backwards, and that holds the line still. So each line opens one run and closes one, the least document that has a run
+is a minimum by key, and a line goes if one of its runs has an earlier holder. Lines that repeat within a document
+are nothing special, and a run that was moved goes as well.
+
+:func:`without_shared_lines` is the narrower pairwise form: each line pairs a later document only with the first
+one that has it. For each pair the shared lines are aligned: a line met again in one document counts as a different line
+(its number of occurrence is part of its key), and the longest sequence of shared lines that rises in both is
+kept. Runs of aligned lines that follow each other in both documents are blocks; blocks of at least ``min_words``
+words are deleted from the later document. It misses passages whose lines have different first holders.
+
+Lines and runs are compared by 128-bit hashes of their whole text; a task sees the runs of one document at
 most, and no group of documents.
 
 Defined cases: a null text has no lines and stays null; blank lines are never shared, and don't interrupt a
-block; a text of which all lines go becomes ''; ids order documents, a null id comes last, and rows with
+run or block; a text of which all lines go becomes ''; ids order documents, a null id comes last, and rows with
 equal ids are ordered by a hash of their text; rows equal in id and text are one document and change alike;
 further columns are passed through, but for those with the names of the appended ones.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowio import arrow_map, pieces
@@ -50,6 +56,24 @@ def keyed_lines(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def keyed_runs(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(high, low, first line, lines) of the least runs of ``min_words`` words that a line opens or closes."""
+    ends, digests = [0], []
+    for line in text.split("\n"):
+        if n := len(line.split()):
+            ends.append(ends[-1] + n)
+            digests.append(xxhash.xxh3_128_digest(line.encode()))
+    least = max(min_words, 1)
+    opened = ((k, bisect_left(ends, e + least)) for k, e in enumerate(ends))
+    closed = ((bisect_right(ends, e - least) - 1, k) for k, e in enumerate(ends))
+    spans = {(a, b) for a, b in opened if b < len(ends)} | {(a, b) for a, b in closed if a >= 0}
+    out = []
+    for a, b in sorted(spans):
+        whole = xxhash.xxh3_128_intdigest(b"".join(digests[a:b]))
+        out.append(((whole >> 64) - 2**63, (whole & (2**64 - 1)) - 2**63, a, b - a))
+    return out
+
+
 def rising(pairs: list[tuple[int, int]]) -> list[int]:
     """Indices of a longest run of ``pairs`` (sorted by the first number) that rises in both numbers."""
     tails: list[int] = []
@@ -87,10 +111,71 @@ def deleted_lines(rows: list[tuple[int, int, int]], min_words: int) -> set[int]:
     return out
 
 
+def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col))
+
+
+def _cut(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the lines that ``gone`` (id, th, gone) numbers; blank lines have no number."""
+    own_id, own_hash = _key(docs, id_col, text_col)
+    names = docs.columns
+    keyed = docs.withColumns({"__id": own_id, "__th": own_hash})
+    joined = keyed.join(gone.withColumnsRenamed({"id": "__gid", "th": "__gth"}), (F.col("__id") == F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left").select(*names, F.col("gone").alias("__gone"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = names.index(text_col)
+        for batch, _ in pieces(batches, text_col):
+            texts, gone_lists = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
+            gone_words = [0] * len(texts)
+            for k, lost in enumerate(gone_lists):
+                if lost:
+                    lost_set, rest, at = set(lost), [], 0
+                    for line in texts[k].split("\n"):
+                        words = len(line.split())
+                        if not words or at not in lost_set:
+                            rest.append(line)
+                        else:
+                            gone_words[k] += words
+                        at += words > 0
+                    texts[k] = "\n".join(rest) if any(x.split() for x in rest) else ""
+            columns = list(batch.columns[: len(names)])
+            columns[place] = pa.array(texts, pa.string())
+            counts = pa.array([len(x) if x else 0 for x in gone_lists], pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(gone_words, pa.int64())], names=[*names, "removed_lines", "removed_words"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return arrow_map(joined, cut, f"{fields}, removed_lines long, removed_words long")
+
+
+def without_copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the lines in runs of ``min_words`` words that any earlier document holds; ``removed_lines`` and ``removed_words`` are appended."""
+    docs = docs.drop(*{"removed_lines", "removed_words"} - {id_col, text_col})
+    own_id, own_hash = _key(docs, id_col, text_col)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "text", 1 << 20):
+            found = [keyed_runs(t, min_words) for t in texts.to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64))
+            flat = [x for f in found for x in f]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(take), batch.column("th").take(take), *[pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]],
+                names=["id", "th", "hi", "lo", "line", "lines"],
+            )
+
+    slim = docs.select(own_id.alias("id"), own_hash.alias("th"), F.col(text_col).alias("text"))
+    runs = durable(arrow_map(slim, split, "id long, th long, hi long, lo long, line int, lines int"), "runs")
+    doc = F.struct("id", "th")
+    # Written, so that a run of very many documents can be split by the join.
+    shared = durable(runs.groupBy("hi", "lo").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first != last").select("hi", "lo", "first"), "shared-runs")
+    copied = runs.join(shared, ["hi", "lo"]).where("struct(id, th) != first").select("id", "th", F.explode(F.sequence("line", F.expr("line + lines - 1"))).alias("line"))
+    gone = durable(copied.groupBy("id", "th").agg(F.collect_set("line").alias("gone")), "gone-lines")
+    return _cut(docs, gone, id_col, text_col)
+
+
 def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the blocks deleted from ``text_col``; ``removed_lines`` and ``removed_words`` are appended."""
+    """``docs`` with the blocks that first holders have deleted from ``text_col``; ``removed_lines`` and ``removed_words`` are appended."""
     docs = docs.drop(*{"removed_lines", "removed_words"} - {id_col, text_col})
-    own_id, own_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col))
+    own_id, own_hash = _key(docs, id_col, text_col)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text", 1 << 20):
@@ -114,12 +199,11 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, pair, out = None, [], None, set()
-        words: dict[int, int] = {}
 
         def close() -> pa.RecordBatch | None:
             if key is None or not out:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([sorted(out)], pa.list_(pa.int32())), pa.array([sum(words[x] for x in out)], pa.int64())], names=["id", "th", "gone", "gone_words"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([sorted(out)], pa.list_(pa.int32()))], names=["id", "th", "gone"])
 
         for batch in batches:
             for a, t, o, ot, line, oline, w in zip(*[c.to_pylist() for c in batch.columns]):
@@ -129,41 +213,17 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     if (a, t) != key:
                         if (done := close()) is not None:
                             yield done
-                        key, out, words = (a, t), set(), {}
+                        key, out = (a, t), set()
                 group.append((line, oline, w))
-                words[line] = w
         out |= deleted_lines(group, min_words)
         if (done := close()) is not None:
             yield done
 
     order = ["id", "th", "owner", "owner_th"]
-    gone = durable(arrow_map(pairs.repartition("id", "th").sortWithinPartitions(*order), aligned, "id long, th long, gone array<int>, gone_words long"), "gone-lines")
-    names = docs.columns
-    keyed = docs.withColumns({"__id": own_id, "__th": own_hash})
-    joined = keyed.join(gone.withColumnsRenamed({"id": "__gid", "th": "__gth"}), (F.col("__id") == F.col("__gid")) & (F.col("__th") == F.col("__gth")), "left").select(*names, F.col("gone").alias("__gone"), F.col("gone_words").alias("__gone_words"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = names.index(text_col)
-        for batch, _ in pieces(batches, text_col):
-            texts, gone_lists = batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()
-            for k, lost in enumerate(gone_lists):
-                if lost:
-                    lost_set, rest, at = set(lost), [], 0
-                    for line in texts[k].split("\n"):
-                        blank = not line.split()
-                        if blank or at not in lost_set:
-                            rest.append(line)
-                        at += not blank
-                    texts[k] = "\n".join(rest) if any(x.split() for x in rest) else ""
-            columns = list(batch.columns[: len(names)])
-            columns[place] = pa.array(texts, pa.string())
-            counts = pa.array([len(x) if x else 0 for x in gone_lists], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, counts, batch.column(len(names) + 1).fill_null(0)], names=[*names, "removed_lines", "removed_words"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return arrow_map(joined, cut, f"{fields}, removed_lines long, removed_words long")
+    gone = durable(arrow_map(pairs.repartition("id", "th").sortWithinPartitions(*order), aligned, "id long, th long, gone array<int>"), "gone-lines")
+    return _cut(docs, gone, id_col, text_col)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_shared_lines(docs)
+    return without_copied_runs(docs)

@@ -58,3 +58,66 @@ def test_cases(spark):
     texts = sorted((r["doc_id"] or 99, r["text"]) for r in got)
     assert texts == [(1, f"own one\n{passage}\nend"), (2, "own two"), (3, ""), (3, ""), (4, "short\nlines"), (5, "short\nlines"), (99, "mine")]
     assert L.without_shared_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def copied(docs, least):
+    """Without Spark: lines in equal runs of ``least`` words of any earlier document, by comparing all pairs of places."""
+    split = {i: [x for x in t.split("\n") if x.split()] for i, t in docs}
+    out = {}
+    for i, d in split.items():
+        gone = set()
+        for j, e in split.items():
+            for a in range(len(d)) if j < i else ():
+                for b in range(len(e)):
+                    n = 0
+                    while a + n < len(d) and b + n < len(e) and d[a + n] == e[b + n]:
+                        n += 1
+                    if n and sum(len(x.split()) for x in d[a : a + n]) >= least:
+                        gone |= set(range(a, a + n))
+        out[i] = [x for k, x in enumerate(d) if k not in gone]
+    return out
+
+
+def aligned_with_all(docs, least):
+    """Lines kept when each document is aligned with every earlier one, occurrence by occurrence."""
+    keyed = {i: [(x[0], x[1], x[2]) for x in L.keyed_lines(t)] for i, t in docs}
+    out = {}
+    for i, d in keyed.items():
+        gone = set()
+        for j, e in keyed.items():
+            if j < i:
+                at = {x[:2]: n for n, x in enumerate(e)}
+                gone |= L.deleted_lines([(n, at[x[:2]], x[2]) for n, x in enumerate(d) if x[:2] in at], least)
+        out[i] = [n for n in range(len(d)) if n not in gone]
+    return out
+
+
+def test_runs_of_any_earlier_document(spark):
+    rng = random.Random(7)
+    lines = ["a b c", "d e", "f g h i", "x", "", "long line with six words here", "  "]
+    docs = [(i, "\n".join(rng.choice([*lines, f"own {i} {k}"]) for k in range(rng.randint(0, 9)))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for least in (1, 5, 10):
+        got = {r["doc_id"]: r for r in L.without_copied_runs(frame, min_words=least).collect()}
+        kept = {i: [x for x in r["text"].split("\n") if x.split()] for i, r in got.items()}
+        assert kept == copied(docs, least)
+        pairwise = aligned_with_all(docs, least)
+        assert all(len(kept[i]) <= len(pairwise[i]) for i, _ in docs)
+        assert all(r["removed_words"] == len(dict(docs)[i].split()) - len(r["text"].split()) for i, r in got.items())
+
+
+def test_passage_of_lines_with_different_first_holders(spark):
+    """Eight lines of eight words, each seen earlier in a document of its own, stand whole in document 20."""
+    lines = [" ".join(f"w{k}x{n}" for n in range(8)) for k in range(8)]
+    rows = [*enumerate(lines), (20, "\n".join(lines)), (21, "own\n" + "\n".join(lines))]
+    got = {r["doc_id"]: (r["text"], r["removed_lines"], r["removed_words"]) for r in L.without_copied_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[21] == ("own", 8, 64) and got[20] == (rows[8][1], 0, 0)
+
+
+def test_cases_of_runs(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"own one\n{passage}\nend"), (2, f"own two\n{passage}"), (3, passage), (3, passage), (None, f"{passage}\nmine"), (4, "short\nlines"), (5, "short\nlines"), (6, None)]
+    got = L.without_copied_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted((r["doc_id"] or 99, r["text"]) for r in got if r["text"] is not None)
+    assert len(got) == 8 and texts == [(1, rows[0][1]), (2, "own two"), (3, ""), (3, ""), (4, "short\nlines"), (5, "short\nlines"), (99, "mine")]
+    assert L.without_copied_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
