@@ -121,3 +121,11 @@ def test_cases_of_runs(spark):
     texts = sorted((r["doc_id"] or 99, r["text"]) for r in got if r["text"] is not None)
     assert len(got) == 8 and texts == [(1, rows[0][1]), (2, "own two"), (3, ""), (3, ""), (4, "short\nlines"), (5, "short\nlines"), (99, "mine")]
     assert L.without_copied_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_line_before_and_inside_a_passage(spark):
+    """The later document has one line of the passage before it as well; no occurrence decides what is compared."""
+    passage = ["one two three four", "menu", "five six seven eight", "menu", "nine ten eleven"]
+    rows = [(1, "\n".join(passage)), (2, "\n".join(["menu", "own line", *passage, "menu"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in L.without_copied_runs(docs).collect()} == {1: rows[0][1], 2: "menu\nown line\nmenu"}
