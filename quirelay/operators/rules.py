@@ -19,9 +19,22 @@ def upsert(existing: DataFrame, imported: DataFrame, values: list[str], name: st
     return both.select(name, *merged, F.col(pos).alias("kept_pos"), "new_pos", F.col("new").isNotNull().alias("imported"))
 
 
-def renumbered(rules: DataFrame) -> DataFrame:
-    """Positions 0, 1, ... in order. A rule list is edited by hand, so it fits one task."""
-    return rules.withColumn("pos", F.row_number().over(Window.orderBy("pos", "id")) - 1)
+def renumbered(rules: DataFrame, per_bin: int = 1024) -> DataFrame:
+    """Positions 0, 1, ... in order, for lists of any length. ``rules`` is read twice.
+
+    Rows are counted by bins of old positions and the counts are summed up in two levels; a task sorts the rows of
+    one bin together. Rows of equal position are in one bin.
+    """
+    part = lambda c: F.coalesce(F.floor(F.col(c) / F.lit(per_bin)), F.lit(-(2**63)))
+    counts = rules.groupBy(part("pos").alias("__bin")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__high", part("__bin"))
+    highs = counts.groupBy("__high").agg(F.sum("__n").alias("__all"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    highs = highs.select("__high", before(Window.orderBy("__high"), "__all").alias("__before"))
+    low = before(Window.partitionBy("__high").orderBy("__bin"), "__n")
+    starts = counts.withColumn("__low", low).join(highs, "__high").select("__bin", (F.col("__before") + F.col("__low")).alias("__start"))
+    row = F.row_number().over(Window.partitionBy("__bin").orderBy("pos", "id")) - 1
+    numbered = rules.withColumn("__bin", part("pos")).withColumn("__row", row).join(starts, "__bin")
+    return numbered.withColumn("pos", F.col("__start") + F.col("__row")).select(*rules.columns)
 
 
 def delete(rules: DataFrame, ids: list) -> DataFrame:

@@ -38,6 +38,23 @@ def test_upsert_and_edits(spark):
     assert order(U.append(rows, spark.createDataFrame([(9,)], "id long"))) == [0, 1, 2, 9]
 
 
+def test_edits_of_a_long_list(spark):
+    """Every row is numbered, over bins and groups of bins, and no window over all rows stands in the plan."""
+    n = 5000
+    rows = spark.range(n).select("id", F.when(F.col("id") == 77, None).otherwise(F.col("id") * 3).alias("pos"))
+    assert [tuple(r) for r in U.renumbered(rows, 7).orderBy("pos").collect()] == [(i, k) for k, i in enumerate([77, *range(77), *range(78, n)])]
+    rows = spark.range(n).select("id", F.col("id").alias("pos"))
+    edited = U.delete(U.move(rows, 4, 1), [10, 4999])
+    wanted = [0, 1, 2, 3, 5, 4, *range(6, 10), *range(11, 4999)]
+    assert [tuple(r) for r in edited.orderBy("pos").collect()] == [(i, k) for k, i in enumerate(wanted)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = edited._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "row_number" in plan and not [x for x in plan.split("\n") if "row_number" in x and "Window" in x and "__bin" not in x]
+
+
 def test_settings_and_presets(spark, tmp_path):
     stores.save(spark.createDataFrame([(False,)], stores.SETTINGS), f"{tmp_path}/s")
     assert stores.settings(spark, f"{tmp_path}/s").first()[0] is False
