@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,8 +99,7 @@ def segment_features(tokens: list[str], i: int, j: int, kind: str) -> list[str]:
         n = len(whole)
         digits = sum(c.isdigit() for c in whole)
         upper = sum(c.isupper() for c in whole)
-        counts = [whole.count(c) / n for c in set(whole)] if n <= 400 else [1 / 30] * 30
-        entropy = -sum(p * math.log2(p) for p in counts)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(whole).values())
         out += [f"secret:len{min(n, 40) // 8}", f"secret:bits{int(min(entropy, 5))}", f"secret:mixed{int(0 < digits < n)}", f"secret:cased{int(0 < upper < n)}", f"secret:plain{int(whole.isalpha())}"]
         out.append(f"secret:cue{int(any(b.rstrip('=:') in CUES for b in before))}{int(bool(before) and before[-1].strip(chr(34)) in ('=', ':', 'is', '=' + chr(34)))}")
         out.append(f"secret:signs{int(any(not c.isalnum() and c not in '_/+=-' for c in whole))}")

@@ -44,6 +44,14 @@ def test_field_on_new_sentences():
     assert {k for k, *_ in pii.find(text, w)} == {"secret", "contact"}
 
 
+def test_entropy_of_long_tokens():
+    bits = lambda t: next(x for x in pii.segment_features([t], 0, 1, "secret") if "bits" in x)
+    rng = random.Random(5)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    assert {bits("=" * n) for n in (20, 400, 401, 100000)} == {"secret:bits0"} and {bits("ab" * n) for n in (20, 201, 5000)} == {"secret:bits1"}
+    assert bits("".join(rng.choice(signs) for _ in range(500))) == "secret:bits5"
+
+
 def test_rows(tmp_path, spark):
     rows = [(1, "mail a.b@c.de or 10.0.0.1", 3), (2, None, 3), (2, None, 3), (None, "é +49 (30) 1234567", 3)]
     spark.createDataFrame(rows, "doc_id long, text string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
