@@ -4,13 +4,15 @@ The lexicon is learnt from labelled rows: words and stems (openings of 4 to 6 le
 toxic texts, in at least ``MIN_CONTEXTS`` different surroundings (so that copies of one text don't make its
 words toxic), and in next to no other text. It is put into a trie. A word matches
 
-- exactly, if the trie accepts it or it opens with a stem;
+- exactly, if the trie accepts it or it opens with a stem, whatever its length;
 - as a misspelling, if the Levenshtein automaton of the word (one edit, a swap of neighbours included) and
   the trie, walked together, reach an accepted term of five letters or more. Terms are also compared with
   usual digits and signs for letters undone. Terms of which some sample text that isn't toxic has a
   neighbour are matched exactly alone. A word that shares neither
   the first half (border letter swapped included) nor the second half of any term can't be within one edit
-  and isn't walked.
+  and isn't walked, nor is one of more letters than the longest term and one.
+
+A word that doesn't match as a whole is split at the signs (``* @ $ !``) that glue words together, and its parts count.
 
 Each match has a context window: if there are quotation marks on both sides of it within ``WINDOW``
 characters, or a word of reporting near before it, it counts as quotation, else as abuse. A logistic
@@ -42,6 +44,7 @@ MIN_TEXTS, MIN_CONTEXTS, MIN_ODDS = 6, 4, 40.0
 STEMS = (4, 5, 6)
 WINDOW, FUZZY, KEPT_WORDS = 60, 0.7, 300_000
 WORD = re.compile(r"[^\W_]+(?:[*@$!]+[^\W_]+)*")
+GLUE = re.compile(r"[*@$!]+")
 #: Marks of quotation, words of reporting, and signs used for letters.
 MARKS = "\"“”„«»‹›"
 REPORTING = re.compile(r"\b(?:said|says|wrote|writes|called|calls|quote|quoted|quoting|dijo|escribió|a dit|écrit|sagte|schrieb)\b")
@@ -67,6 +70,8 @@ class Trie:
                 # An edit leaves one half whole, or swaps the letters at their border.
                 self.heads |= {text[:half], text[: half - 1] + text[half]}
                 self.tails.add(text[half:])
+        #: letters of the longest word within one edit of a term
+        self.longest = 1 + max((len(t) for t in self.terms), default=0)
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
 
     def exact(self, word: str) -> bool:
@@ -81,7 +86,7 @@ class Trie:
 
     def near(self, word: str) -> set[str]:
         """Walk the trie with the states of the word's automaton: the terms of 5 letters or more within one edit."""
-        if len(word) < 4 or not (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
+        if not 4 <= len(word) <= self.longest or not (any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes)):
             return set()
         out = set()
         n = len(word)
@@ -117,6 +122,13 @@ class Trie:
         return out
 
     def weight(self, word: str) -> float:
+        """The weight of the whole word, or the sum over the words that signs glue together."""
+        found = self.single(word)
+        if not found and len(parts := GLUE.split(word)) > 1:
+            found = sum(map(self.single, parts))
+        return found
+
+    def single(self, word: str) -> float:
         if self.exact(word):
             return 1.0
         plain = word.translate(SIGNS)
@@ -133,7 +145,7 @@ class Weights(dict):
         self.trie = trie
 
     def __missing__(self, word: str) -> float:
-        found = self.trie.weight(word) if len(word) <= 64 else 0.0
+        found = self.trie.weight(word)
         if len(word) <= 40:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -184,12 +196,13 @@ def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[str, bool], int] = {}
             last = ""
             for w in WORD.findall(text.lower()):
-                if len(w) <= 40 and (w, False) not in seen:
-                    context = hash_of(last)
-                    seen[w, False] = context
-                    for k in STEMS:
-                        if len(w) >= k:
-                            seen.setdefault((w[:k], True), context)
+                for part in {w, *GLUE.split(w)}:
+                    if (part, False) not in seen:
+                        context = hash_of(last)
+                        seen[part, False] = context
+                        for k in STEMS:
+                            if len(part) >= k:
+                                seen.setdefault((part[:k], True), context)
                 last = w
             rows += [(t, s, toxic, c) for (t, s), c in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], names=["term", "stem", "toxic", "context"])
@@ -224,9 +237,10 @@ def near_terms(lexicon: list[tuple[str, bool]]):
             for text in texts.to_pylist():
                 found: set[str] = set()
                 for w in set(WORD.findall(text.lower())):
-                    if w not in known:
-                        known[w] = set() if len(w) > 64 or trie.exact(w) else trie.near(w)
-                    found |= known[w]
+                    for part in {w, *GLUE.split(w)}:
+                        if part not in known:
+                            known[part] = set() if trie.exact(part) else trie.near(part)
+                        found |= known[part]
                 rows += found
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["term"])
 

@@ -45,6 +45,14 @@ def test_near_terms():
     assert t.exact("grammar") and not t.exact("gra") and t.weight("1d1ot") == toxicity.FUZZY and t.weight("id*iot") == toxicity.FUZZY
 
 
+def test_long_and_glued_words():
+    t = toxicity.Trie([("idiot", False), ("gram", True), ("w" * 80, False)])
+    w = toxicity.Weights(t)
+    assert w["gram" + "x" * 100] == 1.0 and w["w" * 80] == 1.0 and w["w" * 79] == toxicity.FUZZY and w["w" * 78] == 0.0
+    assert w["hello!" * 20 + "idiot"] == 1.0 and w["hello!idiot$you"] == 1.0 and w["idiot!idiot"] == 2.0 and w["hello!idiat"] == toxicity.FUZZY
+    assert w["hello!you"] == 0.0 and w["x" * 100] == 0.0 and w["id*iot"] == toxicity.FUZZY
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rng = random.Random(2)
