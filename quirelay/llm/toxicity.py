@@ -7,8 +7,8 @@ words toxic), and in next to no other text. It is put into a trie. A word matche
 - exactly, if the trie accepts it or it opens with a stem, whatever its length;
 - as a misspelling, if the Levenshtein automaton of the word (one edit, a swap of neighbours included) and
   the trie, walked together, reach an accepted term of five letters or more. Terms are also compared with
-  usual digits and signs for letters undone. Terms of which some sample text that isn't toxic has a
-  neighbour are matched exactly alone. A word that shares neither
+  usual digits and signs for letters undone. Terms whose neighbours stand in
+  sample texts that aren't toxic are matched exactly alone, unless the neighbours' odds are as high as a term's must be. A word that shares neither
   the first half (border letter swapped included) nor the second half of any term can't be within one edit
   and isn't walked, nor is one of more letters than the longest term and one.
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowio import arrow_map, pieces
@@ -214,43 +214,52 @@ def hash_of(word: str) -> int:
     return zlib.crc32(word.encode()) & 0xFFFF
 
 
+def sizes(sample: DataFrame) -> tuple[int, int]:
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    return n.get(1, 0), n.get(0, 0)
+
+
+def odds(toxic: int, other: int) -> Column:
+    """Smoothed odds of ``t`` of the toxic texts against ``o`` of the others."""
+    return ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("o") + 0.5) / (other + 1))
+
+
 def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     """At most TERMS terms and stems from ``sample`` (text, toxic)."""
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    toxic, other = n.get(1, 0), n.get(0, 0)
+    toxic, other = sizes(sample)
     counts = arrow_map(sample.select("text", "toxic"), terms_of, "term string, stem boolean, toxic int, context int").groupBy("term", "stem").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("contexts")
     )
-    odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("o") + 0.5) / (other + 1))
-    rows = counts.where((F.col("t") >= MIN_TEXTS) & (F.col("contexts") >= MIN_CONTEXTS) & (odds >= MIN_ODDS) & (F.col("o") * 200 <= F.col("t"))).orderBy(odds.desc(), "term", "stem").limit(TERMS).collect()
+    rows = counts.where((F.col("t") >= MIN_TEXTS) & (F.col("contexts") >= MIN_CONTEXTS) & (odds(toxic, other) >= MIN_ODDS) & (F.col("o") * 200 <= F.col("t"))).orderBy(odds(toxic, other).desc(), "term", "stem").limit(TERMS).collect()
     return sorted((r["term"], r["stem"]) for r in rows)
 
 
 def near_terms(lexicon: list[tuple[str, bool]]):
-    """Arrow function: the terms of which each text has a misspelling, once for each text."""
+    """Arrow function: (term, toxic) of the terms of which each text has a misspelling, once for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(lexicon)
         known: dict[str, set[str]] = {}
-        for _, texts in pieces(batches, "text", 1 << 20):
-            rows: list[str] = []
-            for text in texts.to_pylist():
+        for batch, texts in pieces(batches, "text", 1 << 20):
+            rows: list[tuple[str, int]] = []
+            for text, toxic in zip(texts.to_pylist(), batch.column("toxic").to_pylist()):
                 found: set[str] = set()
                 for w in set(WORD.findall(text.lower())):
                     for part in {w, *GLUE.split(w)}:
                         if part not in known:
                             known[part] = set() if trie.exact(part) else trie.near(part)
                         found |= known[part]
-                rows += found
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["term"])
+                rows += [(t, toxic) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["term", "toxic"])
 
     return run
 
 
 def without_misspellings(sample: DataFrame, lexicon: list[tuple[str, bool]]) -> frozenset[str]:
-    """Terms one edit away from words of texts that aren't toxic; bounded by the lexicon."""
-    near = arrow_map(sample.where("toxic = 0").select("text"), near_terms(lexicon), "term string")
-    return frozenset(r["term"] for r in near.distinct().collect())
+    """Terms whose neighbours stand in texts that aren't toxic, and whose odds by texts with neighbours are under MIN_ODDS; bounded by the lexicon."""
+    toxic, other = sizes(sample)
+    near = arrow_map(sample.select("text", "toxic"), near_terms(lexicon), "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    return frozenset(r["term"] for r in near.where((F.col("o") > 0) & (odds(toxic, other) < MIN_ODDS)).collect())
 
 
 def featurised(lexicon: list[tuple[str, bool]], alone: frozenset[str], w: np.ndarray | None):

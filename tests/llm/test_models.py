@@ -53,6 +53,13 @@ def test_long_and_glued_words():
     assert w["hello!you"] == 0.0 and w["x" * 100] == 0.0 and w["id*iot"] == toxicity.FUZZY
 
 
+def test_misspellings_by_odds(spark):
+    """One clean text with a misspelling of "blorgon" doesn't outweigh many toxic ones; "dummy" has clean neighbours."""
+    rows = [(f"toxic {i} blorgom ka", 1) for i in range(60)] + [(f"clean {i} mo dumm", 0) for i in range(60)] + [("quoted blorgom", 0), *[(f"ti {i}", 0) for i in range(100)]]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    assert toxicity.without_misspellings(sample, [("blorgon", False), ("dummy", False)]) == {"dummy"}
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rng = random.Random(2)
