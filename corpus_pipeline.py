@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that an earlier document has go; a document of which nothing else remains goes as well."""
-    out = linededup.without_copied_runs(docs).where((F.col("removed_lines") == 0) | (F.col("text") != ""))
+    """Blocks of lines that earlier documents have go; a document of which nothing else remains goes as well."""
+    out = linededup.without_shared_blocks(docs).where((F.col("removed_lines") == 0) | (F.col("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
