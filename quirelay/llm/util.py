@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); an own one only where it is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quirelay-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -28,16 +35,29 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_durable(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by :func:`durable` which no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    parents = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for parent in parents:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(spark, parent)
+
+
+@contextmanager
+def only_result(spark: SparkSession) -> Iterator[None]:
+    """Delete what :func:`durable` wrote inside, but for the last table: the result that later steps read."""
+    first = len(_made)
+    yield
+    for path in _made[first:-1]:
+        _delete(spark, path)
+    del _made[first:-1]
 
 
 def ascii_lower(text: Column) -> Column:
