@@ -1,5 +1,6 @@
 """Sharding and decontamination: laws, brute force, plans without Python, defined cases."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -70,8 +71,13 @@ def test_decontamination(spark):
     docs += [(3, docs[3][1])] * 2 + [(None, "q r s t u v w x y z a b c"), (500, None), (501, "")]
     frame = spark.createDataFrame([(i, t, 1, "k") for i, t in docs], "doc_id long, text string, n_words int, items string").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for options in ({}, {"max_set": 2}):  # with the set, and beyond its size
-        got = sorted((-1 if r["id"] is None else r["id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in D.decontaminate(frame, bench, **options).collect())
+    usual = D.LEAST_BITS, D.MOST_BITS
+    for bits in (usual, (64, 64)):  # a bitmap that is large enough, and one that is full
+        D.LEAST_BITS, D.MOST_BITS = bits
+        try:
+            got = sorted((-1 if r["id"] is None else r["id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in D.decontaminate(frame, bench).collect())
+        finally:
+            D.LEAST_BITS, D.MOST_BITS = usual
         assert got == brute(docs, items)
     clean = {r["doc_id"] for r in D.clean_documents(frame, bench).collect()}
     assert clean == {i for i, t in docs if i is not None and not dict((x[0], x[4]) for x in brute(docs, items))[i]}
@@ -82,6 +88,17 @@ def test_decontamination(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_many_windows_and_the_query(spark, tmp_path):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(1012))) for k in range(200)]
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(0, 200)))) for i in range(60)]
+    docs += [(100 + k, "before " + " ".join(items[k][1].split()[k : k + 13 + k]) + " after") for k in range(30)] + [(200, "filler " * 50_000 + " ".join(items[0][1].split()[5:40]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"], r["contaminated"]) for r in D.op5_decontamination(spark, str(tmp_path)).collect())
+    assert got == [(i, n, h, hashlib.sha256(",".join(x).encode()).hexdigest(), c) for i, n, h, x, c in brute(docs, items)]
+
+
 def test_held_out(spark):
     rows = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
