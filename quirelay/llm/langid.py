@@ -4,13 +4,15 @@ A text's features are the character n-grams (2 to 4 letters, with word borders)
 into ``BUCKETS`` rows of an embedding table; the text's vector is their average, and a linear softmax over
 it gives the language. Table and softmax are trained together by stochastic gradient descent in numpy on a
 bounded sample of labelled rows (``sample_rows``, the rows with the least hashed ids). A quarter of the
-sample calibrates the result: a temperature is fitted to the likelihood, and the rejection threshold is the
-largest one that rejects no correctly predicted calibration text (one half at most).
+sample calibrates the result: a temperature is fitted to the likelihood, and a rejection threshold is set, both with
+junk as the other side: for each calibration text one of as many n-grams drawn at random. It is the least threshold that rejects all
+junk, but at most the confidence that a share of ``FALSE_REJECTIONS`` of the correctly predicted texts stays
+below. The model carries both rates as ``junk_rejected`` and ``false_rejected``.
 
 Afterwards ``embedding @ softmax`` is one small table of scores for each bucket, so a word adds the sum of
 its rows, and words met before are looked up in a table of bounded size.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0 and is rejected; without any
+Defined cases: a null text or one without a letter (``str.isalpha``; numeric signs such as a half aren't letters) is ``und`` with score 0 and is rejected; without any
 labelled row to learn from every text is ``und``; languages of the sample alone can be predicted; equal
 rows are returned each; further columns are passed through, but for those with the names of the appended ones.
 """
@@ -31,6 +33,7 @@ from .util import held_out, read
 
 BUCKETS, WIDTH, NGRAMS, KEPT_WORDS = 1 << 15, 16, (2, 3, 4), 300_000
 SAMPLE_ROWS = 6000
+FALSE_REJECTIONS = 0.001
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -42,7 +45,9 @@ def subwords(word: str) -> list[int]:
 
 
 def letters(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words with a letter, lower-cased."""
+    found = WORD.findall(text.lower())
+    return found if text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 class SubwordCounts(dict):
@@ -70,8 +75,9 @@ def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Scores for each bucket, languages, temperature and threshold."""
 
-    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
+    def __init__(self, langs: list[str], scores: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, junk_rejected: float = 0.0, false_rejected: float = 0.0):
         self.langs, self.scores, self.bias, self.temperature, self.threshold = langs, scores, bias, temperature, threshold
+        self.junk_rejected, self.false_rejected = junk_rejected, false_rejected
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -87,9 +93,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
     langs = sorted({r[0] for r in rows})
     y = np.array([langs.index(r[0]) for r in rows])
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
-    soft = np.zeros((WIDTH, len(langs)), np.float32)
-    soft += rng.normal(0, 0.1, soft.shape)
+    table = np.zeros((BUCKETS, WIDTH), np.float32)  # buckets that training never meets stay without a say
+    soft = rng.normal(0, 0.3, (WIDTH, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), np.float32)
     fit = [i for i in range(len(rows)) if i % 4] or list(range(len(rows)))
     check = [i for i in range(len(rows)) if i % 4 == 0]
@@ -113,19 +118,34 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
     scores = (table @ soft).astype(np.float64)
     logits = np.stack([share(i) @ scores[rows[i][1]] + bias for i in check])
     truth = y[check]
+    junk = np.stack([_drawn(rng, rows[i][2].sum()) @ scores + bias for i in check])
     best, temperature = np.inf, 1.0
-    for t in np.geomspace(0.05, 20, 60):
-        z = logits / t
-        loss = (np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) + z.max(axis=1) - z[np.arange(len(check)), truth]).mean()
+    for t in np.geomspace(0.001, 20, 100):
+        # Texts should be likely, and junk as likely in one language as in another.
+        loss = -_log_softmax(logits / t)[np.arange(len(check)), truth].mean() - _log_softmax(junk / t).mean()
         if loss < best:
             best, temperature = loss, float(t)
     model = Model(langs, scores, bias.astype(np.float64), temperature, 0.0)
     p = model.probabilities(logits)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    model.threshold = float(min(0.5, right.min())) if len(right) else 0.0
+    junk = model.probabilities(junk).max(axis=1)
+    if len(right):
+        model.threshold = float(min(np.nextafter(junk.max(), 2), np.quantile(right, FALSE_REJECTIONS, method="lower")))
+        model.junk_rejected, model.false_rejected = float((junk < model.threshold).mean()), float((right < model.threshold).mean())
     return model
 
 
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _drawn(rng: np.random.Generator, n: float) -> np.ndarray:
+    """Shares of ``n`` n-grams that fall into buckets at random."""
+    counts = np.bincount(rng.integers(0, BUCKETS, max(1, int(n))), minlength=BUCKETS)
+    return counts / counts.sum()
+
+
 class WordScores(dict):
     """Row of the growing word matrix for each word: summed scores and the number of n-grams."""
 

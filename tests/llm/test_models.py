@@ -34,6 +34,22 @@ def test_languages(spark):
     assert langid.fit_model(docs.limit(0)) is None
 
 
+def test_rejection_and_the_query(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, lang := rng.choice(list(SYLLABLES)), rng.randint(8, 30)), lang) for i in range(600)]
+    foreign = [" ".join("".join(rng.choice("бгджзклмнпрст") for _ in range(5)) for _ in range(20)) for _ in range(40)]
+    rows += [(2000 + i, x, None) for i, x in enumerate(foreign)] + [(3000, "½ ² Ⅷ ①", None), (3001, sentence(rng, "bb", 30_000), None), (3002, None, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = langid.fit_model(langid.learning_rows(docs))
+    assert model.junk_rejected > 0.9 and model.false_rejected <= 2 * langid.FALSE_REJECTIONS
+    got = {r["doc_id"]: r for r in langid.op2_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and {"doc_id", "held_out", "lang_pred", "score"} <= set(got[0].asDict())
+    assert sum(got[2000 + i]["rejected"] for i in range(40)) >= 36 and sum(got[i]["rejected"] for i in range(600)) <= 12
+    assert (got[3000]["lang_pred"], got[3000]["score"]) == ("und", 0.0) and got[3001]["lang_pred"] == "bb" and got[3002]["lang_pred"] == "und"
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
 def test_near_terms():
     t = toxicity.Trie([("idiot", False), ("worthless", False), ("gram", True)])
     edits = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for c in "xoi" for k in (0, 1)} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
@@ -92,3 +108,16 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string")
     got = toxicity.score_texts(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert [r["score"] for r in got] == [0.0, 0.0]
+
+
+def test_toxicity_query(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [sentence(rng, "aa", 20) + (" blorgon snizzle " + sentence(rng, "aa", 3) if i % 3 == 0 else "") for i in range(300)]
+    rows = [(i, t, "k") for i, t in enumerate(texts)] + [(0, texts[0], "k"), (900, None, "k")]
+    spark.createDataFrame(rows, "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op1_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 300]
+    assert held and all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in held)
+    assert toxicity.score_texts(spark.createDataFrame([], "doc_id long, text string"), spark.read.parquet(f"{tmp_path}/labels.parquet")).count() == 0
