@@ -3,7 +3,9 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
+import pytest
 from quirelay.llm import media as M
 
 
@@ -16,10 +18,15 @@ def test_cuts_follow_content():
     assert all(len(c) >= M.LEAST for c in a[:-1])
 
 
-def test_container():
+def test_record():
     chunks = [b"one" * 100, b"two", b"one" * 100]
-    stored = M.container([(M.digest_of(c), len(c), zlib.compress(c, 6)) for c in chunks])
-    assert M.read_container(stored) == (b"".join(chunks), [300, 3, 300])
+    stored = M.record([(M.digest_of(c), len(c), None if c == b"two" else zlib.compress(c, 6)) for c in chunks])
+    assert M.read_record(stored, {M.digest_of(b"two"): zlib.compress(b"two")}) == (b"".join(chunks), [300, 3, 300])
+    for wrong in (stored[:-1], b"XXXX" + stored[4:], stored + b"x"):
+        with pytest.raises((ValueError, zlib.error)):
+            M.read_record(wrong, {M.digest_of(b"two"): zlib.compress(b"two")})
+    with pytest.raises(ValueError):
+        M.read_record(stored, {M.digest_of(b"two"): zlib.compress(b"too")})
 
 
 def test_rows(tmp_path, spark):
@@ -39,5 +46,19 @@ def test_rows(tmp_path, spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
         assert seen.setdefault(text or "", (r["media_bytes"], r["media_sha256"], r["feature"])) == (r["media_bytes"], r["media_sha256"], r["feature"])
     store = M.store_texts(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    assert store.where("exists(parts, p -> p.body is null)").count() >= 4
-    assert M.read_back(store.limit(0)).count() == 0
+    kept = store.collect()
+    assert sum(not r["alone"] for r in kept) >= 4 and M.read_back(store.limit(0)).count() == 0
+    # What is reported is what is stored: the record's own bytes, and one body for each shared chunk that differs from none.
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert all((by_id[r["id"]]["media_bytes"], by_id[r["id"]]["media_sha256"]) == (len(r["record"]), hashlib.sha256(r["record"]).hexdigest()) for r in kept if r["id"] is not None)
+    bodies = {b["digest"]: b["body"] for r in kept for b in r["bodies"]}
+    counts = Counter(d for r in kept for d in {d for _, _, d in M.listed_chunks(r["record"])})
+    assert {d for d, n in counts.items() if n > 1} <= set(bodies)
+    for r in kept:
+        text = long if r["id"] is None else texts[r["id"]]
+        assert M.read_record(r["record"], bodies)[0] == M.padded(text or "")
+
+
+def test_empty_table(tmp_path, spark):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert M.op8_media(spark, str(tmp_path)).count() == 0
