@@ -102,6 +102,7 @@ class Encoder:
         self.automaton, self.added = automaton, added
         self.split = regex.compile(split)
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.marks = {t[0] for t in added}
         self.letters = byte_letters()
         self.arcs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
@@ -158,7 +159,7 @@ class Encoder:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if self.added_split and "<" in text:
+        if any(m in text for m in self.marks):
             parts = self.added_split.split(text)
             if len(parts) > 1:
                 return b"".join(self.added[p].to_bytes(4, "little") if k % 2 else b"".join(map(self.chunks.__getitem__, CHUNK.findall(p))) for k, p in enumerate(parts))
