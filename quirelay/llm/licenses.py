@@ -32,22 +32,84 @@ from .util import LOWER, UPPER, read
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Labels of our own, in markup.
-TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license <<optional>>version<<end>> 2 0", "apache license <<optional>>version<<end>> 2 0 <<optional>>january 2004<<end>> http www apache org licenses"],
+#: Names under which licenses are cited, by label, in markup.
+NAMES = {
+    "agpl-3.0": ["gnu affero general public license <<optional>>version<<end>> <<optional>>v<<end>> 3", "agplv3", "agpl 3 0"],
+    "apache-2.0": ["apache license <<optional>>version<<end>> 2 0", "apache 2 0"],
+    "bsd": ["<<optional>>new<<end>> <<optional>>revised<<end>> <<optional>>simplified<<end>> <<optional>>2 clause<<end>> <<optional>>3 clause<<end>> bsd", "bsd 2 clause", "bsd 3 clause"],
+    "cc-by-nc": ["cc by nc", "creative commons attribution noncommercial"],
+    "cc-by-sa": ["cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"],
+    "cc0": ["cc0", "creative commons zero"],
+    "gpl-2.0": ["gnu general public license <<optional>>gpl<<end>> <<optional>>version<<end>> <<optional>>v<<end>> 2", "gplv2", "gpl 2 0"],
+    "gpl-3.0": ["gnu general public license <<optional>>gpl<<end>> <<optional>>version<<end>> <<optional>>v<<end>> 3", "gplv3", "gpl 3 0"],
+    "isc": ["isc"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license", "lgpl"],
+    "mit": ["mit", "expat", "x11"],
+    "mpl-2.0": ["mozilla public license <<optional>>version<<end>> <<optional>>v<<end>> 2 0", "mpl 2 0"],
+    "unlicense": ["unlicense"],
+}
+#: Ways to put a work under a license; NAME stands for each name.
+GRANTS = [
+    f"{verb} under <<optional>>the<<end>> <<optional>>a<<end>> <<optional>>terms of the<<end>> <<optional>>terms and conditions of the<<end>> NAME" for verb in ("licensed", "released", "distributed", "available", "published")
+]
+#: Identifiers of the public list of short license names, as words.
+IDENTIFIERS = {
+    "agpl-3.0": ["agpl 3 0"], "apache-2.0": ["apache 2 0"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "cc-by-nc": ["cc by nc"], "cc-by-sa": ["cc by sa"], "cc0": ["cc0 1 0"], "gpl-2.0": ["gpl 2 0"], "gpl-3.0": ["gpl 3 0"],
+    "isc": ["isc"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "mit": ["mit"], "mpl-2.0": ["mpl 2 0"], "unlicense": ["unlicense"],
+}
+#: Whole texts and notices of licenses, in markup.
+TEXTS = {
+    "apache-2.0": [
+        "licensed under the apache license <<optional>>version<<end>> 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<var 1 9>> "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "apache license <<optional>>version<<end>> 2 0 <<optional>>january 2004<<end>> http www apache org licenses",
+    ],
     "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<var 0 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<var 0 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<optional>><<var 0 1>> neither the name of <<var 1 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<end>> "
+        "this software is provided by <<var 1 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "<<optional>>released<<end>> under the <<optional>>new<<end>> <<optional>>revised<<end>> <<optional>>2 clause<<end>> <<optional>>3 clause<<end>> bsd license",
     ],
-    "cc-by-nc": ["licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc <<optional>>sa<<end>> <<optional>>nd<<end>> <<var 0 2>>", "creative commons attribution noncommercial <<var 0 3>> license"],
+    "cc0": ["to the extent possible under law <<var 1 12>> waived all copyright and related or neighboring rights to"],
     "copyright": ["copyright <<optional>>c<<end>> <<optional>>©<<end>> <<var 1 6>> all rights reserved"],
+    "gpl-2.0": [
+        "this <<var 1 3>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or <<optional>>at your option<<end>> any later version",
+    ],
     "gpl-3.0": [
+        "this <<var 1 3>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or <<optional>>at your option<<end>> any later version",
         "licensed under the <<optional>>terms of the<<end>> gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 3",
     ],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var 1 2>> to deal in the software without restriction"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "<<optional>>provided that the above copyright notice and this permission notice appear in all copies<<end>>",
+    ],
+    "lgpl": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var 1 2>> to deal in the <<var 1 1>> without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the <<var 1 1>> and to permit persons to whom the <<var 1 1>> is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the <<var 1 1>>",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var 1 2>> to deal in the software without restriction",
+    ],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
+
+
+def own_templates() -> dict[str, list[str]]:
+    """Whole texts, grants of each cited name, and identifier tags, by label."""
+    out = {label: list(markups) for label, markups in TEXTS.items()}
+    for label, names in NAMES.items():
+        out.setdefault(label, []).extend(g.replace("NAME", n) for g in GRANTS for n in names)
+    for label, tags in IDENTIFIERS.items():
+        out.setdefault(label, []).extend(f"spdx license identifier {tag}" for tag in tags)
+    return out
+
+
+#: Labels of our own, in markup.
+TEMPLATES = own_templates()
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BREAK = np.zeros(256, bool)
 BREAK[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
