@@ -127,3 +127,27 @@ def dilated(x: Column, y: Column, w: Column, h: Column) -> Column:
 
 def any_prefix(c: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.startswith(p) for p in prefixes])
+
+
+#: The least side of a selection that counts, by place; the viewer wants more than five pixels.
+LEAST_SIDE = {"content": 4, "viewer": 6}
+
+
+def is_selected(rect: Column, place: str = "content") -> Column:
+    """Whether both sides of a selection (whole pixels) are long enough."""
+    return (rect["width"] >= LEAST_SIDE[place]) & (rect["height"] >= LEAST_SIDE[place])
+
+
+def polygon_distance(px: Column, py: Column, corners: list[tuple[float, float]]) -> Column:
+    """Distance to the border of a closed polygon: positive inside (even-odd rule), negative outside."""
+    nearest, crossed = [], []
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]]):
+        dx, dy = bx - ax, by - ay
+        length = dx * dx + dy * dy
+        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / length)) if length else F.lit(0.0)
+        nearest.append(F.sqrt(F.pow(px - ax - along * dx, 2) + F.pow(py - ay - along * dy, 2)))
+        if dy:
+            crossed.append(F.when(((F.lit(ay) > py) != (F.lit(by) > py)) & (px < dx * (py - ay) / dy + ax), 1).otherwise(0))
+    inside = reduce(lambda x, y: x + y, crossed, F.lit(0)) % 2 == 1
+    distance = F.least(*nearest) if len(nearest) > 1 else nearest[0]
+    return F.when(inside, distance).otherwise(-distance)

@@ -4,35 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import xy_cut
-from .text import Rule
+from .text import Rule, replacing, sticky
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def register(spark: SparkSession, rules: list[Rule] = ()) -> None:
     """``clean_text(text)`` with the given rules, and ``xy_cut(TABLE(...) PARTITION BY page_id)``."""
-    import re
-
-    compiled = []
-    for r in rules:
-        if r.enabled and r.pattern:
-            flags = (re.I if "i" in r.flags else 0) | (re.M if "m" in r.flags else 0) | (re.S if "s" in r.flags else 0)
-            try:
-                compiled.append((re.compile(r.pattern, flags), re.sub(r"\$(\d)", r"\\\1", r.replacement), 0 if "g" in r.flags else 1))
-            except re.error:
-                continue
-
-    @F.pandas_udf("string")
-    def clean_text(text: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            for p, new, n in compiled if t is not None else ():
-                t = p.sub(new, t, count=n)
-            return t
-
-        return text.map(one)
+    text = "text"
+    for k, rule in enumerate(r for r in rules if r.enabled and r.pattern):
+        if "y" in rule.flags:
+            spark.udf.register(f"clean_text_sticky_{k}", sticky(rule))
+            text = f"clean_text_sticky_{k}({text})"
+        elif parts := replacing(spark, rule):
+            text = f"regexp_replace({text}, {_quoted(parts[0])}, {_quoted(parts[1])})"
+    # A function of SQL itself: the same built-in chain as the column form.
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_text(text STRING) RETURNS STRING RETURN {text}")
 
     @F.udtf(returnType="page_id long, det_idx long, ord int")
     class XyCut:
@@ -47,5 +40,4 @@ def register(spark: SparkSession, rules: list[Rule] = ()) -> None:
             for (page, i, _), o in zip(rows, xy_cut([b for *_, b in rows])):
                 yield page, i, o
 
-    spark.udf.register("clean_text", clean_text)
     spark.udtf.register("xy_cut", XyCut)

@@ -104,7 +104,8 @@ def _group_count(spark: SparkSession, pattern: str) -> int | None:
         return None
 
 
-def _sticky(rule: Rule):
+def sticky(rule: Rule):
+    """A rule with the flag y as a pandas UDF."""
     body = translate_pattern(rule.pattern).replace(r"\x{", r"\u{")
     body = re.sub(r"\\u\{([0-9A-Fa-f]+)\}", lambda m: chr(int(m[1], 16)) if int(m[1], 16) > 32 else f"\\x{int(m[1], 16):02x}", body)
     flags = (re.I if "i" in rule.flags else 0) | (re.M if "m" in rule.flags else 0) | (re.S if "s" in rule.flags else 0)
@@ -125,22 +126,28 @@ def _sticky(rule: Rule):
     return F.pandas_udf(lambda s: s.map(one) if isinstance(s, pd.Series) else s, "string")
 
 
-def apply_rule(spark: SparkSession, text: Column, rule: Rule) -> Column:
-    if not rule.enabled or not rule.pattern:
-        return text
-    if "y" in rule.flags:
-        return _sticky(rule)(text)
+def replacing(spark: SparkSession, rule: Rule) -> tuple[str, str] | None:
+    """(pattern, replacement) for ``regexp_replace``, or None for an invalid pattern."""
     body = translate_pattern(rule.pattern)
     inline = ("i" if "i" in rule.flags else "") + ("dm" if "m" in rule.flags else "") + ("s" if "s" in rule.flags else "")
     flagged = (f"(?{inline})" if inline else "") + body
     groups = _group_count(spark, flagged)
     if groups is None:
-        return text
+        return None
     if "g" in rule.flags:
-        return F.regexp_replace(text, F.lit(flagged), F.lit(translate_replacement(rule.replacement, groups)))
+        return flagged, translate_replacement(rule.replacement, groups)
     # The first match alone: everything before it is a group of its own, the match another.
     first = r"\A([\s\S]*?)(" + (f"(?{inline}:{body})" if inline else body) + ")"
-    return F.regexp_replace(text, F.lit(first), F.lit("$1" + translate_replacement(rule.replacement, groups, 1)))
+    return first, "$1" + translate_replacement(rule.replacement, groups, 1)
+
+
+def apply_rule(spark: SparkSession, text: Column, rule: Rule) -> Column:
+    if not rule.enabled or not rule.pattern:
+        return text
+    if "y" in rule.flags:
+        return sticky(rule)(text)
+    parts = replacing(spark, rule)
+    return text if parts is None else F.regexp_replace(text, F.lit(parts[0]), F.lit(parts[1]))
 
 
 def clean(spark: SparkSession, text: Column, rules: Iterable[Rule]) -> Column:
@@ -165,6 +172,11 @@ def fixed3(x: Column) -> Column:
     return F.floor(x * 1000 + 0.5) / 1000
 
 
+def parse_int(text: Column) -> Column:
+    """The whole number that opens a text after white space; null if there is none."""
+    return F.nullif(F.regexp_extract(text, rf"^[{WHITE}]*([+-]?[0-9]+)", 1), F.lit("")).try_cast("long")
+
+
 def progress_text(phase: Column, current: Column, total: Column) -> Column:
     return F.format_string("%s (%d/%d)", phase, current, total)
 

@@ -37,6 +37,11 @@ def renumbered(rules: DataFrame, per_bin: int = 1024) -> DataFrame:
     return numbered.withColumn("pos", F.col("__start") + F.col("__row")).select(*rules.columns)
 
 
+def new_rule(id: Column, name: Column) -> Column:
+    """A rule as it is created: empty pattern and replacement, all matches, switched on."""
+    return F.struct(id.alias("id"), name.alias("name"), F.lit("").alias("comment"), F.lit("").alias("pattern"), F.lit("g").alias("flags"), F.lit("").alias("replacement"), F.lit(True).alias("enabled"))
+
+
 def delete(rules: DataFrame, ids: list) -> DataFrame:
     return renumbered(rules.where(~F.col("id").isin(ids)))
 

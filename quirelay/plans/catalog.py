@@ -22,15 +22,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 DET_SQL = """
-SELECT l_orderkey % 500 AS page_id,
-  row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+SELECT l_orderkey // 8 AS page_id,
+  row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
     l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS det_idx,
   l_partkey % 17 AS class_idx, l_discount * 10 AS conf, (l_partkey * 37) % 1000 AS x1, (l_suppkey * 53) % 1400 AS y1,
   CAST(CASE WHEN l_partkey % 17 IN (0, 7, 15) THEN 150 + l_quantity * 6 ELSE 20 + l_quantity * 3 END AS BIGINT) AS w,
   CAST(CASE WHEN l_partkey % 17 IN (0, 7, 15) THEN 150 + l_quantity * 6 ELSE 12 + l_quantity % 20 END AS BIGINT) AS h
 FROM lineitem
 """
-DET = f"WITH det AS ({DET_SQL}) "
+DET = f"WITH det AS MATERIALIZED ({DET_SQL}) "
 ROUND = "CAST(floor({} + 0.5) AS BIGINT)"
 
 
@@ -41,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def det(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
-    line = read(spark, sf_dir, "lineitem").withColumn("page_id", F.col("l_orderkey") % 500)
+    line = read(spark, sf_dir, "lineitem").withColumn("page_id", F.floor(F.col("l_orderkey") / 8).cast("long"))
     part, q = F.col("l_partkey"), F.col("l_quantity")
     block = (part % 17).isin(0, 7, 15)
     return line.select(
@@ -392,37 +392,80 @@ def normalize_pixels(spark, sf_dir):
 
 
 # --- rules, settings, formats ---------------------------------------------------------------------------------
-_EX = "SELECT p_name AS name, min(p_partkey) AS pos, min(p_brand) AS pattern FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_name"
-_IM = "SELECT p_name AS name, max_by(p_type, p_partkey) AS pattern, max(p_partkey) AS last FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name"
+_LISTS = "WITH named AS (SELECT p_name, p_brand, p_type, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n, count(*) OVER (PARTITION BY p_name) AS many FROM part) "
+_EX = "SELECT p_name AS name, p_partkey AS pos, p_brand AS pattern FROM named WHERE n = 1"
+_IM = "SELECT p_name AS name, max_by(p_type, p_partkey) AS pattern FROM named WHERE n > 1 OR many = 1 GROUP BY p_name"
 
 
-@query(f"SELECT coalesce(e.name, i.name) AS name, coalesce(i.pattern, e.pattern) AS pattern, e.pos AS kept_pos, i.name IS NOT NULL AS imported FROM ({_EX}) e FULL JOIN ({_IM}) i ON e.name = i.name")
+def _lists(spark, sf_dir):
+    """Two rule lists of all parts: the first part of each name exists; other parts, and names met once, are imported."""
+    w = Window.partitionBy("p_name")
+    named = read(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", "p_partkey", F.row_number().over(w.orderBy("p_partkey")).alias("n"), F.count(F.lit(1)).over(w).alias("many"))
+    existing = named.where("n = 1").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("pattern"))
+    return existing, named.where("n > 1 OR many = 1").select(F.col("p_name").alias("name"), F.col("p_type").alias("pattern"), F.col("p_partkey").alias("pos"))
+
+
+@query(_LISTS + f"SELECT coalesce(e.name, i.name) AS name, coalesce(i.pattern, e.pattern) AS pattern, e.pos AS kept_pos, i.name IS NOT NULL AS imported FROM ({_EX}) e FULL JOIN ({_IM}) i ON e.name = i.name")
 def rule_upsert(spark, sf_dir):
     """J10 with part names as proxies of rule names: imported values win, position and place stay."""
     from ..operators.rules import upsert
 
-    part = read(spark, sf_dir, "part")
-    existing = part.where("p_partkey % 3 != 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"), F.min("p_brand").alias("pattern"))
-    imported = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), F.col("p_type").alias("pattern"), F.col("p_partkey").alias("pos"))
+    existing, imported = _lists(spark, sf_dir)
     return upsert(existing, imported, ["pattern"]).select("name", "pattern", "kept_pos", "imported")
 
 
-@query(f"SELECT i.name FROM ({_IM}) i WHERE EXISTS (SELECT 1 FROM ({_EX}) e WHERE e.name = i.name)")
+@query(_LISTS + f"SELECT DISTINCT i.name FROM ({_IM}) i WHERE EXISTS (SELECT 1 FROM ({_EX}) e WHERE e.name = i.name)")
 def rule_dupes(spark, sf_dir):
     """J11."""
-    part = read(spark, sf_dir, "part")
-    return part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).distinct().join(part.where("p_partkey % 3 != 0").select(F.col("p_name").alias("name")), "name", "left_semi")
+    existing, imported = _lists(spark, sf_dir)
+    return imported.select("name").distinct().join(existing.select("name"), "name", "left_semi")
 
 
-@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY k, p_partkey) - 1 AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey = 5 THEN 6 WHEN p_partkey = 6 THEN 5 ELSE p_partkey END AS k FROM part WHERE p_partkey <= 50 AND p_partkey <> 10)")
+@query("SELECT p_partkey AS id, row_number() OVER (ORDER BY k, p_partkey) - 1 AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey = 5 THEN 6 WHEN p_partkey = 6 THEN 5 ELSE p_partkey END AS k FROM part WHERE p_partkey <> 10)")
 def rule_edits(spark, sf_dir):
-    """Delete one rule and move another, in a list of 50 (the feature is a short list)."""
+    """Delete one rule and move another, in the list of all parts."""
     from ..operators.rules import delete, move
 
-    rules = read(spark, sf_dir, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - 1).alias("pos"))
+    rules = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - 1).alias("pos"))
     return delete(move(rules, 4, 1), [10]).select("id", "pos")
 
 
+@query("SELECT p_partkey AS id, 'Rule ' || p_partkey AS name, '' AS pattern, 'g' AS flags, '' AS replacement, true AS enabled FROM part")
+def new_rules(spark, sf_dir):
+    """A new rule for each number."""
+    from ..operators.rules import new_rule
+
+    return read(spark, sf_dir, "part").select(new_rule(F.col("p_partkey"), F.concat(F.lit("Rule "), F.col("p_partkey").cast("string"))).alias("r")).select("r.id", "r.name", "r.pattern", "r.flags", "r.replacement", "r.enabled")
+
+
+@query("SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(o_totalprice || 'px', '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS x, TRY_CAST(nullif(regexp_extract(o_orderpriority, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS y FROM orders")
+def parse_boxes(spark, sf_dir):
+    """The whole number that opens a text, or none."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.parse_int(F.concat(F.col("o_totalprice").cast("string"), F.lit("px"))).alias("x"), T.parse_int(F.col("o_orderpriority")).alias("y"))
+
+
+@query(DET + "SELECT page_id, det_idx, abs(y1 - x1) AS width, abs(x1 + w - y1) AS height FROM det WHERE abs(y1 - x1) > 5 AND abs(x1 + w - y1) > 5")
+def viewer_selection(spark, sf_dir):
+    """in the viewer a selection of five pixels or less is void."""
+    r = G.corners_to_rect(F.col("x1"), F.col("y1"), F.col("y1"), F.col("x1") + F.col("w"))
+    return det(spark, sf_dir).select("page_id", "det_idx", r.alias("r")).where(G.is_selected(F.col("r"), "viewer")).select("page_id", "det_idx", "r.width", "r.height")
+
+
+_POLYGON = "(VALUES (0, 200.0, 100.0, 800.0, 300.0), (1, 800.0, 300.0, 500.0, 1200.0), (2, 500.0, 1200.0, 200.0, 100.0)) e(k, ax, ay, bx, ye)"
+
+
+@query(
+    DET + "SELECT page_id, det_idx, round(CASE WHEN sum(CASE WHEN (ay > y1) <> (ye > y1) AND x1 < (bx - ax) * (y1 - ay) / (ye - ay) + ax THEN 1 ELSE 0 END) % 2 = 1 THEN 1 ELSE -1 END * min(sqrt("
+    "pow(x1 - ax - greatest(0.0, least(1.0, ((x1 - ax) * (bx - ax) + (y1 - ay) * (ye - ay)) / (pow(bx - ax, 2) + pow(ye - ay, 2)))) * (bx - ax), 2) + "
+    "pow(y1 - ay - greatest(0.0, least(1.0, ((x1 - ax) * (bx - ax) + (y1 - ay) * (ye - ay)) / (pow(bx - ax, 2) + pow(ye - ay, 2)))) * (ye - ay), 2))), 6) AS d "
+    f"FROM (SELECT page_id, det_idx, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM det), {_POLYGON} GROUP BY page_id, det_idx"
+)
+def polygon_distance(spark, sf_dir):
+    """signed distance to a polygon of any shape, here a triangle."""
+    corners = [(200.0, 100.0), (800.0, 300.0), (500.0, 1200.0)]
+    return det(spark, sf_dir).select("page_id", "det_idx", F.round(G.polygon_distance(F.col("x1").cast("double"), F.col("y1").cast("double"), corners), 6).alias("d"))
+
+
 @query("SELECT event_id, event_type || ' (' || (i + 1) || '/' || n || ')' AS message, CAST(floor(100.0 * (i + 1) / n + 0.5) AS BIGINT) AS pct FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE (i + 1) % 5 = 0 OR i = n - 1")
 def event_progress(spark, sf_dir):
     """Every fifth step of a job and the last, with text and per cent; users are the jobs."""

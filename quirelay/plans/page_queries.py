@@ -12,11 +12,25 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import order as O
+from ..operators import page as P
 from ..operators import raster as R
 from ..sources import images as I
 from .catalog import det, query, read
 
 
+#: The same pages for DuckDB.
+PAGES = """
+WITH RECURSIVE pg AS MATERIALIZED (
+  SELECT l_orderkey // 8 AS page_id, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+      l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS det_idx,
+    l_partkey % 17 AS class_idx, l_discount * 10 AS conf, (l_partkey * 37) % 1000 AS x1, (l_suppkey * 53) % 1400 AS y1,
+    CAST(CASE WHEN l_partkey % 17 IN (0, 7, 15) THEN 150 + l_quantity * 6 ELSE 20 + l_quantity * 3 END AS BIGINT) AS w,
+    CAST(CASE WHEN l_partkey % 17 IN (0, 7, 15) THEN 150 + l_quantity * 6 ELSE 12 + l_quantity % 20 END AS BIGINT) AS h
+  FROM lineitem
+)
+"""
+
+
 def pages(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem").withColumn("page_id", F.floor(F.col("l_orderkey") / 8).cast("long"))
     order = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
@@ -51,22 +65,72 @@ def dedup_lines(spark, sf_dir):
     return O.deduplicated(lines(spark, sf_dir)).select("page_id", "det_idx", "line_pos")
 
 
-@query()
+NOTES_SQL = (
+    PAGES
+    + """, note AS (
+  SELECT page_id, det_idx, row_number() OVER (PARTITION BY page_id ORDER BY det_idx) AS k,
+    x1 - CASE WHEN w < h THEN w * 0.1 / 2 ELSE 0 END AS ax, y1 - CASE WHEN w < h THEN 0 ELSE h * 0.1 / 2 END AS ay,
+    x1 + w + CASE WHEN w < h THEN w * 0.1 / 2 ELSE 0 END AS bx, y1 + h + CASE WHEN w < h THEN 0 ELSE h * 0.1 / 2 END AS ye
+  FROM pg WHERE class_idx = 4
+), listed AS (
+  SELECT page_id, list({'k': k, 'ax': ax, 'ay': ay, 'bx': bx, 'ye': ye} ORDER BY k) AS free FROM note GROUP BY page_id
+), step AS (
+  SELECT page_id, 0 AS g, free, [free[1]] AS taken FROM listed WHERE false
+  UNION ALL
+  SELECT page_id, -1, free, CAST([] AS STRUCT(k BIGINT, ax DOUBLE, ay DOUBLE, bx DOUBLE, ye DOUBLE)[]) FROM listed
+), walk AS (
+  SELECT page_id, g, [{'k': x.k, 'ax': CAST(x.ax AS DOUBLE), 'ay': CAST(x.ay AS DOUBLE), 'bx': CAST(x.bx AS DOUBLE), 'ye': CAST(x.ye AS DOUBLE)} FOR x IN free] AS free, CAST([] AS BIGINT[]) AS taken FROM step
+  UNION ALL
+  SELECT page_id, g + 1,
+    list_filter(free, lambda x: NOT (x.k = free[1].k OR (least(x.bx, free[1].bx) > greatest(x.ax, free[1].ax) AND least(x.ye, free[1].ye) > greatest(x.ay, free[1].ay)))),
+    list_transform(list_filter(free, lambda x: x.k = free[1].k OR (least(x.bx, free[1].bx) > greatest(x.ax, free[1].ax) AND least(x.ye, free[1].ye) > greatest(x.ay, free[1].ay))), lambda x: x.k)
+  FROM walk WHERE len(free) > 0
+)
+SELECT note.page_id, note.det_idx, CAST(g AS INTEGER) AS note_group FROM (SELECT page_id, g, unnest(taken) AS k FROM walk) t JOIN note USING (page_id, k)
+"""
+)
+
+
+@query(NOTES_SQL)
 def warichu_groups(spark, sf_dir):
     """J7, F24."""
     return O.grouped_notes(lines(spark, sf_dir)).select("page_id", "det_idx", "note_group")
 
 
+WIDTH, HEIGHT = 1000, 1400
+
+
+def tree(spark, sf_dir, smooth=False):
+    return P.ordered(B.page_elements(pages(spark, sf_dir)), WIDTH, HEIGHT, smooth)
+
+
 @query()
 def page_sort(spark, sf_dir):
-    """Pages in reading order."""
-    return O.page_sorted(O.page_order(lines(spark, sf_dir))).select("page_id", "det_idx", "line_pos")
+    """Whole pages (blocks, containers, lines) in reading order."""
+    return tree(spark, sf_dir).where("tag = 'LINE'").select("page_id", "section", "pos", "child", "det_idx", "ord", "line_pos")
 
 
 @query()
 def smooth_order(spark, sf_dir):
-    """G9, G9a."""
-    return O.page_sorted(O.page_order(lines(spark, sf_dir)), smooth=True).select("page_id", "det_idx", "line_pos")
+    """G9, G9a, with the size of the page."""
+    return tree(spark, sf_dir, True).where("tag = 'LINE'").select("page_id", "section", "pos", "child", "det_idx", "line_pos")
+
+
+def strings(spark, sf_dir):
+    """A stand-in for recognised texts: the numbers of detections."""
+    return pages(spark, sf_dir).select("page_id", "det_idx", F.concat(F.lit("line "), F.col("det_idx").cast("string")).alias("string"))
+
+
+@query()
+def page_chain_text(spark, sf_dir):
+    """Detections to text: G2, G5, G7, G9, J5, T8's result, A11, A12."""
+    return P.page_texts(P.with_strings(tree(spark, sf_dir, True), strings(spark, sf_dir)))
+
+
+@query()
+def page_chain_xml(spark, sf_dir):
+    """Detections to XML with ORDER and STRING: K2, M4, G2 to G9."""
+    return P.sorted_xml(P.with_strings(tree(spark, sf_dir, True), strings(spark, sf_dir)), WIDTH, HEIGHT)
 
 
 @query()
@@ -109,13 +173,27 @@ def _digest(image):
     return [image["width"].alias("width"), image["height"].alias("height"), F.md5(image["content"]).alias("digest")]
 
 
-@query()
+#: The pixels of every vector's picture, four bytes each, and the picture of the pixels at given places.
+CROP_SQL = """
+SELECT vec_id, {w} AS width, {h} AS height, md5(unhex(string_agg(printf('%02x', CAST(floor(abs(embedding[1 + ({y} * 4 + {x}) * 4 + c]) * CAST(255 AS FLOAT)) AS BIGINT) % 256), '' ORDER BY j, i, c))) AS digest
+FROM embeddings, (SELECT range AS j FROM range({h})) rows, (SELECT range AS i FROM range({w})) columns, (SELECT range AS c FROM range(4)) signs
+GROUP BY vec_id
+"""
+
+
+@query(CROP_SQL.format(w=5, h=5, x="(1 + greatest(0, least(i - 1, 2)))", y="greatest(0, least(j - 1, 2))"))
 def raster_crop(spark, sf_dir):
-    """R-a, R-b, D4."""
+    """R-a, D4."""
     c = R.cropped(F.col("content"), F.col("width"), F.col("height"), F.lit(1), F.lit(0), F.lit(5), F.lit(3))
     return tiles(spark, sf_dir).select("vec_id", c.alias("c")).select("vec_id", *_digest(F.col("c")))
 
 
+@query(CROP_SQL.format(w=3, h=3, x="(1 + i)", y="j"))
+def raster_clamp(spark, sf_dir):
+    """R-b: the part inside the picture alone."""
+    return tiles(spark, sf_dir).select("vec_id", R.image_udf(lambda a: R.crop_clamped(a, 1, 0, 5, 3))("content", "width", "height").alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
 @query()
 def raster_letterbox(spark, sf_dir):
     """R-c."""

@@ -108,11 +108,19 @@ def test_elements(spark):
 
 
 def test_sql_functions(spark):
+    from quirelay.functions.text import clean
     from quirelay.ship import ship
 
     ship(spark)
-    sql.register(spark, [Rule("a", "b")])
-    assert spark.sql("select clean_text('cat')").first()[0] == "cbt"
+    rows = ["cat", "売 上\u3000高", "the theme 'x' \\ $", "aab", None, ""]
+    frame = spark.createDataFrame([(r,) for r in rows], "text string")
+    for rules in (
+        [Rule("a", "b")], [Rule("the", "[$&]"), Rule("(a)(b)", "$2$$")], [Rule(r"\s+", "_", "g")], [Rule("the", "'\\\\'", "")], [Rule("[", "x"), Rule("T", "q", "gi")], [Rule("a", "", "gy")], [Rule("x", "y", "g", False)], [],
+    ):
+        sql.register(spark, rules)
+        frame.createOrReplaceTempView("cleaned")
+        want = [r[0] for r in frame.select(clean(spark, F.col("text"), rules)).collect()]
+        assert [r[0] for r in spark.sql("select clean_text(text) from cleaned").collect()] == want, rules
     spark.createDataFrame([(1, 0, 10, 100, 200, 130), (1, 1, 10, 10, 200, 40)], "page_id long, det_idx long, x0 long, y0 long, x1 long, y1 long").createOrReplaceTempView("boxes")
     got = spark.sql("select det_idx, ord from xy_cut(TABLE(boxes) PARTITION BY page_id) order by det_idx").collect()
     assert [tuple(r) for r in got] == [(0, 1), (1, 0)]
@@ -122,3 +130,41 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 55
+
+
+def test_page_chain(spark):
+    """Two lines in a text block, a table with a line, a free line and a duplicate of it: order, text and XML of the page."""
+    from quirelay.operators import blocks as B
+    from quirelay.operators import page as P
+
+    rows = [
+        (1, 0, 0, 0.9, 100, 100, 400, 300), (1, 1, 1, 0.9, 110, 200, 300, 30), (1, 2, 1, 0.8, 110, 120, 300, 30), (1, 3, 15, 0.9, 100, 600, 400, 200), (1, 4, 1, 0.7, 120, 650, 200, 30),
+        (1, 5, 1, 0.6, 100, 20, 300, 30), (1, 6, 1, 0.5, 101, 21, 298, 29),
+    ]
+    det = spark.createDataFrame(rows, "page_id long, det_idx long, class_idx long, conf double, x1 long, y1 long, w long, h long")
+    tree = P.ordered(B.page_elements(det), 1000, 1400)
+    place = {r["det_idx"]: r["line_pos"] for r in tree.where("tag = 'LINE'").collect()}
+    assert sorted(place) == [1, 2, 4, 5, 6] and place[6] is None
+    assert sorted((k for k in place if place[k] is not None), key=place.get) == [5, 2, 1, 4]  # the line above, the block's from above, the table's last
+    assert tree.where("tag = 'LINE' and ord is null").count() == 0
+    strings = spark.createDataFrame([(1, k, f"text {k}") for k in (1, 2, 5, 6)], "page_id long, det_idx long, string string")
+    named = P.with_strings(tree, strings)
+    assert [tuple(r) for r in P.page_texts(named).collect()] == [(1, "text 5\ntext 2\ntext 1\n", 4)]
+    xml = P.sorted_xml(named, 1000, 1400).first()["xml"]
+    at = [xml.index(x) for x in ('STRING="text 5"', 'STRING="text 2"', 'STRING="text 1"', "<BLOCK")]
+    assert at == sorted(at) and "text 6" not in xml and xml.count("ORDER=") == 4 and xml.count("<LINE") == 4
+
+
+def test_rule_constructor_numbers_and_polygons(spark):
+    from quirelay.functions import geometry as G
+    from quirelay.functions import text as T
+    from quirelay.operators.rules import new_rule
+
+    r = spark.range(1).select(new_rule(F.lit("7"), F.lit("n")).alias("r")).first()["r"].asDict()
+    assert r == {"id": "7", "name": "n", "comment": "", "pattern": "", "flags": "g", "replacement": "", "enabled": True}
+    texts = [("12px", 12), (" -3.9", -3), ("\u3000+4", 4), ("px", None), ("", None), (None, None), ("9" * 30, None)]
+    assert [x[0] for x in spark.createDataFrame(texts, "t string, want long").select(T.parse_int(F.col("t"))).collect()] == [w for _, w in texts]
+    shape = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 5.0), (0.0, 10.0)]
+    points = [((5.0, 1.0), 1.0), ((5.0, 8.0), -(4.5**0.5)), ((-3.0, -4.0), -5.0), ((5.0, 5.0), 0.0)]
+    got = [spark.range(1).select(G.polygon_distance(F.lit(x), F.lit(y), shape)).first()[0] for (x, y), _ in points]
+    assert all(abs(g - w) < 1e-9 for g, (_, w) in zip(got, points))
