@@ -8,10 +8,14 @@ the token before it, and copies are kept as differences: which gadget took which
 behind which token. The language of the result is the set of correct tokenizations, every prefix of one
 included, so the last token of each prefix of a word is unique.
 
-A pre-split word is encoded from left to right through that table: for each prefix the one token is
-taken whose arc leaves the state that the shorter prefix ended in. Asked arcs and encoded chunks of text
-are kept in tables of bounded size. Decoding emits the labels of the arcs, joined by blanks, as the
-tokenizer file (which has no decoder) asks for.
+Words are read letter by letter, so each arc is spelt by the letters of its token, along a trie of the
+vocabulary, and the result is made deterministic: a state of the word automaton is the set of (token before,
+trie node) that the letters read so far allow, and holds the one token that ends there. States and
+transitions are made the first time a word asks for them and kept in tables, within a worker for all of its
+tasks; afterwards a letter costs one look-up. A pre-split word is encoded by these transitions, its tokens are
+read off backwards. The tables, and that of encoded chunks of text, have bounded sizes and start anew when
+full, which changes no result. Decoding emits the labels of the arcs, joined by blanks, as the tokenizer file
+(which has no decoder) asks for.
 
 Defined cases: a null or empty text has no tokens and decodes to ''; strings of added tokens in a text
 become these tokens; further columns are ignored; any length of text and of word is encoded whole. Code points that Unicode 15.1
@@ -39,9 +43,11 @@ from .util import read
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[^{SPACE}]+")
 END = "</w>"
-#: Entries of the tables of chunks and of arcs in a worker; both start anew when full.
-CHUNKS, ARCS = 400_000, 2_000_000
+#: Entries of the tables of chunks and of states in a worker; both start anew when full.
+CHUNKS, STATES = 400_000, 100_000
 NEVER = 1 << 60
+#: Letters stand in the low bits of a transition's key: byte letters are below 512, the last one means the end of a word.
+BITS, LAST = 9, 511
 
 
 def byte_letters() -> list[str]:
@@ -61,7 +67,6 @@ class MergeAutomaton:
         self.birth: dict[int, int] = {}
         self.taken: dict[tuple[int, int], int] = {}  # (u, v): the gadget that took arc v from the state behind u
         self.first: dict[int, bool] = {}  # arcs that leave the start
-        self.longest = max(map(len, vocab), default=1)
         made = {vocab[u + v] for u, v in merges}
         for t in vocab.values():
             if t not in made:
@@ -95,52 +100,111 @@ class MergeAutomaton:
             x = self.left[x]
 
 
+class WordAutomaton:
+    """The deterministic automaton over the letters of words; states are numbers, 0 is the start."""
+
+    def __init__(self, automaton: MergeAutomaton):
+        self.automaton = automaton
+        self.children: dict[int, int] = {}
+        self.ends = [-1]  # trie node: the token that ends there
+        self.inner = [False]  # trie node: whether letters follow
+        self.sizes: dict[int, int] = {}  # token: letters, the end of a word not counted
+        for t, x in automaton.vocab.items():
+            letters = [ord(c) for c in t.removesuffix(END)]
+            # Base symbols are single letters; other tokens that no merge makes stand in no word.
+            if x in automaton.birth and letters and max(letters) < LAST and (automaton.birth[x] >= 0 or len(letters) == 1):
+                self._spell([*letters, LAST] if t.endswith(END) else letters, x, len(letters))
+        self.number: dict[tuple[tuple[int, int], ...], int] = {}
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.tokens: list[int] = []  # state: the token that ends there
+        self.moves: dict[int, int] = {}
+        self._restart()
+
+    def _spell(self, path: list[int], x: int, size: int) -> None:
+        node = 0
+        for c in path:
+            child = self.children.setdefault(node << BITS | c, len(self.ends))
+            if child == len(self.ends):
+                self.ends.append(-1)
+                self.inner.append(False)
+            self.inner[node] = True
+            node = child
+        self.ends[node], self.sizes[x] = x, size
+
+    def _restart(self) -> None:
+        self.number.clear()
+        self.states.clear()
+        self.tokens.clear()
+        self.moves.clear()
+        self._state(((-1, 0),), -1)
+
+    def _state(self, pairs: tuple[tuple[int, int], ...], token: int) -> int:
+        found = self.number.get(pairs)
+        if found is None:
+            found = self.number[pairs] = len(self.states)
+            self.states.append(pairs)
+            self.tokens.append(token)
+        return found
+
+    def _move(self, state: int, c: int) -> int:
+        """Make the transition from ``state`` by letter ``c``."""
+        first, follows, children, ends, inner = self.automaton.first, self.automaton.follows, self.children, self.ends, self.inner
+        token, pairs = -1, []
+        # Earlier starts come first, so equal sets are equal tuples.
+        for before, node in self.states[state]:
+            child = children.get(node << BITS | c)
+            if child is None:
+                continue
+            x = ends[child]
+            # One token fits at most.
+            if x >= 0 and token < 0 and (first[x] if before < 0 else follows(before, x)):
+                token = x
+            if inner[child]:
+                pairs.append((before, child))
+        if token < 0:
+            raise ValueError(f"no tokenization with the letter {c}")
+        # After the end of a word nothing is read; the token alone tells such states apart.
+        pairs.append((token, -1 if c == LAST else 0))
+        if len(self.states) >= STATES:
+            self._restart()
+            return self._state(tuple(pairs), token)
+        found = self.moves[state << BITS | c] = self._state(tuple(pairs), token)
+        return found
+
+    def encode(self, letters: str) -> list[int]:
+        """Tokens of one pre-split word, given as byte letters."""
+        if not letters:
+            return []
+        moves, tokens, state, n = self.moves, self.tokens, 0, len(letters)
+        at = []
+        for c in map(ord, letters):
+            found = moves.get(state << BITS | c)
+            state = self._move(state, c) if found is None else found
+            at.append(tokens[state])
+        found = moves.get(state << BITS | LAST)
+        at[-1] = tokens[self._move(state, LAST) if found is None else found]
+        out = []
+        while n:
+            out.append(at[n - 1])
+            n -= self.sizes[at[n - 1]]
+        return out[::-1]
+
+
 class Encoder:
     """Encodes and decodes whole texts with tables that grow while it runs."""
 
     def __init__(self, automaton: MergeAutomaton, added: dict[str, int], split: str):
-        self.automaton, self.added = automaton, added
+        self.words, self.added = WordAutomaton(automaton), added
         self.split = regex.compile(split)
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.marks = {t[0] for t in added}
         self.letters = byte_letters()
-        self.arcs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.chunks = Chunks(self)
         self.labels = {**automaton.labels, **{i: t for t, i in added.items()}}
 
     def word(self, letters: str) -> list[int]:
-        """Tokens of one pre-split word, given as byte letters."""
-        vocab, first, arcs, n = self.automaton.vocab, self.automaton.first, self.arcs, len(letters)
-        last = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        longest = self.automaton.longest
-        for i in range(1, n + 1):
-            tail = END if i == n else ""
-            # One token fits at most, so the order of trying is free; short tokens are the usual ones.
-            for j in range(i - 1, max(0, i - longest) - 1, -1):
-                x = vocab.get(letters[j:i] + tail) if tail else vocab.get(letters[j:i])
-                if x is None:
-                    continue
-                if j == 0:
-                    fits = first.get(x, False)
-                else:
-                    key = last[j] << 32 | x
-                    fits = arcs.get(key)
-                    if fits is None:
-                        if len(arcs) >= ARCS:
-                            arcs.clear()
-                        fits = arcs[key] = self.automaton.follows(last[j], x)
-                if fits:
-                    last[i], size[i] = x, i - j
-                    break
-        out = []
-        while n:
-            if not size[n]:
-                raise ValueError(f"no tokenization of {letters[:40]!r}")
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+        return self.words.encode(letters)
 
     def chunk(self, raw: str) -> bytes:
         """Little-endian 32-bit ids of a text without white space."""
@@ -195,6 +259,16 @@ def load(path: str) -> tuple[MergeAutomaton, dict[str, int], str]:
     return MergeAutomaton(spec["model"]["vocab"], merges), {t["content"]: t["id"] for t in spec["added_tokens"]}, pattern
 
 
+_encoders: list[tuple[object, Encoder]] = []
+
+
+def encoder_of(compiled: tuple[MergeAutomaton, dict[str, int], str]) -> Encoder:
+    """The encoder of this worker process for a broadcast tokenizer; its tables serve all tasks that the process runs."""
+    if not _encoders or _encoders[0][0] is not compiled:
+        _encoders[:] = [(compiled, Encoder(*compiled))]
+    return _encoders[0][1]
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, token_ids (binary, unsigned 32-bit little-endian), decoded (string)."""
     compiled = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
@@ -202,7 +276,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     id_type = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*compiled.value)
+        encoder = encoder_of(compiled.value)
         for batch, texts in pieces(batches, "text"):
             ids = [encoder.encode(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())], names=["id", "token_ids", "decoded"])

@@ -63,6 +63,20 @@ def test_tiny_merges_by_brute_force():
             assert own.word(word) == [vocab[t] for t in tokens], word
 
 
+def test_full_tables_start_anew(tools, monkeypatch):
+    """Transitions are the same whatever states are kept; a second reading makes no state."""
+    automaton = tools[1].words.automaton
+    own = bpe.WordAutomaton(automaton)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeinrstlowhd") for _ in range(rng.randint(1, 30))) for _ in range(400)] + ["a</w>b", "</w>", "ab" * 4000, ""]
+    want = [own.encode(w) for w in words]
+    kept = len(own.states), len(own.moves)
+    assert [own.encode(w) for w in words] == want and (len(own.states), len(own.moves)) == kept
+    monkeypatch.setattr(bpe, "STATES", 50)
+    small = bpe.WordAutomaton(automaton)
+    assert [small.encode(w) for w in words] == want and len(small.states) <= 51
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "Hi there", 9), (2, None, 9), (2, None, 9), (None, "", 9)], "doc_id long, text string, id int")
     got = sorted(bpe.encode_decode(docs, bpe.default_path()).collect(), key=lambda r: (r["id"] is None, r["id"] or 0))
