@@ -44,7 +44,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[^{SPACE}]+")
 END = "</w>"
 #: Entries of the tables of chunks and of states in a worker; both start anew when full.
-CHUNKS, STATES = 400_000, 100_000
+CHUNKS, STATES = 300_000, 100_000
 NEVER = 1 << 60
 #: Letters stand in the low bits of a transition's key: byte letters are below 512, the last one means the end of a word.
 BITS, LAST = 9, 511
@@ -210,17 +210,21 @@ class Encoder:
         """Little-endian 32-bit ids of a text without white space."""
         norm = raw if raw.isascii() or unicodedata.is_normalized("NFC", raw) else unicodedata.normalize("NFC", raw)
         norm = norm.lower() if norm.isascii() else "".join(c.lower() for c in norm)
-        out = []
-        for piece in self.split.findall(norm):
-            found = self.pieces.get(piece)
-            if found is None:
-                found = struct.pack(f"<{len(ids)}I", *ids) if (ids := self.word(piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode())))) else b""
-                if len(piece) <= 40:
-                    if len(self.pieces) >= CHUNKS:
-                        self.pieces.clear()
-                    self.pieces[piece] = found
-            out.append(found)
-        return b"".join(out)
+        found = self.split.findall(norm)
+        # A piece that is a whole chunk is kept among the chunks alone.
+        return b"".join(self.piece(piece, len(found) > 1 and len(piece) <= 40) for piece in found)
+
+    def piece(self, piece: str, keep: bool) -> bytes:
+        """Ids of a pre-split word."""
+        found = self.pieces.get(piece)
+        if found is None:
+            ids = self.word(piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode())))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if keep:
+                if len(self.pieces) >= CHUNKS:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         if any(m in text for m in self.marks):
