@@ -1,4 +1,4 @@
-"""Queries of operators that SQL can't express; tests compare them with plain Python.
+"""Queries of page operators; those that SQL can't express are compared with plain Python by tests.
 
 Pages here are eight neighbouring orders, so every row of the table is on some page and pages stay small.
 """
@@ -14,7 +14,9 @@ from ..operators import blocks as B
 from ..operators import order as O
 from ..operators import page as P
 from ..operators import raster as R
+from ..operators.detections import LINE_CLASSES
 from ..sources import images as I
+from ..sources.dims import CLASSES
 from .catalog import det, query, read
 
 
@@ -133,19 +135,111 @@ def page_chain_xml(spark, sf_dir):
     return P.sorted_xml(P.with_strings(tree(spark, sf_dir, True), strings(spark, sf_dir)), WIDTH, HEIGHT)
 
 
-@query()
+#: Lines with their first container; the text blocks of a page as one list, merged child by child (``merged``); every element (``elements``).
+MERGED = (
+    PAGES
+    + f""", line AS (
+  SELECT * FROM pg WHERE class_idx IN {tuple(LINE_CLASSES)} AND conf >= 0.1
+), ranked AS (
+  SELECT l.page_id, l.det_idx, l.class_idx, CASE b.class_idx WHEN 0 THEN 1 WHEN 7 THEN 2 ELSE 3 END AS prio, b.det_idx AS block_idx,
+    row_number() OVER (PARTITION BY l.page_id, l.det_idx ORDER BY CASE b.class_idx WHEN 0 THEN 1 WHEN 7 THEN 2 ELSE 3 END, b.det_idx) AS rn
+  FROM line l JOIN pg b ON l.page_id = b.page_id AND b.class_idx IN (0, 7, 15)
+    AND l.x1 + l.w / 2 BETWEEN b.x1 AND b.x1 + b.w AND l.y1 + l.h / 2 BETWEEN b.y1 AND b.y1 + b.h
+), held AS MATERIALIZED (
+  SELECT page_id, det_idx, class_idx, prio, block_idx FROM ranked WHERE rn = 1
+), own AS (
+  SELECT page_id, block_idx AS det_idx, list({{'c': class_idx, 'd': det_idx}}) AS m FROM held WHERE prio = 1 GROUP BY page_id, block_idx
+), listed AS (
+  SELECT page_id, list({{'i': det_idx, 'x1': x1, 'y1': y1, 'x2': x1 + w, 'y2': y1 + h, 'alive': true, 'm': coalesce(m, [])}} ORDER BY det_idx) AS s
+  FROM pg LEFT JOIN own USING (page_id, det_idx) WHERE class_idx = 0 AND NOT (w < 5 AND h < 5) GROUP BY page_id
+), folded AS (
+  SELECT page_id, CAST(1 AS BIGINT) AS k, s FROM listed
+  UNION ALL
+  SELECT page_id, k + 1, CASE WHEN t IS NULL THEN s ELSE list_transform(range(1, len(s) + 1), lambda j: CASE
+      WHEN j = t THEN {{'i': s[j].i, 'x1': s[j].x1, 'y1': s[j].y1, 'x2': s[j].x2, 'y2': s[j].y2, 'alive': true,
+        'm': list_concat(s[j].m, CASE WHEN len(s[k].m) > 0 THEN s[k].m ELSE [{{'c': CAST(0 AS BIGINT), 'd': s[k].i}}] END)}}
+      WHEN j = k THEN {{'i': s[j].i, 'x1': s[j].x1, 'y1': s[j].y1, 'x2': s[j].x2, 'y2': s[j].y2, 'alive': false, 'm': s[j].m[1:0]}}
+      ELSE s[j] END) END
+  FROM (
+    SELECT page_id, k, s, list_filter(range(1, len(s) + 1), lambda j: j <> k AND s[j].alive
+      AND power(greatest(0, s[j].x1 - s[k].x1, s[k].x2 - s[j].x2), 2) + power(greatest(0, s[j].y1 - s[k].y1, s[k].y2 - s[j].y2), 2) <= 2500)[1] AS t
+    FROM folded WHERE k <= len(s)
+  )
+), merged AS MATERIALIZED (
+  SELECT page_id, b.i AS det_idx, b.alive AS alive, CASE WHEN len(list_filter(b.m, lambda x: x.c <> 0)) > 0 THEN list_transform(b.m, lambda x: x.d) ELSE [] END AS members
+  FROM (SELECT page_id, unnest(s) AS b FROM folded WHERE k = len(s) + 1)
+)
+"""
+)
+
+ELEMENTS = (
+    MERGED
+    + f""", named AS (
+  SELECT page_id, det_idx, class_idx, conf, x1 AS x, y1 AS y, w, h, {[o for _, o in CLASSES]}[class_idx + 1] AS label FROM pg
+), head AS (
+  SELECT page_id, CASE class_idx WHEN 15 THEN 0 ELSE 1 END AS section, row_number() OVER (PARTITION BY page_id, class_idx ORDER BY det_idx) - 1 AS pos, det_idx, label AS type, 'BLOCK' AS tag FROM named WHERE class_idx IN (7, 15)
+  UNION ALL
+  SELECT page_id, 2, row_number() OVER (PARTITION BY page_id ORDER BY det_idx) - 1, det_idx, NULL, 'TEXTBLOCK' FROM merged WHERE alive
+), inside AS (
+  SELECT head.page_id, section, pos, held.det_idx FROM head JOIN held ON held.page_id = head.page_id AND held.block_idx = head.det_idx AND held.prio = 3 - section WHERE section < 2
+  UNION ALL
+  SELECT page_id, section, pos, unnest(members) FROM head JOIN merged USING (page_id, det_idx) WHERE section = 2
+), elements AS (
+  SELECT page_id, section, pos, 0 AS child, tag, type, x, y, w, h, conf, det_idx FROM head JOIN named USING (page_id, det_idx)
+  UNION ALL
+  SELECT page_id, section, pos, row_number() OVER (PARTITION BY page_id, section, pos ORDER BY class_idx, det_idx), 'LINE', CASE class_idx WHEN 0 THEN '{CLASSES[1][1]}' ELSE label END, x, y, w, h, conf, det_idx
+  FROM inside JOIN named USING (page_id, det_idx)
+  UNION ALL
+  SELECT page_id, section, pos, 1, 'LINE', '{CLASSES[1][1]}', x, y, w, h, NULL, det_idx FROM head JOIN merged USING (page_id, det_idx) JOIN named USING (page_id, det_idx) WHERE section = 2 AND len(members) = 0 AND w >= 5 AND h >= 5
+  UNION ALL
+  SELECT page_id, 3, row_number() OVER (PARTITION BY page_id ORDER BY class_idx, det_idx) - 1, 0, 'LINE', label, x, y, w, h, conf, det_idx
+  FROM named SEMI JOIN line USING (page_id, det_idx) ANTI JOIN held USING (page_id, det_idx)
+  UNION ALL
+  SELECT page_id, 4, row_number() OVER (PARTITION BY page_id ORDER BY class_idx, det_idx) - 1, 0, 'BLOCK', label, x, y, w, h, conf, det_idx
+  FROM named WHERE class_idx IN {tuple(i for i, (n, _) in enumerate(CLASSES) if n.startswith("block_") and n != "block_table")} AND conf >= 0.1
+)
+"""
+)
+
+XML_SQL = (
+    ELEMENTS
+    + """, written AS (
+  SELECT page_id, section, pos, child, tag, printf('%.3f', conf) AS c, concat_ws(',', x, y, x + w, y, x + w, y + h, x, y + h) AS points,
+    printf(' TYPE="%s" X="%d" Y="%d" WIDTH="%d" HEIGHT="%d"', type, x, y, w, h) || coalesce(printf(' CONF="%.3f"', conf), '') AS attrs
+  FROM elements
+), inner_lines AS (
+  SELECT page_id, section, pos, string_agg(chr(10) || '    <LINE' || attrs || '></LINE>', '' ORDER BY child) AS xml FROM written WHERE child > 0 GROUP BY page_id, section, pos
+), parts AS (
+  SELECT page_id, section, pos, CASE WHEN tag = 'TEXTBLOCK'
+    THEN '  <TEXTBLOCK CONF="' || c || '">' || chr(10) || '    <SHAPE>' || chr(10) || '      <POLYGON POINTS="' || points || '"></POLYGON>' || chr(10) || '    </SHAPE>' || coalesce(i.xml, '') || chr(10) || '  </TEXTBLOCK>'
+    ELSE '  <' || tag || attrs || '>' || coalesce(i.xml || chr(10) || '  ', '') || '</' || tag || '>' END AS xml
+  FROM (SELECT * FROM written WHERE child = 0) LEFT JOIN inner_lines i USING (page_id, section, pos)
+)
+SELECT page_id, '<PAGE WIDTH="1000" HEIGHT="1400">' || chr(10) || string_agg(xml, chr(10) ORDER BY section, pos) || chr(10) || '</PAGE>' AS xml FROM parts GROUP BY page_id
+"""
+)
+
+
+@query(MERGED + "SELECT page_id, det_idx, alive, CAST(len(members) AS INTEGER) AS n_members FROM merged")
 def block_merge(spark, sf_dir):
     """J5, J6."""
     return B.merged_blocks(pages(spark, sf_dir)).select("page_id", "det_idx", "alive", F.size("members").alias("n_members"))
 
 
-@query()
+@query(
+    ELEMENTS
+    + "SELECT page_id, section, CAST(pos AS INTEGER) AS pos, CAST(child AS INTEGER) AS child, tag, type, x, y, w, h, conf, det_idx FROM elements"
+)
 def page_elements(spark, sf_dir):
     """G1, G2 to G2d, O8."""
     return B.page_elements(pages(spark, sf_dir))
 
 
-@query()
+@query(
+    ELEMENTS
+    + """SELECT e.page_id, CAST(row_number() OVER (PARTITION BY e.page_id ORDER BY e.section, e.pos, e.child) - 1 AS INTEGER) AS line_no, e.det_idx, up.det_idx AS parent
+FROM elements e LEFT JOIN elements up ON e.child > 0 AND up.child = 0 AND up.page_id = e.page_id AND up.section = e.section AND up.pos = e.pos WHERE e.tag = 'LINE'"""
+)
 def line_numbers(spark, sf_dir):
     """Lines in document order with their parents."""
     e = B.page_elements(pages(spark, sf_dir))
@@ -153,7 +247,7 @@ def line_numbers(spark, sf_dir):
     return B.line_elements(e).join(up, ["page_id", "section", "pos", "child"], "left").select("page_id", "line_no", "det_idx", "parent")
 
 
-@query()
+@query(XML_SQL)
 def xml_export(spark, sf_dir):
     """K2, T9, T10, T12."""
     return B.page_xml(B.page_elements(pages(spark, sf_dir)), 1000, 1400)
@@ -240,7 +334,7 @@ def recognise_stub(spark, sf_dir):
     return R.infer(tiles(spark, sf_dir), provider, "vec_id long, text string")
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(text, '\A[A-Z]+', '') AS text_clean FROM documents")
 def regex_flags(spark, sf_dir):
     """T1 with the flag y (sticky), which runs as a pandas UDF."""
     from ..functions.text import Rule, clean
