@@ -172,6 +172,25 @@ def fixed3(x: Column) -> Column:
     return F.floor(x * 1000 + 0.5) / 1000
 
 
+def fixed3_text(x: Column) -> Column:
+    """Three decimals of the exact binary value as a text, halves up in magnitude; for magnitudes below 2^20."""
+    size = F.abs(x.cast("double"))
+    # The high part has 20 binary places, so its thousandfold is exact; the low part decides whether a half is reached.
+    high = F.floor(size * 2**20) / 2**20
+    shifted = high * 1000 + 0.5
+    whole = F.floor(shifted)
+    n = whole + F.when((size - high) * 1000 >= 1 - (shifted - whole), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
+def quoted_attribute(text: Column) -> Column:
+    """An XML attribute's value in quotation marks: single ones if it holds double ones alone."""
+    for sign, name in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    double, single = F.lit('"'), F.lit("'")
+    return F.when(F.contains(text, double) & ~F.contains(text, single), F.concat(single, text, single)).otherwise(F.concat(double, F.replace(text, double, F.lit("&quot;")), double))
+
+
 def parse_int(text: Column) -> Column:
     """The whole number that opens a text after white space; null if there is none."""
     return F.nullif(F.regexp_extract(text, rf"^[{WHITE}]*([+-]?[0-9]+)", 1), F.lit("")).try_cast("long")

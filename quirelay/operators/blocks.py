@@ -2,57 +2,58 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import quoteattr
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed3_text, quoted_attribute
 from ..sources.dims import CLASSES
 from .containment import first_container, split
 
 
-def merge_blocks(blocks: list[dict], reach: int = 50) -> list[dict]:
-    """Text blocks after merging; 'members' are (class, index) of lines and of merged blocks (class 0).
+def merge_blocks(blocks: Column, reach: int = 50) -> Column:
+    """An array of text blocks (det_idx, x1, y1, x2, y2, alive, members) after merging; built-in functions alone.
 
-    Children are taken in order; the first living parent within reach gets the child's members, or a marker for
-    the child if it has none. A block with markers alone becomes empty. Dead blocks have members None.
+    ``members`` are (class_idx, det_idx) of lines and of merged blocks (class 0). Children are taken in order; the first living
+    parent within reach gets the child's members, or a marker for the child if it has none, and the child dies.
     """
-    out = [{**b, "members": list(b["members"])} for b in blocks]
-
-    def near(c: dict, p: dict) -> bool:
-        for x in (c["x1"], c["x2"]):
-            for y in (c["y1"], c["y2"]):
-                dx, dy = max(p["x1"] - x, 0, x - p["x2"]), max(p["y1"] - y, 0, y - p["y2"])
-                if dx * dx + dy * dy > reach * reach:
-                    return False
-        return True
-
-    for c in out:
-        for p in out:
-            if p is not c and p["members"] is not None and near(c, p):
-                p["members"] += c["members"] or [(0, c["i"])]
-                c["members"] = None
-                break
-    for b in out:
-        if b["members"] and all(k == 0 for k, _ in b["members"]):
-            b["members"] = []
-    return out
 
+    def step(state: Column, k: Column) -> Column:
+        c = F.get(state, k)
 
-def merged_blocks(det: DataFrame, least: float = 0.1, side: int = 5) -> DataFrame:
-    """One row for each text block of a page: det_idx, alive, members array<struct<class_idx, det_idx>>."""
-    blocks = det.where((F.col("class_idx") == 0) & ~((F.col("w") < side) & (F.col("h") < side)))
-    inside = first_container(det, least).where("prio = 1").groupBy("page_id", F.col("block_idx").alias("det_idx")).agg(F.array_sort(F.collect_list(F.struct("class_idx", F.col("det_idx").alias("line")))).alias("members"))
-    rows = blocks.select("page_id", "det_idx", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2")).join(inside, ["page_id", "det_idx"], "left")
+        def takes(j: Column) -> Column:
+            p = F.get(state, j)
+            dx = F.greatest(F.lit(0), p["x1"] - c["x1"], c["x2"] - p["x2"])
+            dy = F.greatest(F.lit(0), p["y1"] - c["y1"], c["y2"] - p["y2"])
+            return (j != k) & p["alive"] & (dx * dx + dy * dy <= reach * reach)
+
+        gift = F.when(F.size(c["members"]) > 0, c["members"]).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("class_idx"), c["det_idx"].alias("det_idx"))))
+        none = F.slice(c["members"], 1, 0)
+
+        def with_members(v: Column, alive: bool, members: Column) -> Column:
+            return F.struct(*[v[n].alias(n) for n in ("det_idx", "x1", "y1", "x2", "y2")], F.lit(alive).alias("alive"), members.alias("members"))
+
+        def given(t: Column) -> Column:
+            return F.transform(state, lambda v, j: F.when(j == t, with_members(v, True, F.concat(v["members"], gift))).when(t.isNotNull() & (j == k), with_members(v, False, none)).otherwise(v))
+
+        # A list of one binds the parent's place, so it is looked for once for each child.
+        parent = F.get(F.filter(F.sequence(F.lit(0), F.size(state) - 1), takes), F.lit(0))
+        return F.get(F.transform(F.array(parent), given), F.lit(0))
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("det_idx").reset_index(drop=True)
-        given = [{"i": int(r.det_idx), "x1": r.x1, "y1": r.y1, "x2": r.x2, "y2": r.y2, "members": [] if r.members is None else [(m["class_idx"], m["line"]) for m in r.members]} for r in p.itertuples()]
-        done = merge_blocks(given)
-        return pd.DataFrame({"page_id": p.page_id, "det_idx": p.det_idx, "alive": [b["members"] is not None for b in done], "members": [[{"class_idx": int(k), "det_idx": int(i)} for k, i in (b["members"] or [])] for b in done]})
+    return F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), blocks, step)
 
-    return rows.groupBy("page_id").applyInPandas(one, "page_id long, det_idx long, alive boolean, members array<struct<class_idx:long,det_idx:long>>")
+
+def merged_blocks(det: DataFrame, least: float = 0.1, side: int = 5) -> DataFrame:
+    """One row for each text block of a page: det_idx, alive, members array<struct<class_idx, det_idx>>; markers alone count as none."""
+    blocks = det.where((F.col("class_idx") == 0) & ~((F.col("w") < side) & (F.col("h") < side)))
+    kind = "array<struct<class_idx:bigint,det_idx:bigint>>"
+    inside = first_container(det, least).where("prio = 1").groupBy("page_id", F.col("block_idx").alias("det_idx")).agg(F.array_sort(F.collect_list(F.struct("class_idx", F.col("det_idx").alias("line")))).cast(kind).alias("members"))
+    place = [c.cast("double").alias(n) for n, c in (("x1", F.col("x1")), ("y1", F.col("y1")), ("x2", F.col("x1") + F.col("w")), ("y2", F.col("y1") + F.col("h")))]
+    rows = blocks.select("page_id", F.col("det_idx").cast("long").alias("det_idx"), *place).join(inside, ["page_id", "det_idx"], "left")
+    block = F.struct("det_idx", "x1", "y1", "x2", "y2", F.lit(True).alias("alive"), F.coalesce("members", F.array().cast(kind)).alias("members"))
+    listed = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    done = listed.select("page_id", F.explode(merge_blocks(F.col("blocks"))).alias("b"))
+    lines = F.when(F.exists("b.members", lambda m: m["class_idx"] != 0), F.col("b.members")).otherwise(F.array().cast(kind))
+    return done.select("page_id", "b.det_idx", "b.alive", lines.alias("members"))
 
 
 def page_elements(det: DataFrame, least: float = 0.1, side: int = 5) -> DataFrame:
@@ -102,40 +103,46 @@ def _lines(members: DataFrame, everything: DataFrame, label, section: int) -> Da
     return rows.select("page_id", F.lit(section).alias("section"), "pos", child.alias("child"), F.lit("LINE").alias("tag"), label.alias("type"), "x", "y", "w", "h", "conf", "det_idx")
 
 
-def element_xml(tag: str, attrs: dict[str, object], children: list[str] = (), indent: int = 0) -> str:
-    """An element with two blanks of indent, always with an end tag, attributes escaped and in the given order."""
+def element_xml(tag: Column, attrs: Column, children: Column, indent: int = 0) -> Column:
+    """An element with two blanks of indent, always with an end tag; ``children`` are the texts of elements, one to a line."""
     pad = "  " * indent
-    text = "".join(f" {k}={quoteattr(str(v))}" for k, v in attrs.items() if v is not None)
-    return f"{pad}<{tag}{text}>" + (("\n" + "\n".join(children) + f"\n{pad}") if children else "") + f"</{tag}>"
+    inner = F.when(F.size(children) > 0, F.concat(F.lit("\n"), F.array_join(children, "\n"), F.lit("\n" + pad))).otherwise(F.lit(""))
+    return F.concat(F.lit(f"{pad}<"), tag, attrs, F.lit(">"), inner, F.lit("</"), tag, F.lit(">"))
+
 
+def attributes(values: dict[str, Column]) -> Column:
+    """`` NAME="value"`` for each value that isn't null, escaped, in the given order."""
+    return F.concat(*[F.coalesce(F.concat(F.lit(f" {k}="), quoted_attribute(v.cast("string"))), F.lit("")) for k, v in values.items()])
 
-def fixed3(x: float) -> str:
-    """Three decimals of the exact binary value, halves up."""
-    from decimal import ROUND_HALF_UP, Decimal
 
-    return str(Decimal(x).quantize(Decimal("0.001"), ROUND_HALF_UP))
+def assembled_xml(elements: DataFrame, width: int, height: int, more: dict[str, Column], order: Column, place: Column, shape_last: bool = False) -> DataFrame:
+    """One XML text for each page.
+
+    ``more`` are attributes after the common ones, ``order`` sorts the lines of an element and drops those where it is null,
+    ``place`` sorts the elements of a page by their ``head`` and their ``lines`` and drops those where it is null. All
+    rows of a page meet in one shuffle; a page is the largest group.
+    """
+    x, y, w, h = (F.col(c) for c in "xywh")
+    common = {"TYPE": F.col("type"), "X": x, "Y": y, "WIDTH": w, "HEIGHT": h, "CONF": fixed3_text(F.col("conf")), **more}
+    attrs = F.when(F.col("tag") == "TEXTBLOCK", attributes({"CONF": common["CONF"]})).otherwise(attributes(common))
+    points = F.concat_ws(",", *[c.cast("string") for c in (x, y, x + w, y, x + w, y + h, x, y + h)])
+    none = F.array().cast("array<string>")
+    polygon = element_xml(F.lit("POLYGON"), F.concat(F.lit(' POINTS="'), points, F.lit('"')), none, 3)
+    shape = F.when(F.col("tag") == "TEXTBLOCK", element_xml(F.lit("SHAPE"), F.lit(""), F.array(polygon), 2))
+    rows = elements.select("page_id", "section", "pos", "child", "tag", attrs.alias("attrs"), shape.alias("shape"), order.alias("order"))
+    nodes = rows.repartition("page_id").groupBy("page_id", "section", "pos").agg(
+        F.max(F.when(F.col("child") == 0, F.struct("tag", "attrs", "shape", "order"))).alias("head"),
+        F.array_sort(F.collect_list(F.when((F.col("child") > 0) & F.col("order").isNotNull(), F.struct("order", element_xml(F.lit("LINE"), F.col("attrs"), none, 2).alias("xml"))))).alias("lines"),
+    )
+    shapes, lines = F.when(F.col("head.shape").isNotNull(), F.array("head.shape")).otherwise(none), F.transform("lines", lambda v: v["xml"])
+    part = element_xml(F.col("head.tag"), F.col("head.attrs"), F.concat(lines, shapes) if shape_last else F.concat(shapes, lines), 1)
+    parts = nodes.withColumn("place", place).groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", part.alias("xml"))))).alias("parts"))
+    return parts.select("page_id", element_xml(F.lit("PAGE"), F.lit(f' WIDTH="{width}" HEIGHT="{height}"'), F.transform("parts", lambda v: v["xml"])).alias("xml"))
 
 
 def page_xml(elements: DataFrame, width: int, height: int) -> DataFrame:
-    """One XML text for each page."""
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["section", "pos", "child"], kind="stable")
-        parts = []
-        for _, group in p.groupby(["section", "pos"], sort=True):
-            rows = list(group.itertuples())
-            attrs = lambda r: {"TYPE": r.type, "X": r.x, "Y": r.y, "WIDTH": r.w, "HEIGHT": r.h, "CONF": None if r.conf is None or r.conf != r.conf else fixed3(r.conf)}
-            head = rows[0]
-            inner = [element_xml("LINE", attrs(r), indent=2) for r in rows[1:]]
-            if head.tag == "TEXTBLOCK":
-                points = ",".join(map(str, (head.x, head.y, head.x + head.w, head.y, head.x + head.w, head.y + head.h, head.x, head.y + head.h)))
-                shape = element_xml("SHAPE", {}, [element_xml("POLYGON", {"POINTS": points}, indent=3)], 2)
-                parts.append(element_xml("TEXTBLOCK", {"CONF": fixed3(head.conf)}, [shape, *inner], 1))
-            else:
-                parts.append(element_xml(head.tag, attrs(head), inner, 1))
-        return pd.DataFrame({"page_id": [p.page_id.iloc[0]], "xml": [element_xml("PAGE", {"WIDTH": width, "HEIGHT": height}, parts)]})
-
-    return elements.groupBy("page_id").applyInPandas(one, "page_id long, xml string")
+    """One XML text for each page, elements as emitted."""
+    return assembled_xml(elements, width, height, {}, F.col("child"), F.struct("section", "pos"))
 
 
 def line_elements(elements: DataFrame) -> DataFrame:

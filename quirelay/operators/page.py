@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import element_xml, fixed3
+from .blocks import assembled_xml
 from .order import NOTE, sort_page, xy_cut
 
 
@@ -59,34 +59,10 @@ def page_texts(tree: DataFrame) -> DataFrame:
 
 def sorted_xml(tree: DataFrame, width: int, height: int) -> DataFrame:
     """One XML text for each page: blocks and lines in reading order with ORDER and STRING, then containers as emitted."""
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["section", "pos", "child"], kind="stable")
-        nodes = []
-        for key, group in p.groupby(["section", "pos"], sort=True):
-            head, *inner = list(group.itertuples())
-            inner = sorted((r for r in inner if not pd.isna(r.line_pos)), key=lambda r: r.line_pos)
-            if head.tag == "LINE" and pd.isna(head.line_pos):
-                continue
-            first = head.line_pos if head.tag == "LINE" else inner[0].line_pos if inner else -1
-            nodes.append(((1, key) if head.tag == "BLOCK" else (0, (first, 0)), head, inner))
-
-        def attrs(r) -> dict:
-            line = r.tag == "LINE"
-            return {
-                "TYPE": r.type, "X": r.x, "Y": r.y, "WIDTH": r.w, "HEIGHT": r.h, "CONF": None if pd.isna(r.conf) else fixed3(r.conf),
-                "ORDER": int(r.ord) if line else None, "STRING": r.string if line and isinstance(r.string, str) else None,
-            }
-
-        parts = []
-        for _, head, inner in sorted(nodes, key=lambda n: n[0]):
-            children = [element_xml("LINE", attrs(r), indent=2) for r in inner]
-            if head.tag == "TEXTBLOCK":
-                points = ",".join(map(str, (head.x, head.y, head.x + head.w, head.y, head.x + head.w, head.y + head.h, head.x, head.y + head.h)))
-                children.append(element_xml("SHAPE", {}, [element_xml("POLYGON", {"POINTS": points}, indent=3)], 2))
-                parts.append(element_xml("TEXTBLOCK", {"CONF": fixed3(head.conf)}, children, 1))
-            else:
-                parts.append(element_xml(head.tag, attrs(head), children, 1))
-        return pd.DataFrame({"page_id": [p.page_id.iloc[0]], "xml": [element_xml("PAGE", {"WIDTH": width, "HEIGHT": height}, parts)]})
-
-    return tree.groupBy("page_id").applyInPandas(one, "page_id long, xml string")
+    line = F.col("tag") == "LINE"
+    more = {"ORDER": F.when(line, F.col("ord")), "STRING": F.when(line, F.col("string"))}
+    tag, first = F.col("head.tag"), F.col("head.order")
+    begin = F.when(tag == "LINE", first).otherwise(F.coalesce(F.try_element_at("lines", F.lit(1))["order"], F.lit(-1)))
+    # Single lines that were duplicates have no place; elements without lines come first, in the order of emission.
+    place = F.when((tag != "LINE") | first.isNotNull(), F.struct((tag == "BLOCK").alias("last"), F.when(tag == "BLOCK", 0).otherwise(begin).alias("begin"), "section", "pos"))
+    return assembled_xml(tree, width, height, more, F.col("line_pos"), place, shape_last=True)

@@ -2,10 +2,13 @@
 
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from quirelay.functions.text import fixed3_text
 from quirelay.operators import blocks as B
 from quirelay.operators import order as O
 
@@ -70,14 +73,53 @@ def test_path_by_brute_force(n):
     assert O.cheapest_path(25, lambda i, j: 1.0) == list(range(25))
 
 
-def test_merging_blocks():
-    box = lambda i, x1, y1, x2, y2, m=(): {"i": i, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "members": list(m)}
-    got = B.merge_blocks([box(0, 0, 0, 500, 500, [(1, 7)]), box(1, 10, 10, 100, 100, [(1, 8)]), box(2, 20, 20, 90, 90)])
-    assert [b["members"] for b in got] == [[(1, 7), (1, 8), (0, 2)], None, None]
-    alone = B.merge_blocks([box(0, 0, 0, 500, 500), box(1, 10, 10, 100, 100)])
-    assert [b["members"] for b in alone] == [[], None]
+def plainly_merged(blocks: list[dict], reach: int = 50) -> list[dict]:
+    out = [{**b, "members": list(b["members"])} for b in blocks]
+
+    def near(c: dict, p: dict) -> bool:
+        for x in (c["x1"], c["x2"]):
+            for y in (c["y1"], c["y2"]):
+                dx, dy = max(p["x1"] - x, 0, x - p["x2"]), max(p["y1"] - y, 0, y - p["y2"])
+                if dx * dx + dy * dy > reach * reach:
+                    return False
+        return True
+
+    for c in out:
+        for p in out:
+            if p is not c and p["members"] is not None and near(c, p):
+                p["members"] += c["members"] or [(0, c["i"])]
+                c["members"] = None
+                break
+    for b in out:
+        if b["members"] and all(k == 0 for k, _ in b["members"]):
+            b["members"] = []
+    return out
 
 
-def test_xml():
-    assert B.element_xml("A", {"b": 'x"<', "c": None}, [B.element_xml("D", {}, (), 1)]) == "<A b='x\"&lt;'>\n  <D></D>\n</A>"
-    assert B.fixed3(0.8125) == "0.813" and B.fixed3(1.0005) == "1.000" and B.fixed3(0.9) == "0.900"
+def merged(spark, blocks):
+    rows = [(b["i"], float(b["x1"]), float(b["y1"]), float(b["x2"]), float(b["y2"]), True, [tuple(m) for m in b["members"]]) for b in blocks]
+    df = spark.createDataFrame([(rows,)], "b array<struct<det_idx:long,x1:double,y1:double,x2:double,y2:double,alive:boolean,members:array<struct<class_idx:long,det_idx:long>>>>")
+    return [[tuple(m) for m in b["members"]] if b["alive"] else None for b in df.select(B.merge_blocks(F.col("b")).alias("b")).first()["b"]]
+
+
+def test_merging_blocks(spark):
+    box = lambda i, x1, y1, x2, y2, m=(): {"i": i, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "members": list(m)}
+    assert merged(spark, [box(0, 0, 0, 500, 500, [(1, 7)]), box(1, 10, 10, 100, 100, [(1, 8)]), box(2, 20, 20, 90, 90)]) == [[(1, 7), (1, 8), (0, 2)], None, None]
+    assert merged(spark, [box(0, 0, 0, 500, 500), box(1, 10, 10, 100, 100)]) == [[(0, 1)], None]
+    rng = random.Random(4)
+    for n in (1, 2, 5, 12):
+        blocks = [box(i, x := rng.randrange(300), y := rng.randrange(300), x + rng.randrange(1, 200), y + rng.randrange(1, 200), [(1, 100 + i)] if rng.random() < 0.5 else []) for i in range(n)]
+        got = merged(spark, blocks)
+        wanted = [b["members"] for b in plainly_merged(blocks)]
+        assert [None if m is None else [] if all(k == 0 for k, _ in m) else m for m in got] == wanted
+
+
+def test_xml(spark):
+    none = F.array().cast("array<string>")
+    inner = B.element_xml(F.lit("D"), F.lit(""), none, 1)
+    values = [0.8125, 1.0005, 0.9, 0.0, -0.0625, 999999.9995, *[k / 2000 for k in range(1, 400, 2)], *[random.Random(5).random() for _ in range(50)]]
+    row = spark.range(1).select(B.element_xml(F.lit("A"), B.attributes({"b": F.lit('x"<'), "c": F.lit(None), "d": F.lit("\"'&")}), F.array(inner)).alias("xml")).first()
+    assert row["xml"] == "<A b='x\"&lt;' d=\"&quot;'&amp;\">\n  <D></D>\n</A>"
+    got = [r["t"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", fixed3_text(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert got[:3] == ["0.813", "1.000", "0.900"]
+    assert got == [str(Decimal(v).quantize(Decimal("0.001"), ROUND_HALF_UP)) for v in values]
