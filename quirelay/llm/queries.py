@@ -16,6 +16,7 @@ OPERATORS = {
     8: ("media", "op8_media"),
     9: ("licenses", "op9_licenses"),
     10: ("linededup", "op10_line_dedup"),
+    13: ("packing", "op13_packing"),
 }
 
 
