@@ -214,20 +214,18 @@ def group_box(lines: list[dict]) -> dict:
 
 
 def with_note_groups(nodes: list[dict]) -> list[dict]:
-    """``nodes`` (lines, and blocks with 'children') with overlapping notes put into 'group' nodes.
+    """``nodes`` (lines, and blocks and containers with 'children') with overlapping notes of the whole page put into 'group' nodes.
 
     The group stands before its first member inside a text block, else before its first member.
     """
-    where = [(None, k, n) for k, n in enumerate(nodes) if n["kind"] == "line"] + [(k, j, c) for k, n in enumerate(nodes) if n["kind"] == "block" for j, c in enumerate(n["children"])]
-    where.sort(key=lambda t: (t[0], t[1]) if t[0] is not None else (t[1], -1))
-    notes = [t for t in where if t[2].get("type") == NOTE]
+    notes = [(n, c) for n in nodes for c in (n["children"] if "children" in n else [n]) if c.get("type") == NOTE]
     moved: set[int] = set()
     before: dict[int, dict] = {}
-    for members in note_groups([t[2] for t in notes]):
+    for members in note_groups([c for _, c in notes]):
         found = [notes[m] for m in members]
-        anchor = next((t for t in found if t[0] is not None), found[0])
-        lines = [t[2] for t in found]
-        before[id(anchor[2])] = {"kind": "group", **group_box(lines), "conf": None, "order": upper_median([x["order"] for x in lines]), "children": lines}
+        anchor = next((c for n, c in found if n["kind"] == "block"), found[0][1])
+        lines = [c for _, c in found]
+        before[id(anchor)] = {"kind": "group", **group_box(lines), "conf": None, "order": upper_median([x["order"] for x in lines]), "children": lines}
         moved |= {id(x) for x in lines}
 
     def rebuilt(items: list[dict]) -> list[dict]:
@@ -236,7 +234,7 @@ def with_note_groups(nodes: list[dict]) -> list[dict]:
             if id(n) in before:
                 out.append(before[id(n)])
             if id(n) not in moved:
-                out.append({**n, "children": rebuilt(n["children"])} if n["kind"] == "block" else n)
+                out.append({**n, "children": rebuilt(n["children"])} if "children" in n else n)
         return out
 
     return rebuilt(nodes)
@@ -251,32 +249,44 @@ def sort_page(nodes: list[dict], smooth: bool = False, diagonal: float = 1.0) ->
     """Lines of a page in reading order.
 
     ``nodes`` are dicts of kind 'line' or 'block' (a text block with 'children') with x, y, w, h, conf, order,
-    or of kind 'container' (a table, an advertisement, a figure, with 'children'); containers come last.
+    or of kind 'container' (a table, an advertisement, a figure, with 'children'); containers come last. Notes are grouped
+    over the whole page while it is sorted; smoothing sees their single lines again.
     """
-    containers = [n for n in nodes if n["kind"] == "container"]
-    rest = with_note_groups([n for n in nodes if n["kind"] != "container"])
+    done = dissolved(_sorted_level(with_note_groups(nodes)))
+    return [x for n in (_smoothed_level(done, diagonal) if smooth else done) for x in flattened(n)]
+
+
+def _sorted_level(nodes: list[dict]) -> list[dict]:
+    """Lines, groups and text blocks by their order without duplicates, then the containers, each sorted inside."""
+
+    def inside(n: dict) -> dict:
+        return {**n, "children": without_duplicates(tolerance_sort(n["children"]))} if n["kind"] == "group" else n
+
     keyed = []
-    for n in rest:
-        if n["kind"] == "group":
-            n = {**n, "children": without_duplicates(tolerance_sort(n["children"]))}
-            keyed.append((n["order"], n))
-        elif n["kind"] == "block":
-            inner = [{**c, "children": without_duplicates(tolerance_sort(c["children"]))} if c["kind"] == "group" else c for c in n["children"]]
-            lines = without_duplicates(tolerance_sort(inner))
-            keyed.append((block_key(inner), {**n, "children": lines}))
-        else:
-            keyed.append((n["order"], n))
-    sorted_nodes = without_duplicates([n for _, n in sorted(keyed, key=lambda t: t[0])])
-    if smooth:
-        sorted_nodes = smoothed(sorted_nodes, diagonal)
-    out: list[dict] = []
-    for n in sorted_nodes:
-        out += flattened(n)
-    for c in containers:
-        out += sort_page(c["children"], smooth, diagonal)
+    for n in nodes:
+        if n["kind"] == "block":
+            children = [inside(c) for c in n["children"]]
+            keyed.append((block_key(children), {**n, "children": without_duplicates(tolerance_sort(children))}))
+        elif n["kind"] != "container":
+            keyed.append((n["order"], inside(n)))
+    containers = [{**n, "children": _sorted_level(n["children"])} for n in nodes if n["kind"] == "container"]
+    return without_duplicates([n for _, n in sorted(keyed, key=lambda t: t[0])]) + containers
+
+
+def dissolved(nodes: list[dict]) -> list[dict]:
+    """Groups replaced by their lines, at every level."""
+    out = []
+    for n in nodes:
+        inner = dissolved(n["children"]) if "children" in n else None
+        out += inner if n["kind"] == "group" else [n if inner is None else {**n, "children": inner}]
     return out
 
 
+def _smoothed_level(nodes: list[dict], diagonal: float) -> list[dict]:
+    containers = [{**n, "children": _smoothed_level(n["children"], diagonal)} for n in nodes if n["kind"] == "container"]
+    return smoothed([n for n in nodes if n["kind"] != "container"], diagonal) + containers
+
+
 def flattened(node: dict) -> list[dict]:
     return [node] if node["kind"] == "line" else [x for c in node["children"] for x in flattened(c)]
 
@@ -300,8 +310,8 @@ def cheapest_path(n: int, weight: Callable[[int, int], float]) -> list[int] | No
             if path[-1] == n - 1:
                 best = (cost, path)
             continue
-        # The node pushed last is tried first; the last node may only come at the end.
-        for j in range(min(n, path[-1] + 3) - 1, max(0, path[-1] - 2) - 1, -1):
+        # The node pushed last is tried first: one back, one on, two back, two on decide between equal ways. The last node may only come at the end.
+        for j in (path[-1] + 2, path[-1] - 2, path[-1] + 1, path[-1] - 1):
             if (path[-1], j) in edge and j not in path and (j != n - 1 or len(path) == n - 1):
                 todo.append((cost + edge[path[-1], j], [*path, j]))
     return best[1]
@@ -372,30 +382,6 @@ def deduplicated(lines: DataFrame) -> DataFrame:
     return _positions(lambda x: without_duplicates(tolerance_sort(x)), lines)
 
 
-def page_sorted(lines: DataFrame, smooth: bool = False) -> DataFrame:
-    """Lines with ``ord`` and optionally ``block`` (text block or null) and ``container`` in final order, duplicates gone."""
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        rows = _dicts(p)
-        blocks: dict = {}
-        nodes = []
-        for r, b in zip(rows, p["block"] if "block" in p else [None] * len(rows)):
-            if b is None or pd.isna(b):
-                nodes.append(r)
-            elif b in blocks:
-                blocks[b]["children"].append(r)
-            else:
-                blocks[b] = {"kind": "block", "children": [r]}
-                nodes.append(blocks[b])
-        for b in blocks.values():
-            b |= group_box(b["children"])
-        diagonal = math.hypot((p.x1 + p.w).max(), (p.y1 + p.h).max())
-        kept = sort_page(nodes, smooth, float(diagonal) or 1.0)
-        return p.iloc[[x["i"] for x in kept]].assign(line_pos=np.arange(len(kept), dtype=np.int32))
-
-    return _by_page(lines, one, "line_pos int")
-
-
 def grouped_notes(lines: DataFrame) -> DataFrame:
     """``note_group`` for each line of class 4."""
 
