@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +40,10 @@ LIMIT, END = 4096, 1
 NEARLY = 64
 #: Bins of one group of the tree.
 GROUP = 50_000
-#: Words whose ids a worker keeps; the table starts anew when full.
-WORDS = 400_000
+#: Words whose ids a worker keeps, those it meets first; the frequent ones are among them.
+WORDS = 600_000
+#: Bytes of text encoded at once: a word of them is looked up once.
+PIECE = 16 << 20
 
 _ASCII_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _WIDE_SPACE = [c.encode() for c in SPACE if ord(c) > 127]
@@ -57,17 +60,17 @@ class WordIds:
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        known = self.known
+        ids = list(map(known.get, words))
+        new = [k for k, x in enumerate(ids) if x is None]
         # The last byte of a word is the blank after it.
-        new = [w for w in words if w not in self.known]
-        coded = self.library.encode_batch_fast([w[:-1].decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        made = {w: np.array(c.ids, dtype="<u4").tobytes() for w, c in zip(new, coded, strict=True)}
-        if len(self.known) + len(made) > WORDS:
-            made = {w: self.known.get(w) or made.get(w, b"") for w in words}
-            self.known.clear()
-        short = {w: x for w, x in made.items() if len(w) <= 64}
-        self.known.update(short if len(short) <= WORDS else {})
-        return made
+        coded = self.library.encode_batch_fast([words[k][:-1].decode("utf-8", "replace") for k in new], add_special_tokens=False)
+        for k, c in zip(new, coded, strict=True):
+            ids[k] = x = array("I", c.ids).tobytes()
+            if len(known) < WORDS and len(words[k]) <= 64:
+                known[words[k]] = x
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -76,9 +79,7 @@ class WordIds:
             if c in raw:
                 raw = raw.replace(c, b" " * len(c))
         tokens, ends = split_at_blanks(raw)
-        words = tokens.dictionary.to_pylist()
-        made = self._learn(words)
-        ids = [self.known[w] if w in self.known else made[w] for w in words]
+        ids = self._ids(tokens.dictionary.to_pylist())
         codes = tokens.indices.to_numpy()
         flat = memoryview(b"".join(map(ids.__getitem__, codes.tolist())))
         upto = np.concatenate([[0], np.cumsum(np.array([len(x) for x in ids], np.int64)[codes])])
@@ -122,7 +123,7 @@ def _local(path: str, limit: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
         owners, number, start, length, crc, bodies = [], [], [], [], [], []
-        for batch, texts in pieces(batches, "text"):
+        for batch, texts in pieces(batches, "text", PIECE):
             rows = []
             for row, body in enumerate(encoder.encode(texts.cast(pa.large_binary()).to_pylist())):
                 whole = bytes(body) + last
