@@ -16,6 +16,8 @@ OPERATORS = {
     8: ("media", "op8_media"),
     9: ("licenses", "op9_licenses"),
     10: ("linededup", "op10_line_dedup"),
+    11: ("search", "op11_search"),
+    12: ("collocations", "op12_collocations"),
     13: ("packing", "op13_packing"),
 }
 
@@ -97,6 +99,56 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN least ON a = d.doc_id
 """
 
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0
+), counts AS (
+  SELECT lang, words, array_to_string(words, ' ') AS phrase, len(words) AS k, count(*) AS f
+  FROM (SELECT lang, unnest([w[i:i + j] FOR j IN range(0, 5) IF i + j <= len(w)]) AS words FROM starts) GROUP BY lang, words HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, k, f AS a, j, array_to_string(words[1:j], ' ') AS first, array_to_string(words[j + 1:k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM counts WHERE k > 1)
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, a, j, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), kept AS (
+  SELECT * FROM weakest s WHERE NOT EXISTS (
+    SELECT 1 FROM counts q WHERE q.lang = s.lang AND q.k > s.k AND 100 * q.f >= 100 * s.a AND contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' '))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), totals AS (
+  SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0
+), q AS (
+  SELECT k, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, totals GROUP BY term
+), m AS (
+  SELECT r, doc_id, 100 - 25 + (25 * len(t) * nd) // l AS m FROM d, totals
+), scores AS (
+  SELECT k, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY k, item_id, doc_id, r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_setsketch": NEAR_DUPLICATES_SQL, "op3_sharding": SHARDING_SQL, "op5_decontamination": DECONTAMINATION_SQL}
+    return {"op11_search": SEARCH_SQL, "op12_collocations": COLLOCATIONS_SQL, "op4_setsketch": NEAR_DUPLICATES_SQL, "op3_sharding": SHARDING_SQL, "op5_decontamination": DECONTAMINATION_SQL}
