@@ -8,7 +8,7 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import xy_cut
-from .text import Rule, replacing, sticky
+from .text import Rule, replacing
 
 
 def _quoted(text: str) -> str:
@@ -18,11 +18,8 @@ def _quoted(text: str) -> str:
 def register(spark: SparkSession, rules: list[Rule] = ()) -> None:
     """``clean_text(text)`` with the given rules, and ``xy_cut(TABLE(...) PARTITION BY page_id)``."""
     text = "text"
-    for k, rule in enumerate(r for r in rules if r.enabled and r.pattern):
-        if "y" in rule.flags:
-            spark.udf.register(f"clean_text_sticky_{k}", sticky(rule))
-            text = f"clean_text_sticky_{k}({text})"
-        elif parts := replacing(spark, rule):
+    for rule in (r for r in rules if r.enabled and r.pattern):
+        if parts := replacing(spark, rule):
             text = f"regexp_replace({text}, {_quoted(parts[0])}, {_quoted(parts[1])})"
     # A function of SQL itself: the same built-in chain as the column form.
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION clean_text(text STRING) RETURNS STRING RETURN {text}")

@@ -1,18 +1,17 @@
 """Text cleaning: user rules translated to the JVM's regular expressions, trims, decoding, formats.
 
 Rules are written in the ECMAScript dialect. A rule list is compiled on the driver to one chain of
-``regexp_replace`` (one projection, no Python at run time). A rule with flags that the JVM can't express
-(``y``) runs as a pandas UDF; a pattern that is invalid is left out.
+``regexp_replace`` (one projection, no Python at run time), or kept in a table and folded over the texts
+(``operators.rules.cleaned_by``). A pattern that is invalid is left out, whatever its flags. A sticky rule with the flag g
+ends at its first empty match.
 """
 
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +57,31 @@ def translate_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def translate_replacement(text: str, groups: int, shift: int = 0) -> str:
-    """``$1 $& $$ $<n>`` to the JVM's form; with ``shift`` two groups of our own come first."""
+def groups_of(pattern: str) -> tuple[int, list[str]]:
+    """(number of capturing groups, their names) of a pattern."""
+    count, names, inside, i = 0, [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            named = pattern[i + 1 : i + 3] == "?<" and pattern[i + 3 : i + 4] not in ("=", "!")
+            if named:
+                names.append(pattern[i + 3 :].split(">")[0])
+            count += named or pattern[i + 1 : i + 2] != "?"
+        i += 1
+    return count, names
+
+
+def translate_replacement(text: str, groups: int, shift: int = 0, names: Iterable[str] = ()) -> str:
+    """``$1 $& $$ $<n>`` to the JVM's form; with ``shift`` two groups of our own come first.
+
+    ``$<n>`` is plain text for a pattern without named groups and nothing for an unknown name.
+    """
     out, i = [], 0
     while i < len(text):
         c, n = text[i], text[i + 1 : i + 2]
@@ -83,9 +105,9 @@ def translate_replacement(text: str, groups: int, shift: int = 0) -> str:
             else:
                 out.append("\\$" + number)
             i += len(number)
-        elif c == "$" and n == "<" and ">" in text[i:]:
+        elif c == "$" and n == "<" and names and ">" in text[i:]:
             end = text.index(">", i)
-            out.append("${" + text[i + 2 : end] + "}")
+            out.append("${" + text[i + 2 : end] + "}" if text[i + 2 : end] in names else "")
             i = end
         elif c == "$":
             out.append("\\$")
@@ -95,57 +117,38 @@ def translate_replacement(text: str, groups: int, shift: int = 0) -> str:
     return "".join(out)
 
 
-def _group_count(spark: SparkSession, pattern: str) -> int | None:
-    """Capturing groups, or None if the JVM can't compile the pattern."""
-    try:
-        return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
-    except Exception as error:  # the JVM's PatternSyntaxException
-        logging.getLogger(__name__).warning("rule left out: %s", str(error).splitlines()[0])
-        return None
-
-
-def sticky(rule: Rule):
-    """A rule with the flag y as a pandas UDF."""
-    body = translate_pattern(rule.pattern).replace(r"\x{", r"\u{")
-    body = re.sub(r"\\u\{([0-9A-Fa-f]+)\}", lambda m: chr(int(m[1], 16)) if int(m[1], 16) > 32 else f"\\x{int(m[1], 16):02x}", body)
-    flags = (re.I if "i" in rule.flags else 0) | (re.M if "m" in rule.flags else 0) | (re.S if "s" in rule.flags else 0)
-    pattern, many = re.compile(body, flags), "g" in rule.flags
-    swap = re.sub(r"\$(\d)", r"\\\1", rule.replacement.replace("\\", "\\\\"))
-
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        out, at = [], 0
-        while (m := pattern.match(text, at)) and (m.end() > at or not out):
-            out.append(m.expand(swap))
-            at = m.end()
-            if not many or m.end() == m.start():
-                break
-        return "".join(out) + text[at:]
-
-    return F.pandas_udf(lambda s: s.map(one) if isinstance(s, pd.Series) else s, "string")
+def jvm_form(pattern: str, replacement: str, flags: str) -> tuple[str, str]:
+    """(pattern, replacement) for ``regexp_replace``, which replaces all matches; the pattern need not be valid."""
+    body = translate_pattern(pattern)
+    inline = ("i" if "i" in flags else "") + ("dm" if "m" in flags else "") + ("s" if "s" in flags else "")
+    flagged = f"(?{inline})" if inline else ""
+    groups, names = groups_of(pattern)
+    if "y" in flags:
+        # Each match begins where the last one ended; without g the only one begins the text.
+        return flagged + (r"\G" if "g" in flags else r"\A") + f"(?:{body})", translate_replacement(replacement, groups, 0, names)
+    if "g" in flags:
+        return flagged + body, translate_replacement(replacement, groups, 0, names)
+    # The first match alone: everything before it is a group of its own, the match another.
+    first = r"\A([\s\S]*?)(" + (f"(?{inline}:{body})" if inline else body) + ")"
+    return first, "$1" + translate_replacement(replacement, groups, 1, names)
 
 
 def replacing(spark: SparkSession, rule: Rule) -> tuple[str, str] | None:
-    """(pattern, replacement) for ``regexp_replace``, or None for an invalid pattern."""
-    body = translate_pattern(rule.pattern)
-    inline = ("i" if "i" in rule.flags else "") + ("dm" if "m" in rule.flags else "") + ("s" if "s" in rule.flags else "")
-    flagged = (f"(?{inline})" if inline else "") + body
-    groups = _group_count(spark, flagged)
-    if groups is None:
+    """(pattern, replacement) for ``regexp_replace``, or None for a pattern that is invalid by itself."""
+    try:
+        parts = jvm_form(rule.pattern, rule.replacement, rule.flags)
+        compile_ = spark.sparkContext._jvm.java.util.regex.Pattern.compile
+        compile_(translate_pattern(rule.pattern))
+        compile_(parts[0])
+        return parts
+    except Exception as error:  # the JVM's PatternSyntaxException, or an open brace
+        logging.getLogger(__name__).warning("rule left out: %s", (str(error).splitlines() or ["?"])[0])
         return None
-    if "g" in rule.flags:
-        return flagged, translate_replacement(rule.replacement, groups)
-    # The first match alone: everything before it is a group of its own, the match another.
-    first = r"\A([\s\S]*?)(" + (f"(?{inline}:{body})" if inline else body) + ")"
-    return first, "$1" + translate_replacement(rule.replacement, groups, 1)
 
 
 def apply_rule(spark: SparkSession, text: Column, rule: Rule) -> Column:
     if not rule.enabled or not rule.pattern:
         return text
-    if "y" in rule.flags:
-        return sticky(rule)(text)
     parts = replacing(spark, rule)
     return text if parts is None else F.regexp_replace(text, F.lit(parts[0]), F.lit(parts[1]))
 

@@ -130,9 +130,9 @@ def cropped(content: Column, width: Column, height: Column, x: Column, y: Column
 
 # --- models ---------------------------------------------------------------------------------------------------
 def infer(images: DataFrame, provider, schema: str) -> DataFrame:
-    """``provider()`` is called once in each worker and gives a function of (rows) -> rows; it holds the session.
+    """``provider()`` is called once in each task and gives a function of (rows) -> rows; it holds the session.
 
-    No model ships with this package: ``onnx_provider`` runs one whose file is given, and tests use a stub.
+    No model ships with this package; ``operators.recognition`` runs one whose file is given.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,40 +144,11 @@ def infer(images: DataFrame, provider, schema: str) -> DataFrame:
     return images.mapInPandas(run, schema)
 
 
-def tensor_name(names: list[str], hint: str, fallback: int = 0) -> str:
-    """The tensor whose name contains ``hint``, whatever the case."""
-    return next((n for n in names if hint in n.lower()), names[fallback])
-
-
-def onnx_provider(path: str, side: int = 800):
-    """Detector provider for a file that every executor can open (for example sent with ``addFile``)."""
-
-    def load():
-        import onnxruntime as ort
-
-        session = ort.InferenceSession(path, providers=["CPUExecutionProvider"])
-        inputs, outputs = [i.name for i in session.get_inputs()], [o.name for o in session.get_outputs()]
-        size = {tensor_name(inputs, "size", -1): np.array([[side, side]], np.int64)} if len(inputs) > 1 else {}
-
-        def run(batch: pd.DataFrame) -> pd.DataFrame:
-            rows = []
-            for r in batch.itertuples():
-                x = standardised(letterboxed(pixels(r.content, r.width, r.height), side))[None]
-                got = dict(zip(outputs, session.run(None, {tensor_name(inputs, "image"): x, **size})))
-                label, box, score = (np.asarray(got[tensor_name(outputs, k, i)])[0] for i, k in enumerate(("label", "box", "score")))
-                count = next((np.asarray(got[n])[0] for n in outputs if "char_count" in n.lower()), np.zeros(len(score), np.int64))
-                rows += [(r.image_id, k, int(label[k]), box[k].astype(np.float32).tolist(), float(score[k]), int(count[k])) for k in range(len(score))]
-            return pd.DataFrame(rows, columns=["image_id", "det_idx", "label", "box", "score", "char_count"])
-
-        return run
-
-    return load
-
-
 def recognise_lines(crops: list[np.ndarray], read, long: int = 98) -> list[str]:
     """Texts of line crops by ``read(list of crops) -> list of texts``.
 
-    A text of ``long`` UTF-16 units or more is dropped, its crop halved on the long side once, and both halves read.
+    A text of ``long`` UTF-16 units or more is dropped, its crop halved on the long side once, and both halves read; an
+    empty half is one transparent pixel.
     """
     texts = read(crops)
     again = [k for k, t in enumerate(texts) if len(t.encode("utf-16-le")) // 2 >= long]
@@ -186,7 +157,7 @@ def recognise_lines(crops: list[np.ndarray], read, long: int = 98) -> list[str]:
         a = crops[k]
         cut = max(a.shape[:2]) // 2
         halves += [a[:cut], a[cut:]] if a.shape[0] > a.shape[1] else [a[:, :cut], a[:, cut:]]
-    found = read(halves) if halves else []
+    found = read([a if a.size else np.zeros((1, 1, 4), np.uint8) for a in halves]) if halves else []
     for n, k in enumerate(again):
         texts[k] = found[2 * n] + found[2 * n + 1]
     return texts

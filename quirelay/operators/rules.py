@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import jvm_form
 from ..schemas import RULE_JSON
+from ..ship import ship
 
 
 def upsert(existing: DataFrame, imported: DataFrame, values: list[str], name: str = "name", pos: str = "pos") -> DataFrame:
@@ -71,14 +74,55 @@ def from_json(text: Column) -> Column:
     return F.from_json(text, RULE_JSON, {"mode": "FAILFAST"})
 
 
+def stored(text: Column) -> Column:
+    """The rules of a stored list; what isn't an array (or isn't JSON) is an empty list."""
+    found = F.from_json(text, RULE_JSON, {"mode": "PERMISSIVE"})
+    return F.when(F.ltrim(text).startswith("["), F.coalesce(found, F.array().cast(RULE_JSON))).otherwise(F.array().cast(RULE_JSON))
+
+
+@F.pandas_udf("struct<body:string,pattern:string,replacement:string>")
+def _translated(pattern: pd.Series, replacement: pd.Series, flags: pd.Series) -> pd.DataFrame:
+    def one(p: str | None, r: str | None, f: str | None) -> tuple:
+        try:
+            plain, _ = jvm_form(p or "", "", "g")
+            return plain, *jvm_form(p or "", r or "", f or "")
+        except ValueError:
+            return None, None, None
+
+    return pd.DataFrame([one(*row) for row in zip(pattern, replacement, flags)], columns=["body", "pattern", "replacement"])
+
+
+def compiled(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``jvm_pattern``, ``jvm_replacement`` and ``valid``: whether the JVM compiles the pattern by itself."""
+    ship(rules.sparkSession)
+    compile_ = lambda p: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNotNull()
+    parts = rules.withColumn("__jvm", _translated("pattern", "replacement", "flags"))
+    # A missing translation is null, which no pattern is.
+    ok = F.coalesce(F.col("__jvm.body").isNotNull() & compile_(F.coalesce("__jvm.body", F.lit("["))) & compile_(F.coalesce("__jvm.pattern", F.lit("["))), F.lit(False))
+    return parts.select(*rules.columns, F.col("__jvm.pattern").alias("jvm_pattern"), F.col("__jvm.replacement").alias("jvm_replacement"), ok.alias("valid"))
+
+
+def cleaned_by(texts: DataFrame, rules: DataFrame, list_col: str, text_col: str = "text", out: str = "text_clean") -> DataFrame:
+    """``texts`` with the rules of each text's list folded over it, in the lists' order; all lists in one pass.
+
+    ``rules`` has ``list_col``, pos, pattern, replacement, flags, enabled. Disabled and invalid rules and empty patterns are left
+    out; a text without a list (or with a null one) stays as it is, a null text null. The largest group is one list.
+    """
+    wanted = compiled(enabled(rules)).where("valid")
+    rule = F.struct("pos", F.col("jvm_pattern").alias("p"), F.col("jvm_replacement").alias("r"))
+    lists = wanted.groupBy(F.col(list_col).alias("__list")).agg(F.array_sort(F.collect_list(rule)).alias("__rules"))
+    joined = texts.join(lists, texts[list_col] == F.col("__list"), "left")
+    none = F.slice(F.array(F.struct(F.lit(0).alias("pos"), F.lit("").alias("p"), F.lit("").alias("r"))), 1, 0)
+    kind = "array<struct<pos:bigint,p:string,r:string>>"
+    folded = F.aggregate(F.coalesce(F.col("__rules").cast(kind), none.cast(kind)), F.col(text_col), lambda t, r: F.regexp_replace(t, r["p"], r["r"]))
+    return joined.withColumn(out, folded).drop("__list", "__rules")
+
+
 def enabled(rules: DataFrame) -> DataFrame:
     return rules.where(F.col("enabled") & (F.col("pattern") != ""))
 
 
 def dry_run(rules: DataFrame, text: str) -> str:
     """The rules applied to one test input."""
-    from ..functions.text import Rule, clean
-
-    spark = rules.sparkSession
-    chain = [Rule(r["pattern"], r["replacement"], r["flags"], True, r["name"]) for r in enabled(rules).orderBy("pos").collect()]
-    return spark.range(1).select(clean(spark, F.lit(text), chain)).first()[0]
+    one = rules.sparkSession.range(1).select(F.lit(text).alias("text"), F.lit(0).alias("list"))
+    return cleaned_by(one, rules.withColumn("list", F.lit(0)), "list").first()["text_clean"]

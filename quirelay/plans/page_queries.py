@@ -334,9 +334,79 @@ def recognise_stub(spark, sf_dir):
     return R.infer(tiles(spark, sf_dir), provider, "vec_id long, text string")
 
 
+#: Whole-number weights of a line model of six signs (0 ends a text) over four steps, and the pixels it sees, so that its scores are exact.
+SIGNS = list("abcde")
+
+
+def line_weights() -> np.ndarray:
+    """(channel blue to red, row, sign)."""
+    c, y, v = np.meshgrid(np.arange(3), np.arange(2), np.arange(6), indexing="ij")
+    return (7 * c + 3 * y + 5 * v * v + c * v) % 11 - 5
+
+
+def exact_line_model():
+    """Weights over the pixels of each column of a picture of 4 by 2."""
+    w = line_weights()
+    return lambda tensor: np.einsum("ncys,cyv->nsv", np.rint((tensor.astype(float) + 1) * 127.5), w)
+
+
+_PIXEL = "CAST(floor(abs(embedding[1 + {at}]) * CAST(255 AS FLOAT)) AS BIGINT) % 256"
+
+
+@query(
+    f"""WITH crop AS (
+  SELECT vec_id, d, s, v, sum(({_PIXEL.format(at="(CASE d WHEN 0 THEN y * 4 + s ELSE s * 4 + 1 - y END) * 4 + 2 - c")}) * ((7 * c + 3 * y + 5 * v * v + c * v) % 11 - 5)) AS score
+  FROM embeddings, range(2) ds(d), range(4) ss(s), range(6) vs(v), range(3) cs(c), range(2) ys(y) GROUP BY vec_id, d, s, v
+), best AS (
+  SELECT vec_id, d, s, min(v) AS sign FROM (SELECT *, max(score) OVER (PARTITION BY vec_id, d, s) AS most FROM crop) WHERE score = most GROUP BY vec_id, d, s
+), ended AS (
+  SELECT vec_id, d, coalesce(min(CASE WHEN sign = 0 THEN s END), 4) AS n FROM best GROUP BY vec_id, d
+), spelt AS (
+  SELECT b.vec_id, b.d, coalesce(string_agg(chr(96 + CAST(sign AS INTEGER)), '' ORDER BY s) FILTER (WHERE s < n), '') AS string FROM best b JOIN ended USING (vec_id, d) GROUP BY b.vec_id, b.d
+)
+SELECT vec_id, d AS det_idx, string FROM spelt UNION ALL SELECT vec_id, 2, '' FROM embeddings"""
+)
+def recognise_chain(spark, sf_dir):
+    """R-b, R-d, R-f, R-g, R-j, A10, T8: lines of pictures through a model in batches, to texts. The upper half, the left half (turned), and a line without area."""
+    from ..operators.recognition import recognised
+
+    t = tiles(spark, sf_dir).withColumnRenamed("vec_id", "page_id")
+    place = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("det_idx", "x", "y", "w", "h"), p)]) for p in ((0, 0, 0, 4, 2), (1, 0, 0, 2, 4), (2, 1, 1, 0, 4))])
+    return recognised(t, t.select("page_id", F.inline(place)), exact_line_model, SIGNS, "exact lines", shape=(4, 2)).select(F.col("page_id").alias("vec_id"), "det_idx", "string")
+
+
+def exact_page_model():
+    """A detection for each quarter of a picture of 4 by 4, from the sum of its reds."""
+
+    def model(tensor: np.ndarray) -> list[dict]:
+        red = np.rint((tensor[:, 0].astype(float) * 0.229 + 0.485) * 255).astype(np.int64)
+        sums = red.reshape(-1, 2, 2, 2, 2).sum(axis=(2, 4)).reshape(-1, 4)
+        box = np.array([[0, 0, 2, 2], [2, 0, 4, 2], [0, 2, 2, 4], [2, 2, 4, 4]], np.float32)
+        return [{"label": s % 19 + 1, "box": box, "score": (s % 97 / 97).astype(np.float32), "char_count": s % 7} for s in sums]
+
+    return model
+
+
+@query(
+    f"""WITH q AS (
+  SELECT vec_id, k, sum({_PIXEL.format(at="((k // 2) * 2 + j) * 16 + ((k % 2) * 2 + i) * 4")}) AS s FROM embeddings, range(4) ks(k), range(2) js(j), range(2) "is"(i) GROUP BY vec_id, k
+)
+SELECT vec_id AS page_id, CAST(k AS INTEGER) AS det_idx, CAST(s % 19 AS INTEGER) AS class_idx, coalesce({[n for n, _ in CLASSES]}[s % 19 + 1], 'class_' || (s % 19)) AS class_name, CAST(CAST((s % 97) / 97.0::DOUBLE AS FLOAT) AS DOUBLE) AS conf,
+  CAST(k % 2 * 2 AS INTEGER) AS x1, CAST(k // 2 * 2 AS INTEGER) AS y1, CAST(k % 2 * 2 + 2 AS INTEGER) AS x2, CAST(k // 2 * 2 + 2 AS INTEGER) AS y2, CAST(s % 7 AS BIGINT) AS pred_char_cnt
+FROM q WHERE CAST((s % 97) / 97.0::DOUBLE AS FLOAT) > CAST(0.25 AS FLOAT)"""
+)
+def detect_chain(spark, sf_dir):
+    """R-c, R-e, R-g, R-h, R-i, F1 to F4, T13: pictures through a detector in batches, to detections."""
+    from ..operators.recognition import detected
+    from ..sources.dims import classes
+
+    found, _ = detected(tiles(spark, sf_dir).withColumnRenamed("vec_id", "image_id"), exact_page_model, "exact pages", classes(spark), side=4)
+    return found
+
+
 @query(r"SELECT doc_id, regexp_replace(text, '\A[A-Z]+', '') AS text_clean FROM documents")
 def regex_flags(spark, sf_dir):
-    """T1 with the flag y (sticky), which runs as a pandas UDF."""
+    """T1 with the flag y (sticky)."""
     from ..functions.text import Rule, clean
 
     return read(spark, sf_dir, "documents").select("doc_id", clean(spark, F.col("text"), [Rule("[A-Z]", "", "gy")]).alias("text_clean"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Detector classes by index, with the labels written to the page tree.
 CLASSES = [
@@ -27,6 +28,13 @@ def classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, n, o) for i, (n, o) in enumerate(CLASSES)], "class_idx int, class_name string, org_name string")
 
 
+def charset(spark: SparkSession, path: str) -> DataFrame:
+    """The recogniser's signs (idx from 1, sign) from a text file that holds them one after another; a sign is a code point."""
+    whole = spark.read.text(path, wholetext=True)
+    signs = F.regexp_extract_all(F.regexp_replace("value", r"[\r\n]+\z", ""), F.lit("(?s)."), F.lit(0))
+    return whole.select(F.posexplode(signs).alias("pos", "sign")).select((F.col("pos") + 1).alias("idx"), "sign")
+
+
 def seed_rules(spark: SparkSession) -> DataFrame:
     from ..schemas import RULES
 

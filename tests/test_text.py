@@ -25,6 +25,19 @@ CASES = [
     ([Rule("a", "x", "gy")], "aaba", "xxba"),
     ([Rule(r"[\s,]+", "-")], "a, 　b", "a-b"),
     ([Rule("(?<y>a)b", "$<y>")], "abab", "aa"),
+    ([Rule("(?<y>a)b", "[$<z>$<y>]")], "ab", "[a]"),
+    ([Rule("a", "$<y>")], "ab", "$<y>b"),
+    ([Rule("a", "[$&$$]", "gy")], "aaba", "[a$][a$]ba"),
+    ([Rule("(?<y>a)", "$<y>$<y>", "y")], "aab", "aaab"),
+    ([Rule("[a", "x", "gy"), Rule("b", "c")], "ab", "ac"),
+    ([Rule("A", "x", "giy"), Rule("\\u{61", "y")], "aba", "xba"),
+    ([Rule("^b", "x", "gmy")], "b\nb", "x\nb"),
+    ([Rule(r"[(]\((?:x)(?=y)(?<!z)", "$1")], "((xy", "$1y"),
+    # The sample rules of the help text.
+    ([Rule(r"\s+")], " a　b\n c ", "abc"),
+    ([Rule("([ぁ-んァ-ヶ一-龥]) ([ぁ-んァ-ヶ一-龥])", "$1$2")], "漢 字 か a", "漢字 か a"),
+    ([Rule("ー+", "ー")], "スーーパーーー", "スーパー"),
+    ([Rule(r"^\d+\s*", "", "gm")], "12 a\n3\u3000b\nc 4", "a\nb\nc 4"),
 ]
 
 
@@ -47,3 +60,25 @@ def test_scalars(spark):
     nan = float("nan")
     best = [spark.range(1).select(argmax(F.array(*map(F.lit, v)))).first()[0] for v in ([0.1, 0.9, 0.2], [1.0, 1.0], [-3.0, -1.0], [nan, 1.0], [nan, nan])]
     assert best == [1, 0, 1, 1, 0]
+
+
+def test_lists_of_rules_as_a_table(spark):
+    """Every case above in one pass, each with a list of its own; texts without a list stay."""
+    from quirelay.operators.rules import cleaned_by, compiled
+
+    rows = [(str(k), pos, r.pattern, r.replacement, r.flags, r.enabled) for k, (rules, _, _) in enumerate(CASES) for pos, r in enumerate(rules)]
+    rules = spark.createDataFrame(rows, "list string, pos int, pattern string, replacement string, flags string, enabled boolean")
+    texts = spark.createDataFrame([(str(k), given, wanted) for k, (_, given, wanted) in enumerate(CASES)] + [("none", "a", "a"), (None, "a", "a"), ("0", None, None)], "list string, text string, wanted string")
+    got = cleaned_by(texts, rules, "list")
+    assert got.columns == ["list", "text", "wanted", "text_clean"]
+    assert [(r["list"], r["text_clean"]) for r in got.collect() if r["text_clean"] != r["wanted"]] == []
+    assert got.count() == len(CASES) + 3 and cleaned_by(texts, rules.limit(0), "list").where("text_clean is distinct from text").count() == 0
+    bad = spark.createDataFrame([("[a", "g"), ("a)(b", ""), ("\\u{61", "g"), ("(", "y"), ("a", "g"), (None, "g")], "pattern string, flags string").withColumn("replacement", F.lit(""))
+    assert [r["valid"] for r in compiled(bad).collect()] == [False, False, False, False, True, True]
+
+
+def test_stored_lists(spark):
+    from quirelay.operators.rules import stored
+
+    given = ['[{"id":"1","pattern":"a","flags":"g","enabled":true}]', '{"id":"1"}', "no json", "", None, "[]", ' [{"id":"2"},{"id":"3"}]']
+    assert [len(r[0]) for r in spark.createDataFrame([(g,) for g in given], "t string").select(stored(F.col("t"))).collect()] == [1, 0, 0, 0, 0, 0, 2]
