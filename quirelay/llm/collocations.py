@@ -5,13 +5,13 @@ lead columns with the next four words of its piece, null past the end. Only thes
 a Spark ROLLUP over their columns sums them to the counts of all shorter prefixes, so phrases of every length come from one
 count. A phrase is scored at its weakest cut: how much more often it stands than its two parts would make it.
 
-Windows may end early where that changes no wanted count: a phrase that reaches the least count has no pair of
-neighbours below it. Pairs (and words) are therefore counted by hash bucket first; a bucket's count is never below that
-of its pairs, so windows end at pairs of rare buckets. The frequent buckets are a bitmap of fixed size (16 MiB); with
-more text more buckets are frequent and windows end less often, which changes the work alone. Counting
-runs are cut into blocks of ``STARTS`` windows, so that a long text makes no long row.
+Windows end early where that changes no wanted count: a phrase that reaches the least count has no rarer phrase
+inside. Words and pairs, then longer phrases of frequent pairs, are therefore counted by hash bucket first; a bucket's count is
+never below that of its phrases, so a window ends where its prefix falls into a rare bucket. The frequent buckets are a bitmap of
+fixed size (16 MiB); with more text more buckets are frequent and windows end less often, which changes the work alone.
+Buckets travel as arrays of 3 bytes for each distinct one of a batch, and are added up in arrays of fixed size.
 
-All counts are partial sums before they are shuffled, so no frequent pair, word or language gathers in one task; ranks are
+All counts are summed before they are shuffled, so no frequent pair, word or language gathers in one task; ranks are
 taken in salted parts first.
 
 Defined cases: a null text has no words; a null language is ``und``; phrases never span pieces or documents;
@@ -35,9 +35,8 @@ from .util import LOWER, UPPER, durable, read
 ORDER = 5
 #: Buckets of the bitmap: 2 ** BITS.
 BITS = 27
-STARTS = 32
 #: Bytes of text a task counts at once.
-PIECE = 16 << 20
+PIECE = 8 << 20
 _WORDS = [f"w{k}" for k in range(1, ORDER + 1)]
 _PLAIN = bytes.maketrans((UPPER + ".,;:!?\x0b\x0c\r\t").encode(), (LOWER + "\n" * 9 + " ").encode())
 
@@ -53,19 +52,21 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return (codes[codes != words.index(b"")] if b"" in words else codes), words
 
 
-def _mixed(x: np.ndarray, bits: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))) & np.uint64((1 << bits) - 1)
+def prefixes(codes: np.ndarray, words: list[bytes], lang: str, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 1, 2, ... ORDER words: (bucket of the phrase that begins at each position, whether it lies in one piece)."""
+    seed = zlib.crc32(lang.encode())
+    at = np.array([zlib.crc32(w, seed) for w in words] or [0], np.uint64)[codes] * np.uint64(0x9E3779B97F4A7C15)
+    phrase, inside = at, codes >= 0
+    for k in range(1, ORDER + 1):
+        if k > 1:
+            phrase = phrase[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + at[k - 1 :]
+            inside = inside[:-1] & (codes[k - 1 :] >= 0)
+        x = (phrase ^ (phrase >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield (x ^ (x >> np.uint64(32))) & np.uint64((1 << bits) - 1), inside
 
 
-def buckets(codes: np.ndarray, words: list[bytes], lang: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word of the list, bucket of each two neighbours in ``codes``); the language is part of the hash."""
-    seed = zlib.crc32(lang.encode())
-    h = np.array([zlib.crc32(w, seed) for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    single = _mixed(h + np.uint64(1), bits)
-    at = h[codes]
-    pair = _mixed(at[:-1] + at[1:] * np.uint64(0xC2B2AE3D27D4EB4F), bits) if len(at) > 1 else np.zeros(0, np.uint64)
-    return single, pair
+def often(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (bitmap[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -76,95 +77,110 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[b
             yield lang, raw.filter(pa.array(langs.indices.to_numpy() == k)).to_pylist()
 
 
-def frequent_buckets(docs: DataFrame, least: int, bits: int = BITS) -> bytes:
-    """The bitmap of the buckets that are reached ``least`` times, 2 ** ``bits`` bits (15 at least); its parts are built on the executors."""
+#: Buckets of one part of the bitmap.
+PART = 1 << 16
+
+
+def frequent_buckets(docs: DataFrame, least: int, bits: int = BITS, pairs: bytes | None = None) -> bytes:
+    """The bitmap of the buckets that are reached ``least`` times, 2 ** ``bits`` bits (16 at least).
+
+    Without ``pairs`` those of words and pairs; with the result of that, those of longer phrases whose pairs are all frequent.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(pairs)
+    count_type = np.uint8 if least < 256 else np.int32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if known.value is None else np.frombuffer(known.value, np.uint8)
         for lang, texts in by_language(batches):
             codes, words = stream(texts)
-            single, pair = buckets(codes, words, lang, bits)
-            found, n = np.unique(pair[(codes[:-1] >= 0) & (codes[1:] >= 0)], return_counts=True)
-            times = np.bincount(codes[codes >= 0], minlength=len(words))
-            one = times > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([found, single[one]]).astype(np.int32)), pa.array(np.concatenate([n, times[one]]).astype(np.int64))], names=["bucket", "n"])
-
-    counted = arrow_map(docs, count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    parts = counted.groupBy(F.expr("bucket div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("cast(bucket % 32768 as long)")).alias("bits"))
-    whole = bytearray((1 << bits) // 8)
-    for r in parts.toLocalIterator():
-        whole[r["part"] * 4096 : r["part"] * 4096 + len(r["bits"])] = r["bits"]
+            found, steps = [], None
+            for k, (bucket, inside) in enumerate(prefixes(codes, words, lang, bits), 1):
+                if bitmap is None and k <= 2:
+                    found.append(bucket[inside])
+                elif bitmap is not None and k == 2:
+                    steps = inside & often(bitmap, bucket)
+                elif bitmap is not None and k > 2:
+                    # A phrase of k words has k - 1 frequent pairs.
+                    going = steps[: len(bucket)] if k == 3 else going[:-1]
+                    going = going & steps[k - 2 :]
+                    found.append(bucket[going])
+                elif bitmap is None:
+                    break
+            # Counts past the least one say no more.
+            all_, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            n = np.minimum(n, least).astype(count_type)
+            part, first = np.unique(all_ // np.uint64(PART), return_index=True)
+            low = (all_ % np.uint64(PART)).astype(np.uint16)
+            ends = [*first[1:].tolist(), len(all_)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary())], names=["part", "low", "n"]
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, low, n in zip(*(batch.column(c).to_pylist() for c in ("part", "low", "n"))):
+                # Low parts are distinct within a row; sums stop at the least count, so they never run over.
+                have = sums.setdefault(part, np.zeros(PART, np.int32))
+                at = np.frombuffer(low, np.uint16)
+                have[at] = np.minimum(have[at] + np.frombuffer(n, count_type), least)
+        for part, have in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(have >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    counted = arrow_map(docs, count, "part int, low binary, n binary").repartition("part")
+    whole = bytearray(max(1 << bits, PART) // 8)
+    for r in arrow_map(counted, add, "part int, bits binary").toLocalIterator():
+        whole[r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = r["bits"]
     return bytes(whole)
 
 
-def runs_of(codes: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first position, length) of the runs of words, which end at breaks and where ``goes_on`` (of each two neighbours) is false."""
-    word = codes >= 0
-    first = word.copy()
-    first[1:] &= ~(goes_on & word[:-1])
-    at = np.flatnonzero(first)
-    n = np.cumsum(word)
-    upto = n[at] - 1
-    return at, np.diff(np.append(upto, n[-1] if len(n) else 0))
-
-
-def _blocks(at: np.ndarray, size: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs in blocks of ``starts`` windows with the words after them: (first position, words, windows) of each block."""
-    per = -(-size // starts)
-    k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    rest = np.repeat(size, per) - k * starts
-    return np.repeat(at, per) + k * starts, np.minimum(rest, starts + ORDER - 1), np.minimum(rest, starts)
-
-
-def counted_runs(docs: DataFrame, least: int, bits: int = BITS, block: int = STARTS) -> DataFrame:
-    """(lang, words, starts, n): runs of words, the number of windows they open and how often they stand; a null run has the count of all words."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs, least, bits))
+def windows(docs: DataFrame, least: int, bits: int = BITS) -> DataFrame:
+    """(lang, w1 to w5, n): the windows of a batch and how often they stand; without any word, the number of all words."""
+    pairs = frequent_buckets(docs, least, bits)
+    longer = frequent_buckets(docs, least, bits, pairs)
+    both = (np.frombuffer(pairs, np.uint8) | np.frombuffer(longer, np.uint8)).tobytes()
+    frequent = docs.sparkSession.sparkContext.broadcast(both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(frequent.value, np.uint8)
-        often = lambda b: (bitmap[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         for lang, texts in by_language(batches):
             codes, words = stream(texts)
-            if not (codes >= 0).any():
-                continue
-            single, pair = buckets(codes, words, lang, bits)
-            at, size = runs_of(codes, often(pair))
-            alone = np.bincount(codes[at[size == 1]], minlength=len(words))
-            kept = np.flatnonzero((alone > 0) & often(single))
-            first, length, starts = _blocks(at[size > 1], size[size > 1], block)
-            where = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            values = pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(np.concatenate([kept, codes[where]])))
-            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.ones(len(kept), np.int64), length]))]).astype(np.int32)
-            rows = pa.table({
-                "lang": pa.array([lang] * (len(ends) - 1), pa.string()),
-                "words": pa.ListArray.from_arrays(pa.array(ends), values),
-                "starts": pa.array(np.concatenate([np.ones(len(kept), np.int64), starts]).astype(np.int32)),
-                "n": pa.array(np.concatenate([alone[kept], np.ones(len(first), np.int64)]).astype(np.int64)),
-            })
-            yield from rows.to_batches(max_chunksize=100_000)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.list_(pa.string())), pa.array([0], pa.int32()), pa.array([int((codes >= 0).sum())], pa.int64())], names=["lang", "words", "starts", "n"])
-
-    return arrow_map(docs, run, "lang string, words array<string>, starts int, n long")
-
-
-def prefix_counts(runs: DataFrame, least: int) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases of 1 to ORDER words that stand ``least`` times, by ROLLUP of the longest windows."""
-    opened = runs.where("words is not null").select("lang", "n", "words", F.explode(F.expr("sequence(0, starts - 1)")).alias("at"))
-    windows = opened.select("lang", *[F.get("words", F.col("at") + k).alias(w) for k, w in enumerate(_WORDS)], "n")
-    longest = windows.groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
+            size = np.zeros(len(codes), np.int64)  # words of the window that begins here
+            for k, (bucket, inside) in enumerate(prefixes(codes, words, lang, bits), 1):
+                size[: len(bucket)][inside & (size[: len(bucket)] == k - 1) & often(bitmap, bucket)] = k
+            at = np.flatnonzero(size)
+            size, key = size[at], codes[at]
+            lead = [np.where(size > k, np.append(codes, [-1] * ORDER)[at + k], -1) for k in range(ORDER)]
+            for column in lead[1:]:
+                _, key = np.unique(key * (len(words) + 1) + column + 1, return_inverse=True)
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            values = pa.array(words, pa.binary()).cast(pa.string())
+            columns = [values.take(pa.array(column[first], mask=column[first] < 0)) for column in lead]
+            rows = pa.table([pa.array([lang] * len(first), pa.string()), *columns, pa.array(n.astype(np.int64))], names=["lang", *_WORDS, "n"])
+            yield from rows.to_batches(max_chunksize=50_000)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), **{w: pa.array([None], pa.string()) for w in _WORDS}, "n": pa.array([int((codes >= 0).sum())], pa.int64())})
+
+    return arrow_map(docs, run, f"lang string, {', '.join(w + ' string' for w in _WORDS)}, n long")
+
+
+def prefix_counts(opened: DataFrame, least: int) -> DataFrame:
+    """(lang, words, phrase, f) of all phrases of 1 to ORDER words that stand ``least`` times, by ROLLUP of the longest windows; f of no words is that of all words."""
+    longest = opened.groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
     # Bits of grouping_id are set for the columns that are summed over; nulls of padded windows are no phrases.
     rolled = longest.rollup("lang", *_WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("over")).where(F.col("f") >= least)
     size = F.lit(ORDER) - F.bit_count("over")
-    words = F.array(*_WORDS)
-    whole = rolled.where(size >= 1).withColumn("words", F.slice(words, F.lit(1), size)).where(~F.exists("words", lambda w: w.isNull()))
+    columns = F.array(*_WORDS)
+    words = F.when((size == ORDER) & F.col("w1").isNull(), F.slice(columns, 1, 0)).when(size >= 1, F.slice(columns, F.lit(1), size))
+    whole = rolled.withColumn("words", words).where(F.col("words").isNotNull() & ~F.exists("words", lambda w: w.isNull()))
     return whole.select("lang", "words", F.array_join("words", " ").alias("phrase"), "f")
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, bits: int = BITS, block: int = STARTS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, bits: int = BITS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language that no equally frequent longer one holds."""
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
-    runs = durable(counted_runs(slim, least, bits, block), "collocation-runs")
-    totals = runs.where("words is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = durable(prefix_counts(runs, least), "collocation-counts")
+    counted = durable(prefix_counts(windows(slim, least, bits), least), "collocation-counts")
+    totals = counted.where("size(words) = 0").select("lang", F.col("f").alias("n"))
+    counts = counted.where("size(words) > 0")
     phrases = counts.where(F.size("words") > 1).select("lang", "words", "phrase", F.col("f").alias("a"))
     cut = phrases.select("lang", "words", "phrase", "a", F.explode(F.expr("sequence(1, size(words) - 1)")).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", F.expr("array_join(slice(words, 1, k), ' ')").alias("first"), F.expr("array_join(slice(words, k + 1, size(words)), ' ')").alias("rest"))
