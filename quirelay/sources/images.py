@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Name patterns of picture files.
 PATTERN = "*.{png,jpg,jpeg,gif,bmp,webp}"
 
@@ -35,6 +37,63 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path).select(img["origin"].alias("image_id"), img["width"].alias("width"), img["height"].alias("height"), rgba(img["data"], img["nChannels"]).alias("content"))
 
 
+def decode_png(png: bytes) -> tuple[int, int, bytes]:
+    """(width, height, RGBA bytes) of a PNG of 8 bits a sample, grey or colour, with or without alpha, not interlaced."""
+    if png[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, body, head = 8, [], None
+    while at + 12 <= len(png):
+        size, kind = struct.unpack(">I4s", png[at : at + 8])
+        part = png[at + 8 : at + 8 + size]
+        if len(part) < size or zlib.crc32(kind + part) != struct.unpack(">I", png[at + 8 + size : at + 12 + size])[0]:
+            raise ValueError("a damaged PNG")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"IDAT":
+            body.append(part)
+        at += 12 + size
+    if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[6]:
+        raise ValueError("a kind of PNG that isn't read")
+    w, h, channels = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * channels)
+    rows, above = np.zeros((h, w, channels), np.uint8), np.zeros((w, channels), np.int32)
+    for y in range(h):
+        line = raw[y, 1:].reshape(w, channels).astype(np.int32)
+        kind = raw[y, 0]
+        if kind == 2:
+            line = line + above
+        elif kind in (1, 3, 4):
+            left, corner = np.zeros(channels, np.int32), np.zeros(channels, np.int32)
+            for x in range(w):
+                up = above[x]
+                if kind == 1:
+                    guess = left
+                elif kind == 3:
+                    guess = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                line[x] = (line[x] + guess) & 255
+                left, corner = line[x], up
+        above = line & 255
+        rows[y] = above
+    full = np.full((h, w, 4), 255, np.uint8)
+    full[..., :3] = rows[..., :3] if channels >= 3 else rows[..., :1]
+    if channels in (2, 4):
+        full[..., 3] = rows[..., -1]
+    return w, h, full.tobytes()
+
+
+def decoded_content(files: DataFrame) -> DataFrame:
+    """``files`` (path, content of PNG files, of a table or a stream) as path, width, height, RGBA content, error; a file that can't be read has its error alone."""
+    from ..operators.errors import tried
+
+    ship(files.sparkSession)
+    read = tried(lambda png: dict(zip(("width", "height", "content"), decode_png(bytes(png)))), "struct<width:int,height:int,content:binary>")
+    return files.select("path", read("content").alias("r")).select("path", "r.value.width", "r.value.height", "r.value.content", "r.error")
+
+
 def rgba(data: Column, channels: Column) -> Column:
     """BGR or BGRA or grey bytes to RGBA."""
 
