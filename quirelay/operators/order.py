@@ -1,7 +1,7 @@
 """Reading order of one page: XY-cut, tolerance sort, duplicate removal, warichu groups, smoothing.
 
-These are sequential folds over one page, so each page is one group of ``applyInPandas``; pages spread over
-the cluster. Inside a page everything is numpy or short Python. Functions here take and return plain
+These are sequential folds over one page, so a page is one row of lists; pages spread over
+the cluster, many to a batch. Inside a page everything is numpy or short Python. Functions here take and return plain
 Python values; ``page_order`` and the others at the end apply them to DataFrames.
 """
 
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 NOTE = "割注"
 
 
@@ -342,36 +344,45 @@ def smoothed(nodes: list[dict], diagonal: float) -> list[dict]:
 
 
 # --- DataFrames -----------------------------------------------------------------------------------------------
-def _by_page(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], extra: str) -> DataFrame:
-    """``f`` for each page, its rows in ``det_idx`` order; ``extra`` names the columns it appends."""
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.groupBy("page_id").applyInPandas(lambda p: f(p.sort_values("det_idx", kind="stable").reset_index(drop=True)), f"{fields}, {extra}")
+def _by_page(df: DataFrame, f: Callable[..., list], out: str, columns: list[str]) -> DataFrame:
+    """``out`` for each row: ``f`` gets the lists of ``columns`` of one page, in ``det_idx`` order, and gives a list of whole numbers or None.
+
+    A page is one row of lists, so a batch of Python's holds many pages; they are taken apart in the JVM.
+    """
+    ship(df.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def run(lists: pd.DataFrame) -> pd.Series:
+        return pd.Series([f(*(c.tolist() if hasattr(c, "tolist") else list(c) for c in row)) for row in lists.itertuples(index=False, name=None)])
+
+    pages = df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("det_idx", *[c for c in df.columns if c not in ("page_id", "det_idx")]))).alias("rows"))
+    numbered = pages.select("page_id", "rows", run(F.struct(*[F.col("rows")[c].alias(c) for c in columns])).alias("numbers"))
+    each = numbered.select("page_id", F.inline(F.arrays_zip("rows", "numbers")))
+    return each.select("page_id", *[F.col("rows")[c].alias(c) for c in df.columns if c != "page_id"], F.col("numbers").alias(out)).select(*df.columns, out)
 
 
 def page_order(lines: DataFrame) -> DataFrame:
     """``ord`` for each line (page_id, det_idx, x1, y1, w, h) by XY-cut."""
+    return _by_page(lines, lambda x, y, w, h: xy_cut([(a, b, a + c, b + d) for a, b, c, d in zip(x, y, w, h)]), "ord", ["x1", "y1", "w", "h"])
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        boxes = list(zip(p.x1, p.y1, p.x1 + p.w, p.y1 + p.h))
-        return p.assign(ord=np.array(xy_cut(boxes), np.int32))
 
-    return _by_page(lines, one, "ord int")
+def _as_lines(class_idx: list, x: list, y: list, w: list, h: list, conf: list) -> list[dict]:
+    return [{"kind": "line", "i": i, "x": v[1], "y": v[2], "w": v[3], "h": v[4], "conf": v[5], "type": NOTE if v[0] == 4 else "", "order": 0} for i, v in enumerate(zip(class_idx, x, y, w, h, conf))]
 
 
-def _dicts(p: pd.DataFrame) -> list[dict]:
-    kind = [NOTE if c == 4 else "" for c in p.class_idx]
-    order = p["ord"] if "ord" in p else [0] * len(p)
-    return [{"kind": "line", "i": i, "x": x, "y": y, "w": w, "h": h, "conf": c, "type": t, "order": o} for i, (x, y, w, h, c, t, o) in enumerate(zip(p.x1, p.y1, p.w, p.h, p.conf, kind, order))]
+_LINE = ["class_idx", "x1", "y1", "w", "h", "conf"]
 
 
 def _positions(f: Callable[[list[dict]], list[dict]], lines: DataFrame) -> DataFrame:
     """``line_pos`` of the lines that ``f`` keeps."""
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        kept = f(_dicts(p))
-        return p.iloc[[x["i"] for x in kept]].assign(line_pos=np.arange(len(kept), dtype=np.int32))
+    def one(*columns: list) -> list:
+        place: list = [None] * len(columns[0])
+        for k, x in enumerate(f(_as_lines(*columns))):
+            place[x["i"]] = k
+        return place
 
-    return _by_page(lines, one, "line_pos int")
+    return _by_page(lines, one, "line_pos", _LINE).where(F.col("line_pos").isNotNull())
 
 
 def tolerance_sorted(lines: DataFrame) -> DataFrame:
@@ -385,10 +396,11 @@ def deduplicated(lines: DataFrame) -> DataFrame:
 def grouped_notes(lines: DataFrame) -> DataFrame:
     """``note_group`` for each line of class 4."""
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        number = np.zeros(len(p), np.int32)
-        for k, members in enumerate(note_groups(_dicts(p))):
-            number[members] = k
-        return p.assign(note_group=number)
+    def one(*columns: list) -> list:
+        number = [0] * len(columns[0])
+        for k, members in enumerate(note_groups(_as_lines(*columns))):
+            for m in members:
+                number[m] = k
+        return number
 
-    return _by_page(lines.where(F.col("class_idx") == 4), one, "note_group int")
+    return _by_page(lines.where(F.col("class_idx") == 4), one, "note_group", _LINE)

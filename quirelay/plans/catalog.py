@@ -522,7 +522,7 @@ def child_lists(spark, sf_dir):
 
 
 # --- page operators without an SQL form -----------------------------------------------------------------------
-from . import page_queries  # noqa: E402, F401
+from . import page_queries, table_queries  # noqa: E402, F401
 
 
 def queries() -> dict:

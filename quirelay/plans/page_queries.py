@@ -389,7 +389,7 @@ def exact_page_model():
 
 @query(
     f"""WITH q AS (
-  SELECT vec_id, k, sum({_PIXEL.format(at="((k // 2) * 2 + j) * 16 + ((k % 2) * 2 + i) * 4")}) AS s FROM embeddings, range(4) ks(k), range(2) js(j), range(2) "is"(i) GROUP BY vec_id, k
+  SELECT vec_id, k, CAST(sum({_PIXEL.format(at="((k // 2) * 2 + j) * 16 + ((k % 2) * 2 + i) * 4")}) AS BIGINT) AS s FROM embeddings, range(4) ks(k), range(2) js(j), range(2) "is"(i) GROUP BY vec_id, k
 )
 SELECT vec_id AS page_id, CAST(k AS INTEGER) AS det_idx, CAST(s % 19 AS INTEGER) AS class_idx, coalesce({[n for n, _ in CLASSES]}[s % 19 + 1], 'class_' || (s % 19)) AS class_name, CAST(CAST((s % 97) / 97.0::DOUBLE AS FLOAT) AS DOUBLE) AS conf,
   CAST(k % 2 * 2 AS INTEGER) AS x1, CAST(k // 2 * 2 AS INTEGER) AS y1, CAST(k % 2 * 2 + 2 AS INTEGER) AS x2, CAST(k // 2 * 2 + 2 AS INTEGER) AS y2, CAST(s % 7 AS BIGINT) AS pred_char_cnt

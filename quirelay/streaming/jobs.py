@@ -99,9 +99,11 @@ def job_states(events: DataFrame, late: str = "1 minute", silent_s: int = 600, k
 
     ``events`` is a stream as :func:`relayed` gives it. A job ends with its result or error; what comes later is counted as
     ignored and changes nothing, for ``keep_s`` seconds of event time. A job without an event for ``silent_s`` seconds is
-    'expired'. Times are those of the events, behind a watermark of ``late``. Needs the RocksDB state store.
+    'expired'. Times are those of the events, behind a watermark of ``late``. Needs the RocksDB state store. A table is
+    read as one batch.
     """
     ship(events.sparkSession)
+    events.sparkSession.streams.active  # noqa: B018  starts the coordinator of state stores, which a table's query needs as well
     keyed = events.select("job_id", "seq", "ts", "type", "current", "total", "text", "error").withWatermark("ts", late).groupBy("job_id")
     return keyed.transformWithStateInPandas(_Jobs(1000 * silent_s, 1000 * keep_s), JOB_STATES, "Update", "EventTime")
 
