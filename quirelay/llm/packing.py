@@ -8,7 +8,8 @@ no longer joins a hundredth of them (bins of more than half a sequence can't be
 tables is that of the underfull bins; no task sees more than one partition or one group.
 
 Words are looked up in a table of bounded size in each worker and otherwise encoded by the public library, a batch
-of new words at once. That is exact for tokenizers that drop white space and split at it, as the
+of new words at once; plain words are joined by blanks and parted again where tokens end a word. A-Z are lower-cased before, but for texts with
+combining marks or openings of added tokens. That is exact for tokenizers that lower-case, drop white space and split at it, as the
 default file does.
 
 Defined cases: a null or empty text is the end id alone; a piece of exactly the limit fills a sequence; equal rows
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .arrowio import arrow_map, pieces, split_at_blanks
 from .bpe import SPACE, default_path
-from .util import durable, read
+from .util import LOWER, UPPER, durable, read
 
 LIMIT, END = 4096, 1
 #: A bin with fewer free tokens is done.
@@ -41,11 +42,17 @@ NEARLY = 64
 #: Bins of one group of the tree.
 GROUP = 50_000
 #: Words whose ids a worker keeps, those it meets first; the frequent ones are among them.
-WORDS = 600_000
+WORDS = 400_000
 #: Bytes of text encoded at once: a word of them is looked up once.
-PIECE = 16 << 20
+PIECE = 8 << 20
+#: Plain words that are encoded as one text.
+JOINED = 500
 
 _ASCII_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+_LOWER = bytes.maketrans(b"\t\n\x0b\x0c\r" + UPPER.encode(), b"     " + LOWER.encode())
+#: First bytes of the combining marks that compose with A-Z or a-z.
+_MARKS = (b"\xcc", b"\xcd")
+WORD_END = "</w>"
 _WIDE_SPACE = [c.encode() for c in SPACE if ord(c) > 127]
 
 
@@ -59,22 +66,47 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.opening = [t.content[:2].encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(WORD_END)]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array("I", c.ids).tobytes() for c in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each of which ends with one token that ends a word."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out = []
+        for group, coded in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, np.uint32)
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            raw = ids.astype("<u4").tobytes()
+            if len(cuts) == len(group) and cuts[-1] == len(raw):
+                out += [raw[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist())]
+            else:
+                out += self._each(group)
+        return out
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         known = self.known
         ids = list(map(known.get, words))
-        new = [k for k, x in enumerate(ids) if x is None]
-        # The last byte of a word is the blank after it.
-        coded = self.library.encode_batch_fast([words[k][:-1].decode("utf-8", "replace") for k in new], add_special_tokens=False)
-        for k, c in zip(new, coded, strict=True):
-            ids[k] = x = array("I", c.ids).tobytes()
-            if len(known) < WORDS and len(words[k]) <= 64:
-                known[words[k]] = x
+        plain, other = [], []
+        for k, x in enumerate(ids):
+            if x is None:
+                # The last byte of a word is the blank after it.
+                w = words[k][:-1].decode("utf-8", "replace")
+                (plain if w.isalpha() and (w.isascii() or max(w) < "\u0250") else other).append((k, w))
+        for some, encode in ((plain, self._plain), (other, self._each)):
+            for (k, w), x in zip(some, encode([w for _, w in some]), strict=True):
+                ids[k] = x
+                if len(known) < WORDS and len(w) <= 64:
+                    known[words[k]] = x
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        raw = (b" ".join(texts) + b" ").translate(_ASCII_SPACE)
+        kept = (*_MARKS, *self.opening)
+        raw = b" ".join([t.translate(_ASCII_SPACE if any(m in t for m in kept) else _LOWER) for t in texts]) + b" "
         for c in _WIDE_SPACE:
             if c in raw:
                 raw = raw.replace(c, b" " * len(c))
