@@ -135,7 +135,7 @@ def frequent_buckets(docs: DataFrame, least: int, bits: int = BITS, pairs: bytes
 
 
 def windows(docs: DataFrame, least: int, bits: int = BITS) -> DataFrame:
-    """(lang, w1 to w5, n): the windows of a batch and how often they stand; without any word, the number of all words."""
+    """(lang, w1 to w5, n): windows and how often they stand; without any word, the number of all words."""
     pairs = frequent_buckets(docs, least, bits)
     longer = frequent_buckets(docs, least, bits, pairs)
     both = (np.frombuffer(pairs, np.uint8) | np.frombuffer(longer, np.uint8)).tobytes()
@@ -148,15 +148,15 @@ def windows(docs: DataFrame, least: int, bits: int = BITS) -> DataFrame:
             size = np.zeros(len(codes), np.int64)  # words of the window that begins here
             for k, (bucket, inside) in enumerate(prefixes(codes, words, lang, bits), 1):
                 size[: len(bucket)][inside & (size[: len(bucket)] == k - 1) & often(bitmap, bucket)] = k
-            at = np.flatnonzero(size)
-            size, key = size[at], codes[at]
-            lead = [np.where(size > k, np.append(codes, [-1] * ORDER)[at + k], -1) for k in range(ORDER)]
-            for column in lead[1:]:
-                _, key = np.unique(key * (len(words) + 1) + column + 1, return_inverse=True)
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            # Words alone are counted here, windows of more words by Spark's partial aggregation.
+            alone = np.bincount(codes[size == 1], minlength=len(words))
+            single, at = np.flatnonzero(alone), np.flatnonzero(size > 1)
+            padded = np.append(codes, [-1] * ORDER)
+            lead = [np.concatenate([single if k == 0 else np.full(len(single), -1), np.where(size[at] > k, padded[at + k], -1)]) for k in range(ORDER)]
             values = pa.array(words, pa.binary()).cast(pa.string())
-            columns = [values.take(pa.array(column[first], mask=column[first] < 0)) for column in lead]
-            rows = pa.table([pa.array([lang] * len(first), pa.string()), *columns, pa.array(n.astype(np.int64))], names=["lang", *_WORDS, "n"])
+            columns = [values.take(pa.array(column, mask=column < 0)) for column in lead]
+            n = np.concatenate([alone[single], np.ones(len(at), np.int64)])
+            rows = pa.table([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n)], names=["lang", *_WORDS, "n"])
             yield from rows.to_batches(max_chunksize=50_000)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), **{w: pa.array([None], pa.string()) for w in _WORDS}, "n": pa.array([int((codes >= 0).sum())], pa.int64())})
 
