@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed3_text, quoted_attribute
 from ..sources.dims import CLASSES
-from .containment import first_container, split
+from .containment import PRIORITY
+from .detections import LINE_CLASSES
 
 
-def merge_blocks(blocks: Column, reach: int = 50) -> Column:
+def merge_blocks(blocks: Column, reach: int = 50, own: str | None = None) -> Column:
     """An array of text blocks (det_idx, x1, y1, x2, y2, alive, members) after merging; built-in functions alone.
 
-    ``members`` are (class_idx, det_idx) of lines and of merged blocks (class 0). Children are taken in order; the first living
-    parent within reach gets the child's members, or a marker for the child if it has none, and the child dies.
+    ``members`` are (class_idx, det_idx) of lines and of merged blocks (class 0), or whatever the field ``own`` of a block holds. Children are
+    taken in order; the first living parent within reach gets the child's members, or a marker for the child if it has none, and the
+    child dies.
     """
+    fields = ("det_idx", "x1", "y1", "x2", "y2") + ((own,) if own else ())
 
     def step(state: Column, k: Column) -> Column:
         c = F.get(state, k)
@@ -26,11 +29,12 @@ def merge_blocks(blocks: Column, reach: int = 50) -> Column:
             dy = F.greatest(F.lit(0), p["y1"] - c["y1"], c["y2"] - p["y2"])
             return (j != k) & p["alive"] & (dx * dx + dy * dy <= reach * reach)
 
-        gift = F.when(F.size(c["members"]) > 0, c["members"]).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("class_idx"), c["det_idx"].alias("det_idx"))))
+        marker = c[own] if own else F.struct(F.lit(0).cast("long").alias("class_idx"), c["det_idx"].alias("det_idx"))
+        gift = F.when(F.size(c["members"]) > 0, c["members"]).otherwise(F.array(marker))
         none = F.slice(c["members"], 1, 0)
 
         def with_members(v: Column, alive: bool, members: Column) -> Column:
-            return F.struct(*[v[n].alias(n) for n in ("det_idx", "x1", "y1", "x2", "y2")], F.lit(alive).alias("alive"), members.alias("members"))
+            return F.struct(*[v[n].alias(n) for n in fields], F.lit(alive).alias("alive"), members.alias("members"))
 
         def given(t: Column) -> Column:
             return F.transform(state, lambda v, j: F.when(j == t, with_members(v, True, F.concat(v["members"], gift))).when(t.isNotNull() & (j == k), with_members(v, False, none)).otherwise(v))
@@ -42,65 +46,106 @@ def merge_blocks(blocks: Column, reach: int = 50) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), blocks, step)
 
 
+def page_boxes(det: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each page: ``boxes``, all its detections in order, as (class_idx, det_idx, x, y, w, h, conf) and the columns ``carry``."""
+    place = [F.col(c).cast("long").alias(n) for c, n in (("x1", "x"), ("y1", "y"), ("w", "w"), ("h", "h"))]
+    box = F.struct(F.col("class_idx").cast("long").alias("class_idx"), F.col("det_idx").cast("long").alias("det_idx"), *place, F.col("conf").cast("double").alias("conf"), *carry)
+    return det.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+
+
+def _with_containers(pages: DataFrame, least: float) -> DataFrame:
+    """``held``: the lines with enough score with their first container ``c`` (prio, det_idx), null outside of all; by class and detection order."""
+    prio = F.create_map(*[F.lit(v) for kv in PRIORITY.items() for v in kv])
+    of_class = lambda b, classes: b["class_idx"].isin(list(classes))
+    containers = F.transform(F.filter("boxes", lambda b: of_class(b, PRIORITY)), lambda b: F.struct(prio[b["class_idx"].cast("int")].alias("prio"), b["det_idx"].alias("det_idx"), b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")))
+
+    def first(b: Column) -> Column:
+        # Doubled, so that the centre is whole.
+        x, y = 2 * b["x"] + b["w"], 2 * b["y"] + b["h"]
+        inside = F.filter("containers", lambda c: x.between(2 * c["x"], 2 * (c["x"] + c["w"])) & y.between(2 * c["y"], 2 * (c["y"] + c["h"])))
+        return F.array_min(F.transform(inside, lambda c: F.struct(c["prio"].alias("prio"), c["det_idx"].alias("det_idx"))))
+
+    lines = F.filter("boxes", lambda b: of_class(b, LINE_CLASSES) & (b["conf"] >= least))
+    return pages.withColumn("containers", containers).withColumn("held", F.transform(lines, lambda b: F.struct(b.alias("line"), first(b).alias("c"))))
+
+
+def _merged(pages: DataFrame, side: int) -> DataFrame:
+    """``blocks``: the page's text blocks after merging (see :func:`merge_blocks`); members that are markers alone count as none."""
+    own = lambda b: F.transform(F.filter("held", lambda v: (v["c"]["prio"] == 1) & (v["c"]["det_idx"] == b["det_idx"])), lambda v: v["line"])
+    place = lambda b: [v.cast("double").alias(n) for n, v in (("x1", b["x"]), ("y1", b["y"]), ("x2", b["x"] + b["w"]), ("y2", b["y"] + b["h"]))]
+    tiny = lambda b: (b["w"] < side) & (b["h"] < side)
+    blocks = F.transform(F.filter("boxes", lambda b: (b["class_idx"] == 0) & ~tiny(b)), lambda b: F.struct(b["det_idx"].alias("det_idx"), *place(b), b.alias("own"), F.lit(True).alias("alive"), own(b).alias("members")))
+    listed = pages.withColumn("blocks", blocks)
+    return listed.withColumn("blocks", F.when(F.size("blocks") > 0, merge_blocks(F.col("blocks"), own="own")).otherwise(F.col("blocks")))
+
+
+def _lines_of(members: Column) -> Column:
+    return F.when(F.exists(members, lambda m: m["class_idx"] != 0), members).otherwise(F.slice(members, 1, 0))
+
+
 def merged_blocks(det: DataFrame, least: float = 0.1, side: int = 5) -> DataFrame:
     """One row for each text block of a page: det_idx, alive, members array<struct<class_idx, det_idx>>; markers alone count as none."""
-    blocks = det.where((F.col("class_idx") == 0) & ~((F.col("w") < side) & (F.col("h") < side)))
-    kind = "array<struct<class_idx:bigint,det_idx:bigint>>"
-    inside = first_container(det, least).where("prio = 1").groupBy("page_id", F.col("block_idx").alias("det_idx")).agg(F.array_sort(F.collect_list(F.struct("class_idx", F.col("det_idx").alias("line")))).cast(kind).alias("members"))
-    place = [c.cast("double").alias(n) for n, c in (("x1", F.col("x1")), ("y1", F.col("y1")), ("x2", F.col("x1") + F.col("w")), ("y2", F.col("y1") + F.col("h")))]
-    rows = blocks.select("page_id", F.col("det_idx").cast("long").alias("det_idx"), *place).join(inside, ["page_id", "det_idx"], "left")
-    block = F.struct("det_idx", "x1", "y1", "x2", "y2", F.lit(True).alias("alive"), F.coalesce("members", F.array().cast(kind)).alias("members"))
-    listed = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
-    done = listed.select("page_id", F.explode(merge_blocks(F.col("blocks"))).alias("b"))
-    lines = F.when(F.exists("b.members", lambda m: m["class_idx"] != 0), F.col("b.members")).otherwise(F.array().cast(kind))
-    return done.select("page_id", "b.det_idx", "b.alive", lines.alias("members"))
+    pages = _merged(_with_containers(page_boxes(det), least), side)
+    rows = pages.select("page_id", F.explode("blocks").alias("b"))
+    members = F.transform(_lines_of(F.col("b.members")), lambda m: F.struct(m["class_idx"].alias("class_idx"), m["det_idx"].alias("det_idx")))
+    return rows.select("page_id", "b.det_idx", "b.alive", members.alias("members"))
 
 
-def page_elements(det: DataFrame, least: float = 0.1, side: int = 5) -> DataFrame:
-    """The elements of every page in emission order (section, pos, child).
+def element_lists(det: DataFrame, least: float = 0.1, side: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each page: ``elements``, the array of its elements in emission order. One scan and one shuffle by page.
 
     Sections: 0 tables, 1 advertisements, 2 text blocks, 3 independent lines, 4 other blocks. ``child`` is 0 for the
     element itself and counts its lines. A text block without members gets one line of its own place without
     a confidence. Advertisements are written again in section 4, as the page format has it.
     """
     names = F.create_map(*[F.lit(v) for i, (_, o) in enumerate(CLASSES) for v in (i, o)])
-    label = names[F.col("class_idx").cast("int")]
-    place = [F.col(c).cast("long").alias(n) for c, n in (("x1", "x"), ("y1", "y"), ("w", "w"), ("h", "h"))]
-    everything = det.select("page_id", F.col("det_idx").cast("long").alias("det_idx"), F.col("class_idx").cast("int").alias("class_idx"), "conf", *place)
-    members = first_container(det, least)
-
-    def numbered(df: DataFrame, *by: str) -> DataFrame:
-        return df.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy(*by)) - 1)
-
-    out = None
-    for section, class_idx, prio in ((0, 15, 3), (1, 7, 2)):
-        heads = numbered(everything.where(F.col("class_idx") == class_idx), "det_idx")
-        own = members.where(F.col("prio") == prio).select("page_id", F.col("det_idx").alias("line"), F.col("block_idx").alias("det_idx"))
-        lines = own.join(heads.select("page_id", "det_idx", "pos"), ["page_id", "det_idx"]).select("page_id", "pos", F.col("line").cast("long").alias("det_idx"))
-        part = _lines(lines, everything, label, section).unionByName(heads.select("page_id", F.lit(section).alias("section"), "pos", F.lit(0).alias("child"), F.lit("BLOCK").alias("tag"), label.alias("type"), "x", "y", "w", "h", "conf", "det_idx"))
-        out = part if out is None else out.unionByName(part)
-    merged = merged_blocks(det, least, side).where("alive")
-    heads = numbered(merged.join(everything.drop("class_idx"), ["page_id", "det_idx"]), "det_idx")
-    head = heads.select("page_id", F.lit(2).alias("section"), "pos", F.lit(0).alias("child"), F.lit("TEXTBLOCK").alias("tag"), F.lit(None).cast("string").alias("type"), "x", "y", "w", "h", "conf", "det_idx")
-    inner = heads.select("page_id", "pos", F.explode("members").alias("m")).select("page_id", "pos", F.col("m.det_idx").alias("det_idx"))
-    main = F.when(F.col("class_idx") == 0, F.lit(CLASSES[1][1])).otherwise(label)  # a merged block stands as a line of text
-    empty = heads.where((F.size("members") == 0) & (F.col("w") >= side) & (F.col("h") >= side)).select(
-        "page_id", F.lit(2).alias("section"), "pos", F.lit(1).alias("child"), F.lit("LINE").alias("tag"), F.lit(CLASSES[1][1]).alias("type"), "x", "y", "w", "h", F.lit(None).cast("double").alias("conf"), "det_idx"
-    )
-    out = out.unionByName(head).unionByName(_lines(inner, everything, main, 2)).unionByName(empty)
-    lines, _ = split(det, least)
-    alone = lines.join(members.select("page_id", "det_idx"), ["page_id", "det_idx"], "left_anti").select("page_id", "det_idx").join(everything, ["page_id", "det_idx"])
-    out = out.unionByName(numbered(alone, "class_idx", "det_idx").select("page_id", F.lit(3).alias("section"), "pos", F.lit(0).alias("child"), F.lit("LINE").alias("tag"), label.alias("type"), "x", "y", "w", "h", "conf", "det_idx"))
+    label = lambda b: names[b["class_idx"].cast("int")]
+    main = F.lit(CLASSES[1][1])
+
+    def row(b: Column, section: int, pos: Column, child: Column, tag: str, kind: Column, conf: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), pos.cast("int").alias("pos"), child.cast("int").alias("child"), F.lit(tag).alias("tag"), kind.alias("type"), *[b[n].alias(n) for n in "xywh"],
+            (b["conf"] if conf is None else conf).alias("conf"), b["det_idx"].alias("det_idx"), *[b[n].alias(n) for n in carry],
+        )
+
+    def children(lines: Column, section: int, pos: Column, kind) -> Column:
+        # Fields come in the order of sorting: class, detection.
+        return F.transform(F.array_sort(lines), lambda b, k: row(b, section, pos, k + 1, "LINE", kind(b)))
+
+    zero = F.lit(0)
+
+    def container(section: int, class_idx: int) -> Column:
+        def lines_in(h: Column) -> Column:
+            return F.transform(F.filter("held", lambda v: (v["c"]["prio"] == PRIORITY[class_idx]) & (v["c"]["det_idx"] == h["det_idx"])), lambda v: v["line"])
+
+        def whole(h: Column, p: Column) -> Column:
+            return F.concat(F.array(row(h, section, p, zero, "BLOCK", label(h))), children(lines_in(h), section, p, label))
+
+        return F.flatten(F.transform(F.filter("boxes", lambda b: b["class_idx"] == class_idx), whole))
+
+    parts = [container(0, 15), container(1, 7)]
+
+    def text_block(b: Column, p: Column) -> Column:
+        own, lines = b["own"], _lines_of(b["members"])
+        head = F.array(row(own, 2, p, zero, "TEXTBLOCK", F.lit(None).cast("string")))
+        alone = F.array(row(own, 2, p, F.lit(1), "LINE", main, F.lit(None).cast("double")))
+        # A merged block stands as a line of text.
+        inner = children(lines, 2, p, lambda m: F.when(m["class_idx"] == 0, main).otherwise(label(m)))
+        return F.concat(head, F.when(F.size(lines) > 0, inner).when((own["w"] >= side) & (own["h"] >= side), alone).otherwise(F.slice(alone, 1, 0)))
+
+    parts.append(F.flatten(F.transform(F.filter("blocks", lambda b: b["alive"]), text_block)))
+    free = F.array_sort(F.transform(F.filter("held", lambda v: v["c"].isNull()), lambda v: v["line"]))
+    parts.append(F.transform(free, lambda b, p: row(b, 3, p, zero, "LINE", label(b))))
     others = [i for i, (n, _) in enumerate(CLASSES) if n.startswith("block_") and n != "block_table"]
-    rest = numbered(everything.where(F.col("class_idx").isin(others) & (F.col("conf") >= least)), "class_idx", "det_idx")
-    return out.unionByName(rest.select("page_id", F.lit(4).alias("section"), "pos", F.lit(0).alias("child"), F.lit("BLOCK").alias("tag"), label.alias("type"), "x", "y", "w", "h", "conf", "det_idx"))
+    rest = F.array_sort(F.filter("boxes", lambda b: b["class_idx"].isin(others) & (b["conf"] >= least)))
+    parts.append(F.transform(rest, lambda b, p: row(b, 4, p, zero, "BLOCK", label(b))))
+    pages = _merged(_with_containers(page_boxes(det, carry), least), side)
+    return pages.select("page_id", F.concat(*parts).alias("elements"))
 
 
-def _lines(members: DataFrame, everything: DataFrame, label, section: int) -> DataFrame:
-    """Member lines (page_id, pos, det_idx) with their child numbers, by class and detection order."""
-    rows = members.join(everything, ["page_id", "det_idx"])
-    child = F.row_number().over(Window.partitionBy("page_id", "pos").orderBy("class_idx", "det_idx"))
-    return rows.select("page_id", F.lit(section).alias("section"), "pos", child.alias("child"), F.lit("LINE").alias("tag"), label.alias("type"), "x", "y", "w", "h", "conf", "det_idx")
+def page_elements(det: DataFrame, least: float = 0.1, side: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The elements of every page (see :func:`element_lists`), a row each; ``carry`` names further columns of ``det`` that they keep."""
+    return element_lists(det, least, side, carry).select("page_id", F.inline("elements"))
 
 
 def element_xml(tag: Column, attrs: Column, children: Column, indent: int = 0) -> Column:
@@ -119,8 +164,8 @@ def assembled_xml(elements: DataFrame, width: int, height: int, more: dict[str,
     """One XML text for each page.
 
     ``more`` are attributes after the common ones, ``order`` sorts the lines of an element and drops those where it is null,
-    ``place`` sorts the elements of a page by their ``head`` and their ``lines`` and drops those where it is null. All
-    rows of a page meet in one shuffle; a page is the largest group.
+    ``place`` sorts the elements of a page by their ``head`` and their ``lines`` and drops those where it is null. ``elements``
+    should be partitioned by page, as :func:`page_elements` leaves them: then nothing is shuffled. A page is the largest group.
     """
     x, y, w, h = (F.col(c) for c in "xywh")
     common = {"TYPE": F.col("type"), "X": x, "Y": y, "WIDTH": w, "HEIGHT": h, "CONF": fixed3_text(F.col("conf")), **more}
@@ -130,7 +175,7 @@ def assembled_xml(elements: DataFrame, width: int, height: int, more: dict[str,
     polygon = element_xml(F.lit("POLYGON"), F.concat(F.lit(' POINTS="'), points, F.lit('"')), none, 3)
     shape = F.when(F.col("tag") == "TEXTBLOCK", element_xml(F.lit("SHAPE"), F.lit(""), F.array(polygon), 2))
     rows = elements.select("page_id", "section", "pos", "child", "tag", attrs.alias("attrs"), shape.alias("shape"), order.alias("order"))
-    nodes = rows.repartition("page_id").groupBy("page_id", "section", "pos").agg(
+    nodes = rows.groupBy("page_id", "section", "pos").agg(
         F.max(F.when(F.col("child") == 0, F.struct("tag", "attrs", "shape", "order"))).alias("head"),
         F.array_sort(F.collect_list(F.when((F.col("child") > 0) & F.col("order").isNotNull(), F.struct("order", element_xml(F.lit("LINE"), F.col("attrs"), none, 2).alias("xml"))))).alias("lines"),
     )
@@ -145,13 +190,14 @@ def page_xml(elements: DataFrame, width: int, height: int) -> DataFrame:
     return assembled_xml(elements, width, height, {}, F.col("child"), F.struct("section", "pos"))
 
 
-def line_elements(elements: DataFrame) -> DataFrame:
-    """All LINE elements in document order (the order of a search through the tree)."""
-    w = Window.partitionBy("page_id").orderBy("section", "pos", "child")
-    return elements.where("tag = 'LINE'").withColumn("line_no", F.row_number().over(w) - 1)
-
+def line_elements(lists: DataFrame) -> DataFrame:
+    """All LINE elements of :func:`element_lists` in document order (the order of a search through the tree), with their number and ``parent``.
 
-def parents(elements: DataFrame) -> DataFrame:
-    """Each child with the detection of its parent element."""
-    heads = elements.where("child = 0").select("page_id", "section", "pos", F.col("det_idx").alias("parent"))
-    return elements.where("child > 0").join(heads, ["page_id", "section", "pos"])
+    The parent is the detection of the element a line stands in, null for a line of the page itself. All is told within the page's list.
+    """
+    heads = F.map_from_entries(F.transform(F.filter("elements", lambda e: e["child"] == 0), lambda e: F.struct(F.struct(e["section"], e["pos"]), e["det_idx"])))
+    lines = F.filter("elements", lambda e: e["tag"] == "LINE")
+    with_heads = lists.select("page_id", heads.alias("heads"), lines.alias("lines"))
+    parent = lambda e: F.when(e["child"] > 0, F.element_at("heads", F.struct(e["section"], e["pos"])))
+    numbered = F.transform("lines", lambda e, k: F.struct(k.cast("int").alias("line_no"), parent(e).alias("parent"), e.alias("e")))
+    return with_heads.select("page_id", F.inline(numbered)).select("page_id", "line_no", "parent", "e.*")

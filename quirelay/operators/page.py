@@ -45,10 +45,11 @@ def ordered(elements: DataFrame, width: int, height: int, smooth: bool = True) -
     return elements.groupBy("page_id").applyInPandas(one, f"{fields}, ord int, line_pos int")
 
 
-def with_strings(tree: DataFrame, strings: DataFrame) -> DataFrame:
-    """``string`` of each LINE from (page_id, det_idx, string); lines without area have ''."""
+def with_strings(tree: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+    """``string`` of each LINE from (page_id, det_idx, string), or from the column the elements carry; lines without area have ''."""
     text = F.when((F.col("w") <= 0) | (F.col("h") <= 0), F.lit("")).otherwise(F.col("string"))
-    return tree.join(strings.select("page_id", "det_idx", "string"), ["page_id", "det_idx"], "left").withColumn("string", F.when(F.col("tag") == "LINE", text))
+    named = tree if strings is None else tree.join(strings.select("page_id", "det_idx", "string"), ["page_id", "det_idx"], "left")
+    return named.withColumn("string", F.when(F.col("tag") == "LINE", text))
 
 
 def page_texts(tree: DataFrame) -> DataFrame:
@@ -65,4 +66,4 @@ def sorted_xml(tree: DataFrame, width: int, height: int) -> DataFrame:
     begin = F.when(tag == "LINE", first).otherwise(F.coalesce(F.try_element_at("lines", F.lit(1))["order"], F.lit(-1)))
     # Single lines that were duplicates have no place; elements without lines come first, in the order of emission.
     place = F.when((tag != "LINE") | first.isNotNull(), F.struct((tag == "BLOCK").alias("last"), F.when(tag == "BLOCK", 0).otherwise(begin).alias("begin"), "section", "pos"))
-    return assembled_xml(tree, width, height, more, F.col("line_pos"), place, shape_last=True)
+    return assembled_xml(tree.repartition("page_id"), width, height, more, F.col("line_pos"), place, shape_last=True)

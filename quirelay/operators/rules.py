@@ -80,8 +80,9 @@ def stored(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("["), F.coalesce(found, F.array().cast(RULE_JSON))).otherwise(F.array().cast(RULE_JSON))
 
 
-@F.pandas_udf("struct<body:string,pattern:string,replacement:string>")
-def _translated(pattern: pd.Series, replacement: pd.Series, flags: pd.Series) -> pd.DataFrame:
+def _translated():
+    """A column function: the JVM's forms of the pattern by itself, of pattern and of replacement with the flags; null if there is none."""
+
     def one(p: str | None, r: str | None, f: str | None) -> tuple:
         try:
             plain, _ = jvm_form(p or "", "", "g")
@@ -89,14 +90,18 @@ def _translated(pattern: pd.Series, replacement: pd.Series, flags: pd.Series) ->
         except ValueError:
             return None, None, None
 
-    return pd.DataFrame([one(*row) for row in zip(pattern, replacement, flags)], columns=["body", "pattern", "replacement"])
+    @F.pandas_udf("struct<body:string,pattern:string,replacement:string>")
+    def run(pattern: pd.Series, replacement: pd.Series, flags: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*row) for row in zip(pattern, replacement, flags)], columns=["body", "pattern", "replacement"])
+
+    return run
 
 
 def compiled(rules: DataFrame) -> DataFrame:
     """``rules`` with ``jvm_pattern``, ``jvm_replacement`` and ``valid``: whether the JVM compiles the pattern by itself."""
     ship(rules.sparkSession)
     compile_ = lambda p: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNotNull()
-    parts = rules.withColumn("__jvm", _translated("pattern", "replacement", "flags"))
+    parts = rules.withColumn("__jvm", _translated()("pattern", "replacement", "flags"))
     # A missing translation is null, which no pattern is.
     ok = F.coalesce(F.col("__jvm.body").isNotNull() & compile_(F.coalesce("__jvm.body", F.lit("["))) & compile_(F.coalesce("__jvm.pattern", F.lit("["))), F.lit(False))
     return parts.select(*rules.columns, F.col("__jvm.pattern").alias("jvm_pattern"), F.col("__jvm.replacement").alias("jvm_replacement"), ok.alias("valid"))

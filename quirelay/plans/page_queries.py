@@ -106,6 +106,12 @@ def tree(spark, sf_dir, smooth=False):
     return P.ordered(B.page_elements(pages(spark, sf_dir)), WIDTH, HEIGHT, smooth)
 
 
+def named_tree(spark, sf_dir):
+    """The smoothed tree with a stand-in for recognised texts: the numbers of detections."""
+    named = pages(spark, sf_dir).withColumn("string", F.concat(F.lit("line "), F.col("det_idx").cast("string")))
+    return P.with_strings(P.ordered(B.page_elements(named, carry=("string",)), WIDTH, HEIGHT, True))
+
+
 @query()
 def page_sort(spark, sf_dir):
     """Whole pages (blocks, containers, lines) in reading order."""
@@ -118,21 +124,16 @@ def smooth_order(spark, sf_dir):
     return tree(spark, sf_dir, True).where("tag = 'LINE'").select("page_id", "section", "pos", "child", "det_idx", "line_pos")
 
 
-def strings(spark, sf_dir):
-    """A stand-in for recognised texts: the numbers of detections."""
-    return pages(spark, sf_dir).select("page_id", "det_idx", F.concat(F.lit("line "), F.col("det_idx").cast("string")).alias("string"))
-
-
 @query()
 def page_chain_text(spark, sf_dir):
     """Detections to text: G2, G5, G7, G9, J5, T8's result, A11, A12."""
-    return P.page_texts(P.with_strings(tree(spark, sf_dir, True), strings(spark, sf_dir)))
+    return P.page_texts(named_tree(spark, sf_dir))
 
 
 @query()
 def page_chain_xml(spark, sf_dir):
     """Detections to XML with ORDER and STRING: K2, M4, G2 to G9."""
-    return P.sorted_xml(P.with_strings(tree(spark, sf_dir, True), strings(spark, sf_dir)), WIDTH, HEIGHT)
+    return P.sorted_xml(named_tree(spark, sf_dir), WIDTH, HEIGHT)
 
 
 #: Lines with their first container; the text blocks of a page as one list, merged child by child (``merged``); every element (``elements``).
@@ -242,9 +243,7 @@ FROM elements e LEFT JOIN elements up ON e.child > 0 AND up.child = 0 AND up.pag
 )
 def line_numbers(spark, sf_dir):
     """Lines in document order with their parents."""
-    e = B.page_elements(pages(spark, sf_dir))
-    up = B.parents(e).select("page_id", "section", "pos", "child", "parent")
-    return B.line_elements(e).join(up, ["page_id", "section", "pos", "child"], "left").select("page_id", "line_no", "det_idx", "parent")
+    return B.line_elements(B.element_lists(pages(spark, sf_dir))).select("page_id", "line_no", "det_idx", "parent")
 
 
 @query(XML_SQL)
