@@ -1,4 +1,4 @@
-"""Lines and their containers: equi-join on the page, range condition, first match by priority."""
+"""Lines and their containers: equi-join on page and grid cell, range condition, first match by priority."""
 
 from __future__ import annotations
 
@@ -21,11 +21,24 @@ def split(det: DataFrame, least: float = 0.1) -> tuple[DataFrame, DataFrame]:
     return lines, boxes
 
 
-def first_container(det: DataFrame, least: float = 0.1) -> DataFrame:
-    """Each line in some container, with the first one by (priority, detection order) that holds its centre."""
+#: Side of a grid cell in pixels.
+CELL = 512
+
+
+def first_container(det: DataFrame, least: float = 0.1, cell: int = CELL) -> DataFrame:
+    """Each line in some container, with the first one by (priority, detection order) that holds its centre.
+
+    The page's plane is cut into cells: a container has a row for each cell it touches, a line one for that of its centre, and cell
+    and page are the key. So a page of any number of boxes is no single group, and each pair meets once at most.
+    """
     lines, boxes = split(det, least)
+    at = lambda v: F.floor(v / F.lit(cell))
     cx, cy = F.col("x1") + F.col("w") / 2, F.col("y1") + F.col("h") / 2
-    found = lines.join(boxes, "page_id").where(cx.between(F.col("bx1"), F.col("bx2")) & cy.between(F.col("by1"), F.col("by2")))
+    lines = lines.select("page_id", "det_idx", "class_idx", cx.alias("cx"), cy.alias("cy"), at(cx).alias("cell_x"), at(cy).alias("cell_y"))
+    whole = boxes.where((F.col("bx1") <= F.col("bx2")) & (F.col("by1") <= F.col("by2")))
+    wide = whole.withColumn("cell_x", F.explode(F.sequence(at(F.col("bx1")), at(F.col("bx2")))))
+    cells = wide.withColumn("cell_y", F.explode(F.sequence(at(F.col("by1")), at(F.col("by2")))))
+    found = lines.join(cells, ["page_id", "cell_x", "cell_y"]).where(F.col("cx").between(F.col("bx1"), F.col("bx2")) & F.col("cy").between(F.col("by1"), F.col("by2")))
     # The minimum is pre-aggregated on the map side: no sort of all matches.
     best = found.groupBy("page_id", "det_idx", "class_idx").agg(F.min(F.struct("prio", "block_idx")).alias("m"))
     return best.select("page_id", "det_idx", "class_idx", F.col("m.prio").alias("prio"), F.col("m.block_idx").alias("block_idx"))

@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 NOTE = "割注"
+#: Fixed value: cells of the grid along the short side of a page of one box.
+CELLS = 100
+#: Strips of a window up to which lists are used.
+SHORT = 200
 
 
 # --- XY-cut ---------------------------------------------------------------------------------------------------
 def grid_boxes(boxes: np.ndarray) -> np.ndarray:
-    """Boxes on a grid of about 100 sqrt(n) cells along the page's short side."""
+    """Boxes on a grid of about CELLS sqrt(n) cells along the page's short side."""
     b = boxes.astype(float).copy()
     b[:, 2] = np.where(b[:, 0] >= b[:, 2], b[:, 0], b[:, 2])
     b[:, 3] = np.where(b[:, 1] >= b[:, 3], b[:, 1], b[:, 3])
@@ -31,24 +35,41 @@ def grid_boxes(boxes: np.ndarray) -> np.ndarray:
     extent = high - low
     if (extent <= 0).any():
         return b.astype(np.int64)
-    side = 100 * math.sqrt(len(b))
+    side = CELLS * math.sqrt(len(b))
     w, h = extent
     target = np.array([side if w < h else side * w / h, side if h < w else side * h / w])
     return np.maximum(0, np.floor((b - np.tile(low, 2)) * np.tile(target, 2) / np.tile(extent, 2))).astype(np.int64)
 
 
-def longest_minimum(counts: np.ndarray) -> tuple[int, int, float]:
-    """(start, end, score) of the first longest run of the minimum; the score is -min / max, 0 without a maximum."""
-    if len(counts) <= 1:
+def longest_minimum(counts: np.ndarray, widths: np.ndarray | None = None) -> tuple[int, int, float]:
+    """(start, end, score) of the first longest run of the minimum; the score is -min / max, 0 without a maximum.
+
+    ``counts`` may stand for strips of ``widths`` cells each; starts and ends are then numbers of strips.
+    """
+    if (len(counts) if widths is None else widths.sum()) <= 1:
         return 0, 1, 0.0
     low = counts == counts.min()
     edges = np.flatnonzero(np.diff(np.concatenate(([False], low, [False])).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    k = int(np.argmax(ends - starts))
+    at = np.arange(len(counts) + 1) if widths is None else np.concatenate(([0], np.cumsum(widths)))
+    k = int(np.argmax(at[ends] - at[starts]))
     top = counts.max()
     return int(starts[k]), int(ends[k]), float(-counts.min() / top) if top > 0 else 0.0
 
 
+def _short_minimum(counts: list[int], at: list[int]) -> tuple[int, int, float]:
+    """:func:`longest_minimum` for few strips with edges ``at``, for which lists are faster."""
+    if at[-1] - at[0] <= 1:
+        return 0, 1, 0.0
+    low, top, best, i = min(counts), max(counts), (0, 0, 0), 0
+    for j, c in enumerate(counts):
+        if c != low:
+            i = j + 1
+        elif at[j + 1] - at[i] > best[0]:
+            best = (at[j + 1] - at[i], i, j + 1)
+    return best[1], best[2], -low / top if top > 0 else 0.0
+
+
 class Node:
     __slots__ = ("box", "children", "lines", "n", "tall")
 
@@ -56,19 +77,36 @@ class Node:
         self.box, self.children, self.lines, self.n, self.tall = box, [], [], 0, 0
 
 
-def cut(mesh: np.ndarray, box: tuple[int, int, int, int]) -> Node:
-    """Cut at the emptiest run of the two marginals until neither can be cut; no recursion on the stack."""
-    root = Node(box)
+def strips(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x edges, y edges, mesh): the grid cut at the boxes' edges into strips within which all cells are alike; the mesh says which are covered."""
+    xs, ys = (np.unique(np.concatenate([[0, grid[:, k + 2].max() + 1], grid[:, k], grid[:, k + 2]])) for k in (0, 1))
+    mesh = np.zeros((len(ys) - 1, len(xs) - 1), bool)
+    x0, y0, x1, y1 = (np.searchsorted(e, grid[:, k]) for e, k in ((xs, 0), (ys, 1), (xs, 2), (ys, 3)))
+    for a, b, c, d in zip(y0, y1, x0, x1):
+        mesh[a:b, c:d] = True
+    return xs, ys, mesh
+
+
+def cut(xs: np.ndarray, ys: np.ndarray, mesh: np.ndarray) -> Node:
+    """Cut at the emptiest run of the two marginals until neither can be cut; no recursion on the stack. Boxes are in strips."""
+    widths, heights = np.diff(xs), np.diff(ys)
+    # Covered cells above and left of each strip, so that the marginals of any window are differences.
+    down = np.concatenate([np.zeros((1, len(widths)), np.int64), np.cumsum(mesh * heights[:, None], axis=0)])
+    right = np.concatenate([np.zeros((len(heights), 1), np.int64), np.cumsum(mesh * widths[None, :], axis=1)], axis=1)
+    columns, rows = down.T.copy(), right.copy()
+    x_at, y_at = xs.tolist(), ys.tolist()
+    root = Node((0, 0, len(widths), len(heights)))
     todo = [root]
     while todo:
         node = todo.pop()
         x0, y0, x1, y1 = node.box
-        window = mesh[y0:y1, x0:x1]
-        xa, xb, xs = longest_minimum(window.sum(axis=0))
-        ya, yb, ys = longest_minimum(window.sum(axis=1))
+        covered = (columns[x0:x1, y1] - columns[x0:x1, y0], rows[y0:y1, x1] - rows[y0:y1, x0])
+        (xa, xb, xscore), (ya, yb, yscore) = (
+            _short_minimum(c.tolist(), at[a : b + 1]) if b - a <= SHORT else longest_minimum(c, w[a:b]) for c, at, w, a, b in ((covered[0], x_at, widths, x0, x1), (covered[1], y_at, heights, y0, y1))
+        )
         if (xa, xb) == (0, x1 - x0) and (ya, yb) == (0, y1 - y0):
             continue
-        along_x = xs < ys or (xs == ys and xb - xa >= yb - ya)
+        along_x = xscore < yscore or (xscore == yscore and x_at[x0 + xb] - x_at[x0 + xa] >= y_at[y0 + yb] - y_at[y0 + ya])
         if along_x:
             parts = [(x0, y0, x0 + xa, y1), (x0 + xa, y0, x0 + xb, y1), (x0 + xb, y0, x1, y1)]
         else:
@@ -102,13 +140,10 @@ def xy_cut(boxes: list[tuple[int, int, int, int]]) -> list[int]:
     if not len(boxes):
         return []
     grid = grid_boxes(np.asarray(boxes, dtype=np.int64).reshape(-1, 4))
-    width, height = int(grid[:, 2].max()) + 1, int(grid[:, 3].max()) + 1
-    mesh = np.zeros((height, width), np.int32)
-    for x0, y0, x1, y1 in grid.tolist():
-        mesh[y0:y1, x0:x1] = 1
-    root = cut(mesh, (0, 0, width, height))
+    xs, ys, mesh = strips(grid)
+    root = cut(xs, ys, mesh)
     cells = leaves(root)
-    corners = np.array([c.box for c in cells])
+    corners = np.array([(xs[c.box[0]], ys[c.box[1]], xs[c.box[2]], ys[c.box[3]]) for c in cells])
     for first in range(0, len(grid), 256):  # blocks bound the memory
         part = leaf_scores(grid[first : first + 256], corners).argmax(axis=1)
         for k, leaf in enumerate(part):

@@ -1,6 +1,6 @@
 """The whole way of a page: element tree, reading order over blocks and containers, recognised texts, XML and text.
 
-A page is one group of ``applyInPandas``; nothing here sees two pages together.
+Nothing here sees two pages together.
 """
 
 from __future__ import annotations
@@ -11,38 +11,54 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .blocks import assembled_xml
 from .order import NOTE, sort_page, xy_cut
 
 
+def _places(section: list, pos: list, tag: list, kind: list, x: list, y: list, w: list, h: list, conf: list, smooth: bool, diagonal: float) -> list[tuple]:
+    """(ord, line_pos) of each element of a page, given in the order of emission."""
+    at = [k for k, t in enumerate(tag) if t == "LINE"]
+    rank = dict(zip(at, xy_cut([(x[k], y[k], x[k] + w[k], y[k] + h[k]) for k in at]))) if at else {}
+    nodes: list[dict] = []
+    last = None
+    for k, here in enumerate(zip(section, pos)):
+        line = {"kind": "line", "i": k, "x": x[k], "y": y[k], "w": w[k], "h": h[k], "conf": conf[k], "type": NOTE if kind[k] == NOTE else "", "order": rank.get(k, 0)}
+        if here != last:
+            last = here
+            shape = {"LINE": "line", "TEXTBLOCK": "block"}.get(tag[k], "container")
+            nodes.append(line if shape == "line" else {"kind": shape, "children": [], "x": x[k], "y": y[k], "w": w[k], "h": h[k]})
+        else:
+            nodes[-1]["children"].append(line)
+    place = {n["i"]: k for k, n in enumerate(sort_page(nodes, smooth, diagonal))}
+    return [(rank.get(k), place.get(k)) for k in range(len(tag))]
+
+
 def ordered(elements: DataFrame, width: int, height: int, smooth: bool = True) -> DataFrame:
     """``elements`` (of :func:`blocks.page_elements`) with ``ord`` and ``line_pos``.
 
     ``ord`` is the XY-cut rank of each LINE in document order; ``line_pos`` its place after sorting
-    within blocks and on the page, null for lines that were duplicates. Other elements have neither.
+    within blocks and on the page, null for lines that were duplicates. Other elements have neither. A page is one row of
+    lists, so a batch of Python's holds many pages; elements that are partitioned by page already aren't shuffled.
     """
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["section", "pos", "child"], kind="stable").reset_index(drop=True)
-        is_line = (p.tag == "LINE").to_numpy()
-        at = [k for k in range(len(p)) if is_line[k]]
-        rank = dict(zip(at, xy_cut([(p.x[k], p.y[k], p.x[k] + p.w[k], p.y[k] + p.h[k]) for k in at]))) if at else {}
-        nodes: list[dict] = []
-        last = None
-        for k, r in enumerate(p.itertuples()):
-            line = {"kind": "line", "i": k, "x": r.x, "y": r.y, "w": r.w, "h": r.h, "conf": None if pd.isna(r.conf) else r.conf, "type": NOTE if r.type == NOTE else "", "order": rank.get(k, 0)}
-            if (r.section, r.pos) != last:
-                last = (r.section, r.pos)
-                kind = {"LINE": "line", "TEXTBLOCK": "block"}.get(r.tag, "container")
-                nodes.append(line if kind == "line" else {"kind": kind, "children": [], "x": r.x, "y": r.y, "w": r.w, "h": r.h})
-            else:
-                nodes[-1]["children"].append(line)
-        kept = sort_page(nodes, smooth, math.hypot(width, height) or 1.0)
-        place = {n["i"]: k for k, n in enumerate(kept)}
-        return p.assign(ord=pd.array([rank.get(k) for k in range(len(p))], dtype="Int32"), line_pos=pd.array([place.get(k) for k in range(len(p))], dtype="Int32"))
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in elements.dtypes)
-    return elements.groupBy("page_id").applyInPandas(one, f"{fields}, ord int, line_pos int")
+    ship(elements.sparkSession)
+    diagonal = math.hypot(width, height) or 1.0
+
+    @F.pandas_udf("array<struct<ord:int,line_pos:int>>")
+    def run(lists: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in lists.itertuples(index=False, name=None):
+            *columns, conf = (c.tolist() if hasattr(c, "tolist") else list(c) for c in row)
+            conf = [None if c is None or c != c else c for c in conf]
+            out.append([{"ord": o, "line_pos": p} for o, p in _places(*columns, conf, smooth, diagonal)])
+        return pd.Series(out)
+
+    first = ["section", "pos", "child"]
+    rows = F.array_sort(F.collect_list(F.struct(*first, *[c for c in elements.columns if c not in ("page_id", *first)])))
+    pages = elements.groupBy("page_id").agg(rows.alias("rows"))
+    lists = F.struct(*[F.col("rows")[c].alias(c) for c in ("section", "pos", "tag", "type", "x", "y", "w", "h", "conf")])
+    each = pages.select("page_id", "rows", run(lists).alias("places")).select("page_id", F.inline(F.arrays_zip("rows", "places")))
+    return each.select("page_id", "rows.*", "places.*").select(*elements.columns, "ord", "line_pos")
 
 
 def with_strings(tree: DataFrame, strings: DataFrame | None = None) -> DataFrame:

@@ -35,6 +35,8 @@ WITH RECURSIVE pg AS MATERIALIZED (
 
 def pages(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem").withColumn("page_id", F.floor(F.col("l_orderkey") / 8).cast("long"))
+    # The one shuffle by page; its number of parts is given, since page folds cost time, not bytes.
+    line = line.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
     order = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
     part, q = F.col("l_partkey"), F.col("l_quantity")
     block = (part % 17).isin(0, 7, 15)
@@ -318,6 +320,41 @@ def png_encode(spark, sf_dir):
     return tiles(spark, sf_dir).select("vec_id", b.alias("b")).select("vec_id", F.octet_length("b").alias("n_bytes"), F.hex(F.substring("b", 1, 8)).alias("mark"))
 
 
+@query(CROP_SQL.format(w=4, h=4, x="i", y="j"))
+def png_round_trip(spark, sf_dir):
+    """A PNG of every picture, read back."""
+
+    @F.pandas_udf("binary")
+    def png(content: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([I.encode_png(c, w, h) for c, w, h in zip(content, width, height)])
+
+    files = tiles(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), png("content", "width", "height").alias("content"))
+    back = I.decoded_content(files)
+    return back.select(F.col("path").cast("long").alias("vec_id"), "width", "height", F.md5("content").alias("digest"))
+
+
+@query(CROP_SQL.format(w=2, h=2, x="(i + 1)", y="(j + 1)"))
+def raster_shift(spark, sf_dir):
+    """R-l, R-m, R-n: the middle of every picture by a homography of four points."""
+    m = R.homography([(1, 1), (2, 1), (2, 2), (1, 2)], [(0, 0), (1, 0), (1, 1), (0, 1)])
+    return tiles(spark, sf_dir).select("vec_id", R.image_udf(lambda a: R.warped(a, m, 2, 2))("content", "width", "height").alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
+@query(
+    "SELECT vec_id, 4 AS width, 4 AS height, md5(unhex(string_agg(printf('%02x', CASE WHEN j < 3 THEN CAST(floor(abs(embedding[1 + (j * 4 + i) * 4 + c]) * CAST(255 AS FLOAT)) AS BIGINT) % 256 WHEN c = 3 THEN 255 ELSE 0 END), '' ORDER BY j, i, c))) AS digest "
+    "FROM embeddings, range(4) js(j), range(4) ks(i), range(4) cs(c) GROUP BY vec_id"
+)
+def raster_square(spark, sf_dir):
+    """R-c: the upper three rows of every picture on a black square of their longer side."""
+    return tiles(spark, sf_dir).select("vec_id", R.image_udf(lambda a: R.letterboxed(a[:3], 4))("content", "width", "height").alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
+@query(CROP_SQL.format(w=4, h=2, x="(1 - j)", y="i"))
+def raster_turn(spark, sf_dir):
+    """R-d: the left half of every picture, which is tall, turned to a line of the same size."""
+    return tiles(spark, sf_dir).select("vec_id", R.image_udf(lambda a: R.upright(a[:, :2], 4, 2))("content", "width", "height").alias("c")).select("vec_id", *_digest(F.col("c")))
+
+
 @query()
 def recognise_stub(spark, sf_dir):
     """R-h, R-j, R-k, R-o, U2: the model interface with a stub that reads mean values."""

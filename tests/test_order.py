@@ -276,3 +276,86 @@ def test_pages_against_a_tree_sorted_apart():
             smooth_tree(page, diagonal)
         assert [x["i"] for x in O.sort_page(nodes, smooth, diagonal)] == [x.a["i"] for x in every_line(page)]
     assert crossed > 200
+
+
+def plainly_cut(boxes):
+    """Ranks by recursion over a mesh of single cells, written apart."""
+    grid = [list(map(int, b)) for b in O.grid_boxes(np.asarray(boxes, dtype=np.int64).reshape(-1, 4))]
+    width, height = max(b[2] for b in grid) + 1, max(b[3] for b in grid) + 1
+    mesh = [[any(x0 <= x < x1 and y0 <= y < y1 for x0, y0, x1, y1 in grid) for x in range(width)] for y in range(height)]
+
+    def emptiest(counts):
+        if len(counts) <= 1:
+            return 0, 1, 0.0
+        low, runs, i = min(counts), [], 0
+        while i < len(counts):
+            j = i
+            while j < len(counts) and counts[j] == low:
+                j += 1
+            if j > i:
+                runs.append((i, j))
+            i = max(j, i + 1)
+        a, b = max(runs, key=lambda r: (r[1] - r[0], -r[0]))
+        return a, b, -low / max(counts) if max(counts) > 0 else 0.0
+
+    found = []
+
+    def go(x0, y0, x1, y1):
+        """The tree as ((box), children)."""
+        xa, xb, xs = emptiest([sum(mesh[y][x] for y in range(y0, y1)) for x in range(x0, x1)])
+        ya, yb, ys = emptiest([sum(mesh[y][x] for x in range(x0, x1)) for y in range(y0, y1)])
+        if (xa, xb, ya, yb) == (0, x1 - x0, 0, y1 - y0):
+            leaf = ((x0, y0, x1, y1), [], [])
+            found.append(leaf)
+            return leaf
+        if xs < ys or (xs == ys and xb - xa >= yb - ya):
+            parts = [(x0, y0, x0 + xa, y1), (x0 + xa, y0, x0 + xb, y1), (x0 + xb, y0, x1, y1)]
+        else:
+            parts = [(x0, y0, x1, y0 + ya), (x0, y0 + ya, x1, y0 + yb), (x0, y0 + yb, x1, y1)]
+        parts = [p for p in parts if p[0] < p[2] and p[1] < p[3] and p != (x0, y0, x1, y1)]
+        if not parts:
+            leaf = ((x0, y0, x1, y1), [], [])
+            found.append(leaf)
+            return leaf
+        return ((x0, y0, x1, y1), [go(*p) for p in parts], None)
+
+    tree = go(0, 0, width, height)
+    for k, a in enumerate(grid):
+        def score(b):
+            inter = max(0, min(a[2], b[2]) - max(a[0], b[0]) + 1) * max(0, min(a[3], b[3]) - max(a[1], b[1]) + 1)
+            union = (a[2] - b[0] + 1) * (a[3] - b[1] + 1) + (b[2] - a[0] + 1) * (b[3] - a[1] + 1) - inter
+            return inter / union if union > 0 else 0.0
+
+        scores = [score(leaf[0]) for leaf in found]
+        found[scores.index(max(scores))][2].append(k)
+
+    def read(node):
+        """(lines in order, number of lines, number of tall ones)."""
+        box, children, own = node
+        if not children:
+            tall = sum(grid[k][2] - grid[k][0] < grid[k][3] - grid[k][1] for k in own)
+            key = (lambda k: (-grid[k][0], grid[k][1])) if len(own) < 2 * tall else (lambda k: (grid[k][1], grid[k][0]))
+            return sorted(own, key=key), len(own), tall
+        parts = [read(c) for c in children]
+        n, tall = sum(p[1] for p in parts), sum(p[2] for p in parts)
+        if n < 2 * tall and all(c[0][1] == box[1] and c[0][3] == box[3] for c in children):
+            parts.reverse()
+        return [k for p in parts for k in p[0]], n, tall
+
+    rank = [0] * len(grid)
+    for at, k in enumerate(read(tree)[0]):
+        rank[k] = at
+    return rank
+
+
+def test_cuts_against_single_cells(monkeypatch):
+    rng = random.Random(13)
+    for n in range(150):
+        size = rng.choice([12, 40, 90])
+        count = rng.choice([1, 2, 4, 7])
+        boxes = [(x := rng.randint(0, size), y := rng.randint(0, size), x + rng.choice([0, 1, 5, 30]), y + rng.choice([0, 2, 9, 40])) for _ in range(count)]
+        if n % 2:  # smaller cells keep the plain mesh small; the grid is the same for both
+            monkeypatch.setattr(O, "CELLS", 12)
+        monkeypatch.setattr(O, "SHORT", rng.choice([0, 200]))  # arrays or lists
+        assert O.xy_cut(boxes) == plainly_cut(boxes), boxes
+        monkeypatch.undo()

@@ -168,3 +168,34 @@ def test_rule_constructor_numbers_and_polygons(spark):
     points = [((5.0, 1.0), 1.0), ((5.0, 8.0), -(4.5**0.5)), ((-3.0, -4.0), -5.0), ((5.0, 5.0), 0.0)]
     got = [spark.range(1).select(G.polygon_distance(F.lit(x), F.lit(y), shape)).first()[0] for (x, y), _ in points]
     assert all(abs(g - w) < 1e-9 for g, (_, w) in zip(got, points))
+
+
+def test_containers_over_cells_of_the_page(spark):
+    """Boxes at and over the borders of cells, negative places, equal boxes; the same as every line with every container."""
+    import random
+
+    from quirelay.operators import containment as C
+
+    rng = random.Random(3)
+    rows = [(p, k, rng.choice([0, 7, 15, 1, 2, 4]), rng.choice([0.05, 0.5]), rng.randrange(-60, 60), rng.randrange(-60, 60), rng.choice([0, 1, 7, 40, 90]), rng.choice([0, 3, 30, -2])) for p in range(4) for k in range(60)]
+    det = spark.createDataFrame(rows, "page_id long, det_idx long, class_idx long, conf double, x1 long, y1 long, w long, h long")
+    want = []
+    for p, k, c, conf, x, y, w, h in rows:
+        if c not in (0, 7, 15) and conf >= 0.1:
+            cx, cy = x + w / 2, y + h / 2
+            found = [(C.PRIORITY[b[2]], b[1]) for b in rows if b[0] == p and b[2] in C.PRIORITY and b[4] <= cx <= b[4] + b[6] and b[5] <= cy <= b[5] + b[7]]
+            if found:
+                want.append((p, k, c, *min(found)))
+    for cell in (1, 16, 512):
+        assert sorted(map(tuple, C.first_container(det, 0.1, cell).collect())) == sorted(want)
+
+
+def test_one_page_of_many_boxes(spark):
+    """A hundred thousand boxes on one page: lines meet the containers of their cell alone."""
+    from quirelay.operators import containment as C
+
+    n = 100_000
+    at = spark.range(n).select(F.lit(1).cast("long").alias("page_id"), F.col("id").alias("det_idx"), F.when(F.col("id") % 5 == 0, 0).otherwise(1).cast("long").alias("class_idx"), F.lit(0.9).alias("conf"), (F.floor(F.col("id") / 5) % 100 * 500).alias("x1"), (F.floor(F.col("id") / 500) * 500).alias("y1"))
+    det = at.withColumn("w", F.when(F.col("class_idx") == 0, 499).otherwise(20).cast("long")).withColumn("h", F.col("w"))
+    got = C.first_container(det)
+    assert got.count() == n * 4 // 5 and got.where("block_idx != floor(det_idx / 5) * 5").count() == 0
