@@ -35,6 +35,8 @@ from .util import LOWER, UPPER, durable, read
 ORDER = 5
 #: Buckets of the bitmap: 2 ** BITS.
 BITS = 27
+#: Languages up to which their totals are broadcast; more of them are joined by a shuffle.
+LANGUAGES = 10_000
 #: Bytes of text a task counts at once.
 PIECE = 8 << 20
 _WORDS = [f"w{k}" for k in range(1, ORDER + 1)]
@@ -129,7 +131,8 @@ def frequent_buckets(docs: DataFrame, least: int, bits: int = BITS, pairs: bytes
 
     counted = arrow_map(docs, count, "part int, low binary, n binary").repartition("part")
     whole = bytearray(max(1 << bits, PART) // 8)
-    for r in arrow_map(counted, add, "part int, bits binary").toLocalIterator():
+    # 2 ** bits bits in all.
+    for r in arrow_map(counted, add, "part int, bits binary").collect():
         whole[r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] = r["bits"]
     return bytes(whole)
 
@@ -180,6 +183,8 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, bits: int =
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
     counted = durable(prefix_counts(windows(slim, least, bits), least), "collocation-counts")
     totals = counted.where("size(words) = 0").select("lang", F.col("f").alias("n"))
+    if totals.count() <= LANGUAGES:
+        totals = F.broadcast(totals)
     counts = counted.where("size(words) > 0")
     phrases = counts.where(F.size("words") > 1).select("lang", "words", "phrase", F.col("f").alias("a"))
     cut = phrases.select("lang", "words", "phrase", "a", F.explode(F.expr("sequence(1, size(words) - 1)")).alias("k"))

@@ -80,7 +80,8 @@ def term_bitmap(terms: DataFrame, bits: int = BITS) -> bytes:
     at = F.crc32("term").bitwiseAND((1 << bits) - 1)
     parts = terms.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("bits"))
     whole = bytearray((1 << bits) // 8)
-    for r in parts.toLocalIterator():
+    # 1 MiB in all.
+    for r in parts.collect():
         whole[r["part"] * 4096 : r["part"] * 4096 + len(r["bits"])] = r["bits"]
     return bytes(whole)
 
