@@ -62,11 +62,20 @@ def move(rules: DataFrame, pos: int, by: int) -> DataFrame:
     return rules.crossJoin(F.broadcast(there)).withColumn("pos", F.when(inside & (p == pos), pos + by).when(inside & (p == pos + by), pos).otherwise(p)).drop("most")
 
 
+def _listed() -> Column:
+    """A list's rules in order, as an aggregate."""
+    fields = ["id", "name", "comment", "pattern", "flags", "replacement", "enabled"]
+    return F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r")))), lambda x: x["r"])
+
+
 def to_json(rules: DataFrame) -> DataFrame:
     """One row with the list in order, indented."""
-    fields = ["id", "name", "comment", "pattern", "flags", "replacement", "enabled"]
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r")))), lambda x: x["r"])
-    return rules.agg(F.to_json(listed, {"pretty": "true"}).alias("json"))
+    return rules.agg(F.to_json(_listed(), {"pretty": "true"}).alias("json"))
+
+
+def exported(rules: DataFrame, list_col: str) -> DataFrame:
+    """(list, json) for every list; the largest group is one list."""
+    return rules.groupBy(list_col).agg(F.to_json(_listed(), {"pretty": "true"}).alias("json"))
 
 
 def from_json(text: Column) -> Column:
@@ -127,7 +136,12 @@ def enabled(rules: DataFrame) -> DataFrame:
     return rules.where(F.col("enabled") & (F.col("pattern") != ""))
 
 
+def tried_on(rules: DataFrame, texts: DataFrame, text_col: str = "text", out: str = "text_clean") -> DataFrame:
+    """``texts`` with one list of rules applied to every text."""
+    one = texts.withColumn("__one", F.lit(0))
+    return cleaned_by(one, rules.withColumn("__one", F.lit(0)), "__one", text_col, out).drop("__one")
+
+
 def dry_run(rules: DataFrame, text: str) -> str:
     """The rules applied to one test input."""
-    one = rules.sparkSession.range(1).select(F.lit(text).alias("text"), F.lit(0).alias("list"))
-    return cleaned_by(one, rules.withColumn("list", F.lit(0)), "list").first()["text_clean"]
+    return tried_on(rules, rules.sparkSession.range(1).select(F.lit(text).alias("text"))).first()["text_clean"]

@@ -162,3 +162,104 @@ def parse_or_error(spark, sf_dir):
     got = parsed(read(spark, sf_dir, "events").withColumn("t", text), "t", "struct<k:bigint>", "found")
     whole = F.get_json_object("props", "$.k")
     return got.select("event_id", F.when(F.col("error").isNull(), F.col("found.k").cast("string")).otherwise(whole).alias("k"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT CAST(conv_id % 50 AS VARCHAR) AS job_id, string_agg(coalesce(text, ''), chr(10) ORDER BY conv_id, turn) AS text, CAST(count(*) AS INTEGER) AS n_lines FROM conversations GROUP BY conv_id % 50")
+def job_texts(spark, sf_dir):
+    """The texts of jobs, pages and lines in order; conversations are pages, turns are lines."""
+    from ..sources.sinks import texts
+
+    c = read(spark, sf_dir, "conversations")
+    return texts(c.select((F.col("conv_id") % 50).cast("string").alias("job_id"), F.col("conv_id").alias("page_id"), F.col("turn").alias("line_pos"), "text"))
+
+
+@query(
+    """WITH page AS (SELECT l_orderkey // 8 AS page_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount FROM lineitem WHERE l_linenumber > 1), ids AS (SELECT DISTINCT l_orderkey // 8 AS page_id FROM lineitem)
+SELECT ids.page_id, 1000 AS width, (SELECT count(*) FROM page p WHERE p.page_id = ids.page_id AND l_partkey % 2 = 0) AS n_lines, (SELECT count(*) FROM page p WHERE p.page_id = ids.page_id AND l_partkey % 2 = 1) AS n_detections,
+  coalesce((SELECT string_agg('s' || l_suppkey, ' ' ORDER BY l_orderkey * 10 + l_linenumber, l_partkey % 1000, l_suppkey % 1400, CAST(l_quantity AS INTEGER)) FROM page p WHERE p.page_id = ids.page_id AND l_partkey % 2 = 0), '') AS text
+FROM ids"""
+)
+def structured_pages(spark, sf_dir):
+    """K8: pages with their lines in order and their detections, pages without any too; rows of orders stand for both."""
+    from ..sources.sinks import structured
+
+    line = read(spark, sf_dir, "lineitem").withColumn("page_id", F.floor(F.col("l_orderkey") / 8).cast("long"))
+    rows = line.where("l_linenumber > 1")
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    x, y, w = F.col("l_partkey") % 1000, F.col("l_suppkey") % 1400, F.col("l_quantity").cast("int")
+    lines = rows.where("l_partkey % 2 = 0").select("page_id", pos.alias("line_pos"), x.alias("x"), y.alias("y"), w.alias("w"), F.lit(20).alias("h"), F.col("l_discount").alias("conf"), F.concat(F.lit("s"), "l_suppkey").alias("text"))
+    found = rows.where("l_partkey % 2 = 1").select("page_id", pos.alias("det_idx"), (F.col("l_partkey") % 17).alias("class_idx"), F.col("l_discount").alias("conf"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + 20).alias("y2"))
+    got = structured(line.select("page_id", F.lit(1000).alias("width")).distinct(), lines, found)
+    return got.select("page_id", "width", F.size("lines").cast("long").alias("n_lines"), F.size("detections").cast("long").alias("n_detections"), F.array_join(F.transform("lines", lambda v: v["text"]), " ").alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 0 THEN length(text) || ' characters copied' ELSE 'no text found' END AS notice FROM documents")
+def notices(spark, sf_dir):
+    """K7: the notice for each text, with notices on."""
+    from ..sources.stores import notified
+
+    on = spark.createDataFrame([(True,)], "show_result_alert boolean")
+    return notified(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), on).select("doc_id", "notice")
+
+
+#: A catalogue (lang, key, template) of two languages; the phases of other events have no phrase.
+PHRASES = [("en", "click", "Reading lines"), ("en", "view", "Finding text"), ("fr", "click", "Lecture"), ("fr", "signup", "Modèle prêt")]
+
+
+@query(
+    f"""SELECT event_id, coalesce(t, event_type) || CASE WHEN n > 0 THEN ' (' || user_id || '/' || n || ')' ELSE '' END AS message, CASE WHEN n > 0 THEN CAST(floor(100.0 * user_id / n + 0.5) AS BIGINT) END AS pct
+FROM (SELECT *, event_id % 3 * 40 AS n, CASE WHEN event_id % 2 = 0 THEN 'en' ELSE 'fr' END AS l FROM events) LEFT JOIN (VALUES {', '.join(str(p) for p in PHRASES)}) p(pl, k, t) ON pl = l AND k = event_type"""
+)
+def progress_texts(spark, sf_dir):
+    """S13, D9s, T11: progress by language, with the catalogue's phrase or the phase's name."""
+    from ..sources.stores import messages
+    from ..streaming.jobs import localised
+
+    e = read(spark, sf_dir, "events")
+    lang = F.when(F.col("event_id") % 2 == 0, "en").otherwise("fr")
+    events = e.select(F.col("event_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), "ts", F.lit("progress").alias("type"), F.col("event_type").alias("phase"), F.col("user_id").alias("current"), (F.col("event_id") % 3 * 40).alias("total"), lang.alias("lang"))
+    return localised(events, messages(spark, PHRASES)).select(F.col("seq").alias("event_id"), "message", F.col("pct").cast("long").alias("pct"))
+
+
+@query(
+    "SELECT c_custkey AS job_id, coalesce(CASE WHEN c_custkey % 7 = 0 THEN 'own-' || c_custkey END, CASE c_mktsegment WHEN 'BUILDING' THEN 'b.onnx' WHEN 'MACHINERY' THEN 'm.onnx' ELSE 'detector.onnx' END) AS detector_url, "
+    "CASE c_mktsegment WHEN 'BUILDING' THEN 'b2.onnx' WHEN 'MACHINERY' THEN 'm2.onnx' ELSE 'recogniser.onnx' END AS recogniser_url FROM customer"
+)
+def preset_lookup(spark, sf_dir):
+    """Each customer's preset by segment, the default one for unknown segments, and addresses that override it."""
+    from ..sources.dims import presets
+    from ..sources.stores import preset
+
+    c = read(spark, sf_dir, "customer")
+    wanted = c.select(F.col("c_custkey").alias("job_id"), F.col("c_mktsegment").alias("preset_id"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("own-"), F.col("c_custkey").cast("string"))).alias("own_detector_url"))
+    return preset(presets(spark, [("BUILDING", "B", "b.onnx", "b2.onnx"), ("MACHINERY", "M", "m.onnx", "m2.onnx")]), wanted).select("job_id", "detector_url", "recogniser_url")
+
+
+@query("SELECT p_brand AS list, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, p_name AS name, p_type AS pattern, p_size % 2 = 0 AS enabled FROM part")
+def rule_export(spark, sf_dir):
+    """Every brand's list exported as JSON and imported again."""
+    from ..operators.rules import exported, from_json
+
+    part = read(spark, sf_dir, "part")
+    text = lambda c: F.col(c).cast("string")
+    rules = part.select(F.col("p_brand").alias("list"), F.col("p_partkey").alias("pos"), text("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("c").alias("comment"), F.col("p_type").alias("pattern"), F.lit("g").alias("flags"), F.lit("").alias("replacement"), (F.col("p_size") % 2 == 0).alias("enabled"))
+    back = exported(rules, "list").select("list", F.posexplode(from_json(F.col("json"))).alias("pos", "r"))
+    return back.select("list", F.col("r.id").cast("long").alias("id"), "pos", "r.name", "r.pattern", "r.enabled")
+
+
+@query("SELECT s_suppkey AS id, regexp_replace(regexp_replace(s_name, '0+', '0', 'g'), 'S', '[\\0]') AS shown FROM supplier")
+def rule_dry_run(spark, sf_dir):
+    """Rules tried on test inputs, here the suppliers' names."""
+    from ..operators.rules import tried_on
+
+    rules = spark.createDataFrame([(0, "0+", "0", "g", True), (1, "[", "x", "g", True), (2, "S", "[$&]", "", True), (3, "u", "x", "g", False)], "pos int, pattern string, replacement string, flags string, enabled boolean")
+    return tried_on(rules, read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))).select("id", F.col("text_clean").alias("shown"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([ぁ-んァ-ヶ一-龥])[" + T.WHITE + r"]+([ぁ-んァ-ヶ一-龥])', '\1\2', 'g'), '[,，]', '', 'g'), '\n{2,}', chr(10), 'g'), '\n', '', 'g') AS text_clean FROM documents")
+def seed_rules(spark, sf_dir):
+    """T4: the rules installed first, switched on."""
+    from ..operators.rules import tried_on
+    from ..sources.dims import seed_rules
+
+    return tried_on(seed_rules(spark).withColumn("enabled", F.lit(True)), read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text_clean")
