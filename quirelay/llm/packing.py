@@ -53,6 +53,8 @@ _LOWER = bytes.maketrans(b"\t\n\x0b\x0c\r" + UPPER.encode(), b"     " + LOWER.en
 #: First bytes of the combining marks that compose with A-Z or a-z.
 _MARKS = (b"\xcc", b"\xcd")
 WORD_END = "</w>"
+#: Signs that often follow a word; a pre-tokenizer parts them from letters.
+SIGNS = ".,;:!?"
 _WIDE_SPACE = [c.encode() for c in SPACE if ord(c) > 127]
 
 
@@ -67,6 +69,7 @@ class WordIds:
         self.library.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.opening = [t.content[:2].encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.signs = dict(zip(SIGNS, self._each(list(SIGNS))))
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(WORD_END)]] = True
 
@@ -95,12 +98,20 @@ class WordIds:
             if x is None:
                 # The last byte of a word is the blank after it.
                 w = words[k][:-1].decode("utf-8", "replace")
-                (plain if w.isalpha() and (w.isascii() or max(w) < "\u0250") else other).append((k, w))
+                # A sign after letters is a token of its own.
+                sign = self.signs.get(w[-1:], b"")
+                stem = w[:-1] if sign else w
+                if not (stem.isalpha() and (stem.isascii() or max(stem) < "\u0250")):
+                    other.append((k, w))
+                elif sign and (x := known.get(words[k][:-2] + b" ")) is not None:
+                    ids[k] = x + sign
+                else:
+                    plain.append((k, stem))
         for some, encode in ((plain, self._plain), (other, self._each)):
             for (k, w), x in zip(some, encode([w for _, w in some]), strict=True):
-                ids[k] = x
+                ids[k] = x + self.signs.get(words[k][-2:-1].decode("latin-1"), b"") if some is plain else x
                 if len(known) < WORDS and len(w) <= 64:
-                    known[words[k]] = x
+                    known[words[k]] = ids[k]
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -113,10 +124,13 @@ class WordIds:
         tokens, ends = split_at_blanks(raw)
         ids = self._ids(tokens.dictionary.to_pylist())
         codes = tokens.indices.to_numpy()
-        flat = memoryview(b"".join(map(ids.__getitem__, codes.tolist())))
-        upto = np.concatenate([[0], np.cumsum(np.array([len(x) for x in ids], np.int64)[codes])])
+        values = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        upto = np.concatenate([[0], np.cumsum(size[codes])])
+        flat = memoryview(values[np.repeat(first[codes] - upto[:-1], size[codes]) + np.arange(upto[-1])].tobytes())
         # Every text ends at a blank, so at the end of a token.
-        cuts = upto[np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts])) + 1].tolist()
+        cuts = (4 * upto[np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts])) + 1]).tolist()
         return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
 
 

@@ -73,7 +73,7 @@ def test_words_are_kept_in_bounds(monkeypatch):
 def test_case_marks_and_letters():
     """Upper case with combining marks, added tokens in any case, letters of many scripts and long joined runs."""
     own, rng = packing.WordIds(default_path()), random.Random(4)
-    texts = ["H\u0331x Hx", "I\u0307 \u0130I", "<|ENDOFTEXT|> <|endoftext|>A", "<| A", "DON'T Don't we'LL", "ÉTÉ été ÅNGSTRÖM Å ß ẞ ŉ ǆ", "ΣΑΣ Σ", "ab" * 60 + " AB", "\ufb01 \u0149 ªº", " ".join(f"w{i} Wx" for i in range(1500))]
+    texts = ["H\u0331x Hx", "I\u0307 \u0130I", "<|ENDOFTEXT|> <|endoftext|>A", "<| A", "DON'T Don't we'LL", "ÉTÉ été ÅNGSTRÖM Å ß ẞ ŉ ǆ", "ΣΑΣ Σ", "ab" * 60 + " AB", "\ufb01 \u0149 ªº", "a. A, b; b: été! été? été. .. a.. a!? ?a 1. 1, x1. né. né né,", "." , "tok tok. tok tok,", " ".join(f"w{i} Wx" for i in range(1500))]
     texts += ["".join(rng.choice("aBcÉéñßŉ\u0301\u0331 '.1") for _ in range(rng.randint(0, 80))) for _ in range(200)]
     texts += [" ".join("".join(rng.choice("abcdefgéèüñÀ") for _ in range(rng.randint(1, 12))) for _ in range(1200))]
     assert [list(memoryview(x).cast("I")) for x in own.encode([t.encode() for t in texts])] == [encoded(t)[:-1] for t in texts]
