@@ -32,8 +32,10 @@ _loaded: dict[str, object] = {}
 
 
 def loaded(key: str, provider: Callable[[], object]) -> object:
-    """The provider's model, loaded once in this process; another key replaces it."""
+    """The provider's model, loaded once in this process; another key replaces it, and what it replaces is closed if it can be."""
     if key not in _loaded:
+        for old in _loaded.values():
+            getattr(old, "close", lambda: None)()
         _loaded.clear()
         _loaded[key] = provider()
     return _loaded[key]

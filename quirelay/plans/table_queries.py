@@ -263,3 +263,13 @@ def seed_rules(spark, sf_dir):
     from ..sources.dims import seed_rules
 
     return tried_on(seed_rules(spark).withColumn("enabled", F.lit(True)), read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text_clean")
+
+
+@query("SELECT conv_id AS paste_id, min(turn) AS pos, min_by(text, turn) AS content, 'image/png' AS mime FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def pasted_pictures(spark, sf_dir):
+    """The first item of each paste that is a picture; turns are items, and those of one role stand for pictures."""
+    from ..sources.images import pasted
+
+    mime = F.when(F.col("role") == "assistant", "image/png").otherwise("text/plain")
+    items = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paste_id"), F.col("turn").alias("pos"), mime.alias("mime"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return pasted(items).select("paste_id", "pos", F.decode("content", "UTF-8").alias("content"), "mime")

@@ -120,6 +120,12 @@ def image_type(mime: Column) -> Column:
     return mime.startswith("image/")
 
 
+def pasted(items: DataFrame, paste: str = "paste_id") -> DataFrame:
+    """The first picture of each paste or drop: of its items (pos, mime, content) in order, the first whose kind is a picture's. Others have no row."""
+    pictures = items.where(image_type(F.col("mime")))
+    return pictures.groupBy(paste).agg(F.min_by(F.struct("pos", "mime", "content"), "pos").alias("first")).select(paste, "first.*")
+
+
 def encode_png(rgba_bytes: bytes, width: int, height: int) -> bytes:
     """An 8-bit RGBA PNG."""
     rows = np.frombuffer(rgba_bytes, np.uint8).reshape(height, width * 4)

@@ -158,6 +158,14 @@ def test_models_are_loaded_once():
     loads = []
     assert N.loaded("k", lambda: loads.append(1) or "m") == "m" and N.loaded("k", lambda: loads.append(1)) == "m" and len(loads) == 1
 
+    class Closing:
+        def close(self):
+            loads.append("closed")
+
+    first = N.loaded("a", Closing)
+    assert N.loaded("a", Closing) is first and loads == [1]
+    assert N.loaded("b", Closing) is not first and loads == [1, "closed"]
+
 
 def test_tried_and_parsed(spark):
     rows = spark.createDataFrame([(4, 2), (1, 0), (None, 1)], "a int, b int")
