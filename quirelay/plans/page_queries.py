@@ -51,7 +51,97 @@ def lines(spark, sf_dir):
     return pages(spark, sf_dir).where(~F.col("class_idx").isin(0, 7, 15))
 
 
-@query()
+#: Cells of the page's grid (g) cut into strips at the edges of boxes; ``sheet`` has the covered cells of every strip up to each edge across it, so the
+#: marginals of a node are differences; ``node`` cuts all nodes of a level at once; leaves are given their boxes and read in order.
+XY_SQL = (
+    PAGES
+    + """, line AS MATERIALIZED (
+  SELECT page_id, det_idx, x1, y1, x1 + w AS x2, y1 + h AS y2, w, h FROM pg WHERE class_idx NOT IN (0, 7, 15)
+), page AS MATERIALIZED (
+  SELECT page_id, min(x1) AS lx, min(y1) AS ly, CAST(max(x2) - min(x1) AS DOUBLE) AS ex, CAST(max(y2) - min(y1) AS DOUBLE) AS ey, 100 * sqrt(count(*)) AS side FROM line GROUP BY page_id
+), g AS MATERIALIZED (
+  SELECT page_id, det_idx, CAST(floor((x1 - lx) * tx / ex) AS INTEGER) AS a, CAST(floor((y1 - ly) * ty / ey) AS INTEGER) AS b, CAST(floor((x2 - lx) * tx / ex) AS INTEGER) AS c, CAST(floor((y2 - ly) * ty / ey) AS INTEGER) AS d
+  FROM line JOIN (SELECT *, CASE WHEN ex < ey THEN side ELSE side * ex / ey END AS tx, CASE WHEN ey < ex THEN side ELSE side * ey / ex END AS ty FROM page) USING (page_id)
+), xe AS (
+  SELECT page_id, unnest(list_distinct(flatten([list(a), list(c), [0, max(c) + 1]]))) AS e FROM g GROUP BY page_id
+), ye AS (
+  SELECT page_id, unnest(list_distinct(flatten([list(b), list(d), [0, max(d) + 1]]))) AS e FROM g GROUP BY page_id
+), xs AS (
+  SELECT * FROM (SELECT page_id, e AS fr, lead(e) OVER (PARTITION BY page_id ORDER BY e) AS til FROM xe) WHERE til IS NOT NULL
+), ys AS (
+  SELECT * FROM (SELECT page_id, e AS fr, lead(e) OVER (PARTITION BY page_id ORDER BY e) AS til FROM ye) WHERE til IS NOT NULL
+), mesh AS (
+  SELECT DISTINCT g.page_id, xs.fr AS x, ys.fr AS y FROM g JOIN xs ON xs.page_id = g.page_id AND xs.fr >= a AND xs.til <= c JOIN ys ON ys.page_id = g.page_id AND ys.fr >= b AND ys.til <= d
+), cell AS MATERIALIZED (
+  SELECT xs.page_id, xs.fr AS x, ys.fr AS y, CASE WHEN mesh.x IS NULL THEN 0 ELSE xs.til - xs.fr END AS wide, CASE WHEN mesh.x IS NULL THEN 0 ELSE ys.til - ys.fr END AS high
+  FROM xs JOIN ys ON ys.page_id = xs.page_id LEFT JOIN mesh ON mesh.page_id = xs.page_id AND mesh.x = xs.fr AND mesh.y = ys.fr
+), down AS (
+  SELECT page_id, list(list_prepend(0, n) ORDER BY x) AS cx FROM (SELECT page_id, x, list(n ORDER BY y) AS n FROM (SELECT page_id, x, y, CAST(sum(high) OVER (PARTITION BY page_id, x ORDER BY y) AS SMALLINT) AS n FROM cell) GROUP BY page_id, x) GROUP BY page_id
+), across AS (
+  SELECT page_id, list(list_prepend(0, n) ORDER BY y) AS cy FROM (SELECT page_id, y, list(n ORDER BY x) AS n FROM (SELECT page_id, x, y, CAST(sum(wide) OVER (PARTITION BY page_id, y ORDER BY x) AS SMALLINT) AS n FROM cell) GROUP BY page_id, y) GROUP BY page_id
+), sheet AS MATERIALIZED (
+  SELECT page_id, 0 AS along, cx AS cum, e FROM down JOIN (SELECT page_id, list(e ORDER BY e) AS e FROM xe GROUP BY page_id) USING (page_id)
+  UNION ALL
+  SELECT page_id, 1, cy, e FROM across JOIN (SELECT page_id, list(e ORDER BY e) AS e FROM ye GROUP BY page_id) USING (page_id)
+), node AS (
+  SELECT page_id, CAST(1 AS BIGINT) AS x0, CAST(1 AS BIGINT) AS y0, max(len(e)) FILTER (WHERE along = 0) AS x1, max(len(e)) FILTER (WHERE along = 1) AS y1, CAST([] AS INTEGER[]) AS path FROM sheet GROUP BY page_id
+  UNION ALL
+  SELECT page_id, px0, py0, px1, py1, list_append(path, k) FROM (
+    SELECT *, unnest([1, 2, 3]) AS k,
+      unnest(CASE WHEN dir = 0 THEN [x0, xa, xb] ELSE [x0, x0, x0] END) AS px0, unnest(CASE WHEN dir = 0 THEN [y0, y0, y0] ELSE [y0, ya, yb] END) AS py0,
+      unnest(CASE WHEN dir = 0 THEN [xa, xb, x1] ELSE [x1, x1, x1] END) AS px1, unnest(CASE WHEN dir = 0 THEN [y1, y1, y1] ELSE [ya, yb, y1] END) AS py1
+    FROM (
+      SELECT *, CASE WHEN xscore < yscore OR (xscore = yscore AND xlong >= ylong) THEN 0 ELSE 1 END AS dir FROM (
+        SELECT page_id, x0, y0, x1, y1, path, max(CASE WHEN along = 0 THEN s END) AS xa, max(CASE WHEN along = 0 THEN e END) AS xb, max(CASE WHEN along = 0 THEN long END) AS xlong, max(CASE WHEN along = 0 THEN score END) AS xscore,
+          max(CASE WHEN along = 1 THEN s END) AS ya, max(CASE WHEN along = 1 THEN e END) AS yb, max(CASE WHEN along = 1 THEN long END) AS ylong, max(CASE WHEN along = 1 THEN score END) AS yscore
+        FROM (
+          SELECT page_id, x0, y0, x1, y1, path, along, any_value(score) AS score, arg_max(s, (long, -s)) AS s, arg_max(e, (long, -s)) AS e, max(long) AS long FROM (
+            SELECT page_id, x0, y0, x1, y1, path, along, min(i) AS s, max(i) + 1 AS e, sum(size) AS long, any_value(CASE WHEN whole <= 1 OR top = 0 THEN 0.0 ELSE -CAST(low AS DOUBLE) / top END) AS score
+            FROM (
+              SELECT *, i - row_number() OVER (PARTITION BY page_id, x0, y0, x1, y1, along ORDER BY i) AS island FROM (
+                SELECT * FROM (
+                  SELECT page_id, x0, y0, x1, y1, path, along, whole, list_min(ns) AS low, list_max(ns) AS top, unnest(ns) AS n, unnest(sizes) AS size, unnest(range(first, first + len(ns))) AS i FROM (
+                    SELECT page_id, x0, y0, x1, y1, path, along, lo AS first, e[hi] - e[lo] AS whole, [c[o1] - c[o0] FOR c IN cum[lo:hi - 1]] AS ns, [e[i + 1] - e[i] FOR i IN range(lo, hi)] AS sizes
+                    FROM (SELECT *, unnest([0, 1]) AS along, unnest([x0, y0]) AS lo, unnest([x1, y1]) AS hi, unnest([y0, x0]) AS o0, unnest([y1, x1]) AS o1 FROM node) JOIN sheet USING (page_id, along)
+                  )
+                ) WHERE n = low
+              )
+            ) GROUP BY page_id, x0, y0, x1, y1, path, along, island
+          ) GROUP BY page_id, x0, y0, x1, y1, path, along
+        ) GROUP BY page_id, x0, y0, x1, y1, path
+      )
+    ) WHERE NOT (xa = x0 AND xb = x1 AND ya = y0 AND yb = y1)
+  ) WHERE px0 < px1 AND py0 < py1 AND NOT (px0 = x0 AND py0 = y0 AND px1 = x1 AND py1 = y1)
+), counted AS MATERIALIZED (
+  SELECT * FROM node
+), tree AS MATERIALIZED (
+  SELECT c.page_id, path, s.e[x0] AS x0, t.e[y0] AS y0, s.e[x1] AS x1, t.e[y1] AS y1 FROM counted c JOIN sheet s ON s.page_id = c.page_id AND s.along = 0 JOIN sheet t ON t.page_id = c.page_id AND t.along = 1
+), parent AS MATERIALIZED (
+  SELECT p.page_id, p.path, bool_and(c.y0 = p.y0 AND c.y1 = p.y1) AS columns FROM tree p JOIN tree c ON c.page_id = p.page_id AND len(c.path) = len(p.path) + 1 AND c.path[1:len(p.path)] = p.path GROUP BY p.page_id, p.path
+), leaf AS MATERIALIZED (
+  SELECT tree.* FROM tree ANTI JOIN parent ON parent.page_id = tree.page_id AND parent.path = tree.path
+), scored AS (
+  SELECT g.page_id, g.det_idx, g.a, g.b, g.c, g.d, leaf.path, greatest(0, least(g.c, leaf.x1) - greatest(g.a, leaf.x0) + 1) * greatest(0, least(g.d, leaf.y1) - greatest(g.b, leaf.y0) + 1) AS inter,
+    (g.c - leaf.x0 + 1) * (g.d - leaf.y0 + 1) + (leaf.x1 - g.a + 1) * (leaf.y1 - g.b + 1) AS spans
+  FROM g JOIN leaf USING (page_id)
+), placed AS MATERIALIZED (
+  SELECT *, d - b > c - a AS tall FROM scored
+  QUALIFY row_number() OVER (PARTITION BY page_id, det_idx ORDER BY CASE WHEN spans - inter > 0 THEN CAST(inter AS DOUBLE) / (spans - inter) ELSE 0.0 END DESC, path) = 1
+), within AS (
+  SELECT page_id, path[1:k] AS path, count(*) < 2 * count(*) FILTER (WHERE tall) AS vertical FROM (SELECT page_id, path, tall, unnest(range(0, len(path) + 1)) AS k FROM placed) GROUP BY page_id, path[1:k]
+), turned AS (
+  SELECT page_id, path FROM within JOIN parent USING (page_id, path) WHERE vertical AND columns
+), keyed AS (
+  SELECT p.page_id, p.det_idx, list(CASE WHEN t.path IS NULL THEN path_k ELSE 4 - path_k END ORDER BY k) AS key
+  FROM (SELECT page_id, det_idx, path, unnest(range(1, len(path) + 1)) AS k, unnest(path) AS path_k FROM placed) p LEFT JOIN turned t ON t.page_id = p.page_id AND t.path = p.path[1:p.k - 1] GROUP BY p.page_id, p.det_idx
+)
+SELECT p.page_id, p.det_idx, CAST(row_number() OVER (PARTITION BY p.page_id ORDER BY coalesce(k.key, []), CASE WHEN w.vertical THEN -p.a ELSE p.b END, CASE WHEN w.vertical THEN p.b ELSE p.a END, p.det_idx) - 1 AS INTEGER) AS ord
+FROM placed p LEFT JOIN keyed k USING (page_id, det_idx) JOIN within w ON w.page_id = p.page_id AND w.path = p.path
+"""
+)
+
+
+@query(XY_SQL)
 def xy_cut_order(spark, sf_dir):
     """G5, G6 to G6e, A6, A7, A13, A14, J8, O1, O5, W1."""
     return O.page_order(lines(spark, sf_dir)).select("page_id", "det_idx", "ord")
