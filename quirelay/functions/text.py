@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Fixed value: what ``\\s`` and trimming mean in the rules' dialect, as a class body with and without the line feed.
 WHITE_NO_LF = r" \t\r\x0B\f\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WHITE = WHITE_NO_LF + r"\n"
+#: The same signs themselves.
+BLANKS = "\t\r\x0b\x0c \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,8 @@ def translate_pattern(pattern: str) -> str:
         if c == "\\" and i + 1 < len(pattern):
             n = pattern[i + 1]
             if n == "s":
-                out.append(WHITE if inside else f"[{WHITE}]")
+                # Printable ASCII is told off first: most signs are, and the ranges cost more.
+                out.append(WHITE if inside else f"[[^!-~]&&[{WHITE}]]")
             elif n == "S":
                 out.append(f"[^{WHITE}]")
             elif n == "u" and pattern[i + 2 : i + 3] == "{":
@@ -162,8 +165,8 @@ def clean(spark: SparkSession, text: Column, rules: Iterable[Rule]) -> Column:
 
 def trim_lines(text: Column) -> Column:
     """White space off the end of every line, then off both ends."""
-    lines = F.regexp_replace(text, F.lit(f"(?dm)[{WHITE_NO_LF}]+$"), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(lines, F.lit(rf"\A[{WHITE}]+"), F.lit("")), F.lit(rf"[{WHITE}]+\z"), F.lit(""))
+    lines = F.transform(F.split(text, F.lit("\n"), -1), lambda line: F.rtrim(line, F.lit(BLANKS)))
+    return F.btrim(F.array_join(lines, "\n"), F.lit(BLANKS + "\n"))
 
 
 def utf16_length(text: Column) -> Column:
