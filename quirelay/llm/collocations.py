@@ -119,17 +119,24 @@ def frequent_buckets(docs: DataFrame, least: int, bits: int = BITS, pairs: bytes
             )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(have >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+        # Rows come sorted by part, so the sums of one part are held at a time.
+        now, have = None, np.zeros(PART, np.int32)
         for batch in batches:
             for part, low, n in zip(*(batch.column(c).to_pylist() for c in ("part", "low", "n"))):
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, have = part, np.zeros(PART, np.int32)
                 # Low parts are distinct within a row; sums stop at the least count, so they never run over.
-                have = sums.setdefault(part, np.zeros(PART, np.int32))
                 at = np.frombuffer(low, np.uint16)
                 have[at] = np.minimum(have[at] + np.frombuffer(n, count_type), least)
-        for part, have in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(have >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+        if now is not None:
+            yield done()
 
-    counted = arrow_map(docs, count, "part int, low binary, n binary").repartition("part")
+    counted = arrow_map(docs, count, "part int, low binary, n binary").repartition("part").sortWithinPartitions("part")
     whole = bytearray(max(1 << bits, PART) // 8)
     # 2 ** bits bits in all.
     for r in arrow_map(counted, add, "part int, bits binary").collect():
