@@ -28,15 +28,16 @@ from .raster import bgr_planes, crop_clamped, letterboxed, pixels, recognise_lin
 #: list of n dicts with label, box, score and optionally char_count.
 Model = Callable[[np.ndarray], np.ndarray]
 
+#: Models that a worker process keeps: a detector and a recogniser.
+KEPT = 2
 _loaded: dict[str, object] = {}
 
 
 def loaded(key: str, provider: Callable[[], object]) -> object:
-    """The provider's model, loaded once in this process; another key replaces it, and what it replaces is closed if it can be."""
+    """The provider's model, loaded once in this process; of more than ``KEPT`` the one loaded first goes, and is closed if it can be."""
     if key not in _loaded:
-        for old in _loaded.values():
-            getattr(old, "close", lambda: None)()
-        _loaded.clear()
+        while len(_loaded) >= KEPT:
+            getattr(_loaded.pop(next(iter(_loaded))), "close", lambda: None)()
         _loaded[key] = provider()
     return _loaded[key]
 

@@ -154,17 +154,21 @@ def test_sessions_by_their_names():
     assert N.tensor_name(["a", "Score"], "score") == "Score" and N.tensor_name(["a", "b"], "x", 1) == "b"
 
 
-def test_models_are_loaded_once():
-    loads = []
-    assert N.loaded("k", lambda: loads.append(1) or "m") == "m" and N.loaded("k", lambda: loads.append(1)) == "m" and len(loads) == 1
+def test_models_are_loaded_once(monkeypatch):
+    monkeypatch.setattr(N, "_loaded", {})
+    done = []
+
+    class Model:
+        def __init__(self):
+            done.append("loaded")
 
-    class Closing:
         def close(self):
-            loads.append("closed")
+            done.append("closed")
 
-    first = N.loaded("a", Closing)
-    assert N.loaded("a", Closing) is first and loads == [1]
-    assert N.loaded("b", Closing) is not first and loads == [1, "closed"]
+    first, second = N.loaded("a", Model), N.loaded("b", Model)
+    assert N.loaded("a", Model) is first and N.loaded("b", Model) is second and done == ["loaded"] * 2
+    N.loaded("c", Model)
+    assert done == ["loaded", "loaded", "closed", "loaded"] and list(N._loaded) == ["b", "c"]
 
 
 def test_tried_and_parsed(spark):
