@@ -13,6 +13,11 @@ from quirelay.llm import bpe, decontam, langid, linededup, setsketch
 from quirelay.llm.util import durable, only_result, read
 
 
+def as_dealt(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` in no more partitions than ``docs``: it has no more bytes, and each file makes its executor start processes."""
+    return out.coalesce(docs.rdd.getNumPartitions())
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the calibrated model rejects go; it learns from the rows that aren't held out."""
     return langid.keep_recognised(docs, langid.fit_model(langid.learning_rows(docs)))
@@ -21,17 +26,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that earlier documents have go; a document of which nothing else remains goes as well."""
     out = linededup.without_shared_blocks(docs).where((F.col("removed_lines") == 0) | (F.col("text") != ""))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return as_dealt(out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five-word shingles, similarity of 0.8 or more)."""
-    return setsketch.keep_one(docs)
+    return as_dealt(setsketch.keep_one(docs), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least a twentieth of their words in benchmark windows go."""
-    return decontam.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+    return as_dealt(decontam.clean_documents(docs, read(spark, sf_dir, "benchmark")), docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .util import drop_durable, durable
 
+#: Bytes that a step handles for each link, about: both directions and their minima.
+LINK_BYTES = 128
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large-star links each larger neighbour to the least of the neighbourhood, small-star each smaller or equal one."""
@@ -29,13 +32,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(vertex, component) for every vertex of a link; the component is the least vertex in it."""
+    """(vertex, component) for every vertex of a link; the component is the least vertex in it. ``edges`` is read twice, so it should be a durable table."""
     spark = edges.sparkSession
-    now = durable(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "links")
+    now = durable(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct(), "links", edges.count() * LINK_BYTES)
+    most = now.count() * LINK_BYTES
     seen = None
     while True:
-        new = durable(_star(_star(now, True), False), "links")
+        new = durable(_star(_star(now, True), False), "links", most)
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        most = mark[0] * LINK_BYTES
         drop_durable(spark, now)
         now = new
         if mark == seen:

@@ -43,6 +43,8 @@ from .arrowio import arrow_map, pieces
 from .util import durable, read
 
 MIN_WORDS, ROUNDS = 10, 8
+#: Bytes that a step handles for each run of lines, about.
+RUN_BYTES = 96
 #: Stands for a null id, after all others.
 LAST_NUMBER, LAST_TEXT = 2**63 - 1, "\U0010ffff"
 
@@ -178,6 +180,11 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The owner is the earlier document. Lines are numbered from 0, blank ones left out.
     """
+    return _alignments(docs, id_col, text_col, min_words)[0]
+
+
+def _alignments(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, int]:
+    """``alignments``, and how many bytes they read at most, about."""
     own_id, own_hash = _key(docs, id_col, text_col)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +200,12 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(own_id.alias("id"), own_hash.alias("th"), F.col(text_col).alias("text"))
     id_type = slim.schema["id"].dataType.simpleString()
     runs = durable(arrow_map(slim, split, f"id {id_type}, th long, hi long, lo long, line int, lines int"), "runs")
+    most = runs.count() * RUN_BYTES
     # Written, so that a run of very many documents can be split by the join.
     shared = durable(
         runs.groupBy("hi", "lo").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.max(F.struct("id", "th")).alias("last")).where("struct(first.id, first.th) != last").select("hi", "lo", "first"),
         "shared-runs",
+        most,
     )
     pair = ["id", "th", "owner", "owner_th"]
     matched = runs.join(shared, ["hi", "lo"]).where("struct(id, th) != struct(first.id, first.th)").select("id", "th", F.col("first.id").alias("owner"), F.col("first.th").alias("owner_th"), "line", F.col("first.line").alias("owner_line"), "lines")
@@ -226,13 +235,14 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield table([(*last, common_blocks(held))])
 
-    return arrow_map(matched, aligned, f"id {id_type}, th long, owner {id_type}, owner_th long, blocks array<struct<line:int,owner_line:int,lines:int>>")
+    return arrow_map(matched, aligned, f"id {id_type}, th long, owner {id_type}, owner_th long, blocks array<struct<line:int,owner_line:int,lines:int>>"), most
 
 
 def without_shared_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the blocks of ``min_words`` words or more that earlier documents have; ``removed_lines`` and ``removed_words`` are appended."""
     docs = docs.drop(*{"removed_lines", "removed_words"} - {id_col, text_col})
-    gone = durable(alignments(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.flatten(F.collect_list("blocks")).alias("gone")), "gone-blocks")
+    found, most = _alignments(docs, id_col, text_col, min_words)
+    gone = durable(found.groupBy("id", "th").agg(F.flatten(F.collect_list("blocks")).alias("gone")), "gone-blocks", most)
     return _cut(docs, gone, id_col, text_col)
 
 

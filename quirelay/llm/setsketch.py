@@ -40,11 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowio import arrow_map, pieces
-from .components import components
+from .components import LINK_BYTES, components
 from .shingles import mix, shingle_sets
-from .util import drop_durable, durable, read
+from .util import FILE_BYTES, drop_durable, durable, read
 
 REGISTERS, BANDS, BLOCK, SET_BYTES = 128, 48, 1024, 64 << 20
+#: Bytes of a sketch with its digest, of a row in a band and of a hash in the sets that a step reads and writes, about.
+SKETCH_BYTES, BAND_BYTES, HASH_BYTES = 320, 48, 16
 #: Pairs of classes compared by one task, about.
 TASK_PAIRS = 100_000_000
 LOG_B = np.log(1.001)
@@ -149,6 +151,19 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Tab
         yield pa.concat_tables(held).combine_chunks()
 
 
+def _hashes(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a binary column as views of its buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return []
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset :]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return [data[a:b].view(np.uint64) for a, b in zip(at[:-1], at[1:])]
+
+
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the left and of the right block of a pair of blocks (equal for a block with itself)."""
     block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
@@ -200,7 +215,7 @@ def _spanning(percent: int):
             if not len(left) or not len(right):
                 continue
             label, rep = t["label"].to_numpy(), t["rep"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+            sets = _hashes(t["set"])
             sizes = np.array([len(s) for s in sets])
             values, codes = np.unique(np.concatenate(sets), return_inverse=True)
             parts = np.split(codes, np.cumsum(sizes)[:-1])
@@ -284,14 +299,16 @@ def _by_number(slim: DataFrame, shingle: int, percent: int) -> DataFrame:
             )
 
     sketches = durable(arrow_map(slim, sketched, "id long, n long, digest binary, regs binary"), "sketches")
+    rows, hashes = sketches.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    of_sketches, of_bands, of_sets = rows * SKETCH_BYTES, rows * BANDS * BAND_BYTES, hashes * HASH_BYTES
     alive = sketches.where("n > 0 and id is not null")
     # Ids with several sets: the least one stands for the id.
     torn = alive.groupBy("id").agg(F.min(F.struct("n", "digest")).alias("least"), F.max(F.struct("n", "digest")).alias("most")).where("least != most")
-    torn = durable(torn.select(F.col("id").alias("tid"), F.col("least.n").alias("tn"), F.col("least.digest").alias("td")), "torn")
+    torn = durable(torn.select(F.col("id").alias("tid"), F.col("least.n").alias("tn"), F.col("least.digest").alias("td")), "torn", of_sketches)
     standing = sketches.join(torn, sketches["id"] == torn["tid"], "left").withColumns({"cn": F.coalesce("tn", "n"), "cd": F.coalesce("td", "digest")}).select("id", "n", "digest", "regs", "cn", "cd")
-    classes = durable(standing.where("n > 0 and id is not null and n = cn and digest = cd").groupBy("cn", "cd").agg(F.min("id").alias("rep")), "classes")
+    classes = durable(standing.where("n > 0 and id is not null and n = cn and digest = cd").groupBy("cn", "cd").agg(F.min("id").alias("rep")), "classes", of_sketches)
     named = standing.join(classes, ["cn", "cd"], "left")
-    reps = durable(named.where("id = rep and n = cn and digest = cd").select("rep", "n", "digest", "regs").dropDuplicates(["rep"]), "reps")
+    reps = durable(named.where("id = rep and n = cn and digest = cd").select("rep", "n", "digest", "regs").dropDuplicates(["rep"]), "reps", of_sketches)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,10 +318,10 @@ def _by_number(slim: DataFrame, shingle: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, k]), pa.array(np.full(len(batch), k, np.int32)), batch.column("rep")], names=["key", "band", "rep"])
 
     in_bands = arrow_map(reps.select("rep", "regs"), banded, "key long, band int, rep long")
-    buckets = durable(in_bands.groupBy("key", "band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"].alias("leader")).where("members > 1"), "buckets")
-    met = durable(in_bands.join(buckets, ["key", "band"]), "met")
+    buckets = durable(in_bands.groupBy("key", "band").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"].alias("leader")).where("members > 1"), "buckets", of_bands)
+    met = durable(in_bands.join(buckets, ["key", "band"]), "met", of_bands)
     best = met.where("rep != leader").groupBy("rep", "leader").count().groupBy("rep").agg(F.max(F.struct("count", "leader"))["leader"].alias("leader"))
-    pairs = durable(best, "pairs")
+    pairs = durable(best, "pairs", of_bands)
     wanted = met.select("rep").distinct().join(reps.select("rep", "digest"), "rep")
 
     def as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,34 +332,36 @@ def _by_number(slim: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     # A repeated row stands once, and of the texts under one id the one whose set stands for the id.
     texts = slim.join(wanted, slim["id"] == wanted["rep"]).select("rep", "digest", "text", F.xxhash64("text").alias("th")).dropDuplicates(["rep", "th"]).drop("th")
-    sets = durable(arrow_map(texts, as_set, "rep long, set binary"), "sets")
+    sets = durable(arrow_map(texts, as_set, "rep long, set binary"), "sets", of_sets)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("set").to_pylist(), batch.column("leader_set").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(_hashes(batch.column("set")), _hashes(batch.column("leader_set"))):
                 both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("rep").filter(keep), batch.column("leader").filter(keep)], names=["a", "b"])
 
     both = pairs.join(sets, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("set").alias("leader_set")), "leader")
-    links = durable(arrow_map(both.select("rep", "leader", "set", "leader_set"), confirmed, "a long, b long"), "confirmed")
-    labels = durable(components(links), "labels")
+    links = durable(arrow_map(both.select("rep", "leader", "set", "leader_set"), confirmed, "a long, b long"), "confirmed", of_sets)
+    labels = durable(components(links), "labels", links.count() * LINK_BYTES)
 
     labelled = met.join(labels, met["rep"] == labels["vertex"], "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("label"))
-    labelled = durable(labelled, "labelled")
+    of_met = met.count() * BAND_BYTES
+    labelled = durable(labelled, "labelled", of_met)
     mixed = durable(
-        labelled.groupBy("key", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("members").alias("members")).where("x != y").select("key", "band", "members"), "mixed"
+        labelled.groupBy("key", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("members").alias("members")).where("x != y").select("key", "band", "members"), "mixed", of_met
     )
-    tasks = _tasks(spark, mixed.agg(F.sum(F.col("members") * F.col("members"))).first()[0])
+    compared = mixed.agg(F.sum(F.col("members") * F.col("members"))).first()[0]
+    tasks, of_pairs = _tasks(spark, compared), (compared or 0) // TASK_PAIRS * FILE_BYTES
     rest = labelled.join(mixed.select("key", "band"), ["key", "band"]).join(reps.select("rep", "n", "regs"), "rep")
     block = ["key", "i", "j"]
-    part = durable(_streamed(_block_pairs(rest, BLOCK), block, tasks, _taking_part(percent), "key long, i int, j int, block int, rep long, label long"), "taking-part")
+    part = durable(_streamed(_block_pairs(rest, BLOCK), block, tasks, _taking_part(percent), "key long, i int, j int, block int, rep long, label long"), "taking-part", max(of_bands, of_pairs))
     loaded = _cut_by_bytes(part.join(reps.select("rep", "n"), "rep"), SET_BYTES).join(sets, "rep")
-    more = durable(_streamed(loaded, [*block, "x", "y"], tasks, _spanning(percent), "a long, b long"), "more-links")
-    final = durable(components(links.union(more)), "components")
+    more = durable(_streamed(loaded, [*block, "x", "y"], tasks, _spanning(percent), "a long, b long"), "more-links", max(part.count() * SET_BYTES // BLOCK, of_pairs))
+    linked = links.union(more)
+    final = durable(components(linked), "components", linked.count() * LINK_BYTES)
     for done in (reps, buckets, met, pairs, sets, links, labels, labelled, mixed, part, more):
         drop_durable(spark, done)
     own = F.col("id").isNotNull()
