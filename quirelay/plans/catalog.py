@@ -370,7 +370,8 @@ _IDS = "list_transform(embedding, lambda v: CAST(floor(abs(v) * 200) AS BIGINT))
 def decode_tokens(spark, sf_dir):
     """T8 with a charset of 26 letters; ids are derived from vectors."""
     charset = F.array(*[F.lit(chr(97 + k)) for k in range(26)])
-    ids = F.transform("embedding", lambda v: F.floor(F.abs(v) * 200))
+    # A float literal: with ANSI rules a float times a whole number would be a double, whose floor may differ from that of the SQL's float.
+    ids = F.transform("embedding", lambda v: F.floor(F.abs(v) * F.lit(200).cast("float")))
     return read(spark, sf_dir, "embeddings").select("vec_id", T.decode_ids(ids, charset).alias("decoded"))
 
 
