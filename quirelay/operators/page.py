@@ -7,58 +7,98 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
 from .blocks import assembled_xml
-from .order import NOTE, sort_page, xy_cut
-
-
-def _places(section: list, pos: list, tag: list, kind: list, x: list, y: list, w: list, h: list, conf: list, smooth: bool, diagonal: float) -> list[tuple]:
-    """(ord, line_pos) of each element of a page, given in the order of emission."""
-    at = [k for k, t in enumerate(tag) if t == "LINE"]
-    rank = dict(zip(at, xy_cut([(x[k], y[k], x[k] + w[k], y[k] + h[k]) for k in at]))) if at else {}
-    nodes: list[dict] = []
-    last = None
-    for k, here in enumerate(zip(section, pos)):
-        line = {"kind": "line", "i": k, "x": x[k], "y": y[k], "w": w[k], "h": h[k], "conf": conf[k], "type": NOTE if kind[k] == NOTE else "", "order": rank.get(k, 0)}
-        if here != last:
-            last = here
-            shape = {"LINE": "line", "TEXTBLOCK": "block"}.get(tag[k], "container")
-            nodes.append(line if shape == "line" else {"kind": shape, "children": [], "x": x[k], "y": y[k], "w": w[k], "h": h[k]})
-        else:
-            nodes[-1]["children"].append(line)
-    place = {n["i"]: k for k, n in enumerate(sort_page(nodes, smooth, diagonal))}
-    return [(rank.get(k), place.get(k)) for k in range(len(tag))]
-
-
-def ordered(elements: DataFrame, width: int, height: int, smooth: bool = True) -> DataFrame:
-    """``elements`` (of :func:`blocks.page_elements`) with ``ord`` and ``line_pos``.
+from .cuts import xy_cuts
+from .order import NOTE, sort_page
+
+#: Elements whose values are Python objects at a time; at least one page.
+ELEMENTS = 50_000
+
+
+def _places(lists: list[pa.Array], smooth: bool, diagonal: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ord, line_pos) of each element of some pages, given in the order of emission; -1 for none."""
+    counts = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False)
+    flat = [c.flatten() for c in lists]
+    ends = np.cumsum(counts)
+    section, pos, x, y, w, h = (flat[k].to_numpy(zero_copy_only=False) for k in (0, 1, 4, 5, 6, 7))
+    is_line, is_block = (pc.equal(flat[2], t).to_numpy(zero_copy_only=False) for t in ("LINE", "TEXTBLOCK"))
+    head = np.ones(len(section), bool)
+    head[1:] = (section[1:] != section[:-1]) | (pos[1:] != pos[:-1])
+    head[(ends - counts)[counts > 0]] = True
+    ord_, line_pos = np.full(len(section), -1, np.int64), np.full(len(section), -1, np.int64)
+    page = np.repeat(np.arange(len(counts)), counts)
+    ord_[is_line] = xy_cuts(np.stack([x, y, x + w, y + h], axis=1)[is_line], np.bincount(page[is_line], minlength=len(counts)))
+    note = pc.fill_null(pc.equal(flat[3], NOTE), False).to_pylist()
+    conf = [None if c is None or c != c else c for c in flat[8].to_pylist()]
+    columns = [v.tolist() for v in (head, is_line, is_block, np.maximum(ord_, 0), x, y, w, h)]
+    begin = 0
+    for end in ends.tolist():
+        nodes: list[dict] = []
+        holder: dict = {}
+        for k, first, line, block, order, a, b, c, d in zip(range(begin, end), *(v[begin:end] for v in columns)):
+            if first and not line:
+                holder = {"kind": "block" if block else "container", "children": [], "x": a, "y": b, "w": c, "h": d}
+                if block:
+                    nodes.append(holder)
+                continue
+            row = {"kind": "line", "i": k, "x": a, "y": b, "w": c, "h": d, "conf": conf[k], "type": NOTE if note[k] else "", "order": order}
+            if first:
+                nodes.append(row)
+                continue
+            if not holder["children"] and holder["kind"] == "container":  # without lines a container has no part in the order
+                nodes.append(holder)
+            holder["children"].append(row)
+        for k, row in enumerate(sort_page(nodes, smooth, diagonal)):
+            line_pos[row["i"]] = k
+        begin = end
+    return ord_, line_pos
+
+
+def placed(lists: DataFrame, width: int, height: int, smooth: bool = True) -> DataFrame:
+    """``lists`` (page_id, elements; see :func:`blocks.element_lists`) with ``places``, an (ord, line_pos) for each element.
 
     ``ord`` is the XY-cut rank of each LINE in document order; ``line_pos`` its place after sorting
     within blocks and on the page, null for lines that were duplicates. Other elements have neither. A page is one row of
-    lists, so a batch of Python's holds many pages; elements that are partitioned by page already aren't shuffled.
+    lists, so a batch of Python's holds many pages; nothing is shuffled or sorted.
     """
-    ship(elements.sparkSession)
+    ship(lists.sparkSession)
     diagonal = math.hypot(width, height) or 1.0
 
-    @F.pandas_udf("array<struct<ord:int,line_pos:int>>")
-    def run(lists: pd.DataFrame) -> pd.Series:
-        out = []
-        for row in lists.itertuples(index=False, name=None):
-            *columns, conf = (c.tolist() if hasattr(c, "tolist") else list(c) for c in row)
-            conf = [None if c is None or c != c else c for c in conf]
-            out.append([{"ord": o, "line_pos": p} for o, p in _places(*columns, conf, smooth, diagonal)])
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<ord:int,line_pos:int>>")
+    def run(section: pa.Array, pos: pa.Array, tag: pa.Array, kind: pa.Array, x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array, conf: pa.Array) -> pa.Array:
+        every = [section, pos, tag, kind, x, y, w, h, conf]
+        counts = pc.list_value_length(section).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(counts)
+        found, k = [], 0
+        while k < len(counts):
+            size = max(1, int(np.searchsorted(ends[k:], (ends[k - 1] if k else 0) + ELEMENTS, "right")))
+            found.append(_places([c.slice(k, size) for c in every], smooth, diagonal))
+            k += size
+        values = [np.concatenate([f[i] for f in found]).astype(np.int32) if found else np.zeros(0, np.int32) for i in (0, 1)]
+        each = pa.StructArray.from_arrays([pa.array(v, pa.int32(), mask=v < 0) for v in values], ["ord", "line_pos"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), each)
+
+    return lists.select("page_id", "elements", run(*[F.col("elements")[c] for c in ("section", "pos", "tag", "type", "x", "y", "w", "h", "conf")]).alias("places"))
 
+
+def ordered_lists(lists: DataFrame, width: int, height: int, smooth: bool = True) -> DataFrame:
+    """The elements of ``lists`` with ``ord`` and ``line_pos`` (see :func:`placed`), a row each."""
+    each = placed(lists, width, height, smooth).select("page_id", F.inline(F.arrays_zip("elements", "places")))
+    return each.select("page_id", "elements.*", "places.*")
+
+
+def ordered(elements: DataFrame, width: int, height: int, smooth: bool = True) -> DataFrame:
+    """:func:`ordered_lists` for ``elements`` of :func:`blocks.page_elements`; those that are partitioned by page already aren't shuffled."""
     first = ["section", "pos", "child"]
     rows = F.array_sort(F.collect_list(F.struct(*first, *[c for c in elements.columns if c not in ("page_id", *first)])))
-    pages = elements.groupBy("page_id").agg(rows.alias("rows"))
-    lists = F.struct(*[F.col("rows")[c].alias(c) for c in ("section", "pos", "tag", "type", "x", "y", "w", "h", "conf")])
-    each = pages.select("page_id", "rows", run(lists).alias("places")).select("page_id", F.inline(F.arrays_zip("rows", "places")))
-    return each.select("page_id", "rows.*", "places.*").select(*elements.columns, "ord", "line_pos")
+    return ordered_lists(elements.groupBy("page_id").agg(rows.alias("elements")), width, height, smooth).select(*elements.columns, "ord", "line_pos")
 
 
 def with_strings(tree: DataFrame, strings: DataFrame | None = None) -> DataFrame:

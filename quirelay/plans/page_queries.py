@@ -195,7 +195,7 @@ WIDTH, HEIGHT = 1000, 1400
 
 
 def tree(spark, sf_dir, smooth=False):
-    return P.ordered(B.page_elements(pages(spark, sf_dir)), WIDTH, HEIGHT, smooth)
+    return P.ordered_lists(B.element_lists(pages(spark, sf_dir)), WIDTH, HEIGHT, smooth)
 
 
 def named_tree(spark, sf_dir):
