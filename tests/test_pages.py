@@ -1,7 +1,10 @@
 """Pages taken together: cuts of many pages at once against single ones, ways against all ways, plans that build a page's elements once."""
 
+import functools
 import random
 import re
+import time
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -33,3 +36,27 @@ def test_elements_are_built_once(spark, tmp_path, name):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\baggregate\(", plan)) == 1  # the fold that merges blocks
     assert "Window" in plan and found.count() == 1
+
+
+def ways(n):
+    """Every way, in the order of trial: single steps before leaps."""
+    every = [(0, *p, n - 1) for p in permutations(range(1, n - 1)) if all(abs(a - b) <= 2 for a, b in zip((0, *p), (*p, n - 1)))]
+    return sorted(every, key=lambda p: [b - a for a, b in zip(p, p[1:])])
+
+
+@pytest.mark.parametrize("n", [3, 4, 7, 9])
+def test_paths_with_equal_ways(n):
+    rng = random.Random(n)
+    every = ways(n)
+    for _ in range(100):
+        w = {(i, j): rng.choice([rng.randrange(3) * 0.1, rng.random()]) if n % 2 else rng.randrange(2) * 0.1 for i in range(n) for j in range(n)}
+        assert O.cheapest_path(n, lambda i, j: w[i, j]) == list(min(every, key=lambda p: functools.reduce(lambda c, e: c + w[e], zip(p, p[1:]), 0.0)))
+
+
+def test_path_through_many_places():
+    """Leaps are cheap, so no way can be given up early; the work must not grow with the number of ways that lead nowhere."""
+    began = time.process_time()
+    for _ in range(100):
+        got = O.cheapest_path(19, lambda i, j: 1.0 if j == i + 1 else 0.01)
+    assert got == [0, *(k for i in range(0, 18, 3) for k in (i + 2, i + 1, i + 3))]
+    assert time.process_time() - began < 3
