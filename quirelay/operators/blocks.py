@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,9 +157,25 @@ def element_xml(tag: Column, attrs: Column, children: Column, indent: int = 0) -
     return F.concat(F.lit(f"{pad}<"), tag, attrs, F.lit(">"), inner, F.lit("</"), tag, F.lit(">"))
 
 
+#: Attributes whose values are numbers: nothing in them is escaped.
+NUMBERS = ("X", "Y", "WIDTH", "HEIGHT", "CONF", "ORDER")
+
+
 def attributes(values: dict[str, Column]) -> Column:
     """`` NAME="value"`` for each value that isn't null, escaped, in the given order."""
-    return F.concat(*[F.coalesce(F.concat(F.lit(f" {k}="), quoted_attribute(v.cast("string"))), F.lit("")) for k, v in values.items()])
+    quoted = lambda k, v: F.concat(F.lit('"'), v, F.lit('"')) if k in NUMBERS else quoted_attribute(v)
+    return F.concat(*[F.coalesce(F.concat(F.lit(f" {k}="), quoted(k, v.cast("string"))), F.lit("")) for k, v in values.items()])
+
+
+def written(e: Callable[[str], Column], more: dict[str, Column]) -> tuple[Column, Column]:
+    """(attributes, shape) of an element with the fields ``e``; ``more`` are attributes after the common ones. Only text blocks have a shape."""
+    x, y, w, h = (e(c) for c in "xywh")
+    common = {"TYPE": e("type"), "X": x, "Y": y, "WIDTH": w, "HEIGHT": h, "CONF": fixed3_text(e("conf")), **more}
+    attrs = F.when(e("tag") == "TEXTBLOCK", attributes({"CONF": common["CONF"]})).otherwise(attributes(common))
+    points = F.concat_ws(",", *[c.cast("string") for c in (x, y, x + w, y, x + w, y + h, x, y + h)])
+    none = F.array().cast("array<string>")
+    polygon = element_xml(F.lit("POLYGON"), F.concat(F.lit(' POINTS="'), points, F.lit('"')), none, 3)
+    return attrs, F.when(e("tag") == "TEXTBLOCK", element_xml(F.lit("SHAPE"), F.lit(""), F.array(polygon), 2))
 
 
 def assembled_xml(elements: DataFrame, width: int, height: int, more: dict[str, Column], order: Column, place: Column, shape_last: bool = False) -> DataFrame:
@@ -167,13 +185,8 @@ def assembled_xml(elements: DataFrame, width: int, height: int, more: dict[str,
     ``place`` sorts the elements of a page by their ``head`` and their ``lines`` and drops those where it is null. ``elements``
     should be partitioned by page, as :func:`page_elements` leaves them: then nothing is shuffled. A page is the largest group.
     """
-    x, y, w, h = (F.col(c) for c in "xywh")
-    common = {"TYPE": F.col("type"), "X": x, "Y": y, "WIDTH": w, "HEIGHT": h, "CONF": fixed3_text(F.col("conf")), **more}
-    attrs = F.when(F.col("tag") == "TEXTBLOCK", attributes({"CONF": common["CONF"]})).otherwise(attributes(common))
-    points = F.concat_ws(",", *[c.cast("string") for c in (x, y, x + w, y, x + w, y + h, x, y + h)])
+    attrs, shape = written(F.col, more)
     none = F.array().cast("array<string>")
-    polygon = element_xml(F.lit("POLYGON"), F.concat(F.lit(' POINTS="'), points, F.lit('"')), none, 3)
-    shape = F.when(F.col("tag") == "TEXTBLOCK", element_xml(F.lit("SHAPE"), F.lit(""), F.array(polygon), 2))
     rows = elements.select("page_id", "section", "pos", "child", "tag", attrs.alias("attrs"), shape.alias("shape"), order.alias("order"))
     nodes = rows.groupBy("page_id", "section", "pos").agg(
         F.max(F.when(F.col("child") == 0, F.struct("tag", "attrs", "shape", "order"))).alias("head"),

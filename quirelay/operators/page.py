@@ -6,15 +6,16 @@ Nothing here sees two pages together.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .blocks import assembled_xml
+from .blocks import element_xml, written
 from .cuts import xy_cuts
 from .order import NOTE, sort_page
 
@@ -85,7 +86,8 @@ def placed(lists: DataFrame, width: int, height: int, smooth: bool = True) -> Da
         each = pa.StructArray.from_arrays([pa.array(v, pa.int32(), mask=v < 0) for v in values], ["ord", "line_pos"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), each)
 
-    return lists.select("page_id", "elements", run(*[F.col("elements")[c] for c in ("section", "pos", "tag", "type", "x", "y", "w", "h", "conf")]).alias("places"))
+    # Told to be nondeterministic, so that filters on its result aren't moved below it with all that it is made from.
+    return lists.select("page_id", "elements", run.asNondeterministic()(*[F.col("elements")[c] for c in ("section", "pos", "tag", "type", "x", "y", "w", "h", "conf")]).alias("places"))
 
 
 def ordered_lists(lists: DataFrame, width: int, height: int, smooth: bool = True) -> DataFrame:
@@ -96,30 +98,89 @@ def ordered_lists(lists: DataFrame, width: int, height: int, smooth: bool = True
 
 def ordered(elements: DataFrame, width: int, height: int, smooth: bool = True) -> DataFrame:
     """:func:`ordered_lists` for ``elements`` of :func:`blocks.page_elements`; those that are partitioned by page already aren't shuffled."""
-    first = ["section", "pos", "child"]
-    rows = F.array_sort(F.collect_list(F.struct(*first, *[c for c in elements.columns if c not in ("page_id", *first)])))
-    return ordered_lists(elements.groupBy("page_id").agg(rows.alias("elements")), width, height, smooth).select(*elements.columns, "ord", "line_pos")
+    return ordered_lists(_sorted_lists(elements), width, height, smooth).select(*elements.columns, "ord", "line_pos")
 
 
 def with_strings(tree: DataFrame, strings: DataFrame | None = None) -> DataFrame:
     """``string`` of each LINE from (page_id, det_idx, string), or from the column the elements carry; lines without area have ''."""
-    text = F.when((F.col("w") <= 0) | (F.col("h") <= 0), F.lit("")).otherwise(F.col("string"))
     named = tree if strings is None else tree.join(strings.select("page_id", "det_idx", "string"), ["page_id", "det_idx"], "left")
-    return named.withColumn("string", F.when(F.col("tag") == "LINE", text))
+    return named.withColumn("string", F.when(F.col("tag") == "LINE", _string(F.col)))
+
+
+def _string(e: Callable[[str], Column]) -> Column:
+    return F.when((e("w") <= 0) | (e("h") <= 0), F.lit("")).otherwise(e("string"))
+
+
+def _sorted_lists(tree: DataFrame) -> DataFrame:
+    """The rows of a page as one list ``elements``, in the order of emission."""
+    first = ["section", "pos", "child"]
+    row = F.struct(*first, *[c for c in tree.columns if c not in ("page_id", *first)])
+    return tree.groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("elements"))
+
+
+def _named(pages: DataFrame) -> DataFrame:
+    """``elements`` of :func:`placed` with their places and, of each LINE, the ``string`` that the elements carry."""
+    fields = [f.name for f in pages.schema["elements"].dataType.elementType if f.name != "string"]
+
+    def row(v: Column) -> Column:
+        e, p = v["elements"], v["places"]
+        return F.struct(*[e[c].alias(c) for c in fields], p["ord"].alias("ord"), p["line_pos"].alias("line_pos"), F.when(e["tag"] == "LINE", _string(lambda c: e[c])).alias("string"))
+
+    return pages.select("page_id", F.transform(F.arrays_zip("elements", "places"), row).alias("elements"))
+
+
+def _texts(lists: DataFrame) -> DataFrame:
+    with_place = F.filter("elements", lambda e: e["line_pos"].isNotNull())
+    lines = F.array_sort(F.transform(with_place, lambda e: F.struct(e["line_pos"].alias("line_pos"), F.coalesce(e["string"], F.lit("")).alias("s"))))
+    return lists.select("page_id", lines.alias("l")).select("page_id", F.array_join(F.transform("l", lambda x: x["s"]), "\n").alias("text"), F.size("l").alias("n_lines"))
 
 
 def page_texts(tree: DataFrame) -> DataFrame:
     """One row for each page with lines: text (lines in reading order) and number of lines."""
-    lines = F.array_sort(F.collect_list(F.struct("line_pos", F.coalesce("string", F.lit("")).alias("s"))))
-    return tree.where("line_pos is not null").groupBy("page_id").agg(lines.alias("l")).select("page_id", F.array_join(F.transform("l", lambda x: x["s"]), "\n").alias("text"), F.size("l").alias("n_lines"))
+    return _texts(_sorted_lists(tree.where("line_pos is not null").select("page_id", "section", "pos", "child", "line_pos", "string")))
+
+
+def placed_texts(pages: DataFrame) -> DataFrame:
+    """:func:`page_texts` for pages of :func:`placed` whose elements carry a ``string``; no page is taken apart."""
+    return _texts(_named(pages.where(F.exists("places", lambda p: p["line_pos"].isNotNull()))))
 
 
 def sorted_xml(tree: DataFrame, width: int, height: int) -> DataFrame:
     """One XML text for each page: blocks and lines in reading order with ORDER and STRING, then containers as emitted."""
-    line = F.col("tag") == "LINE"
-    more = {"ORDER": F.when(line, F.col("ord")), "STRING": F.when(line, F.col("string"))}
-    tag, first = F.col("head.tag"), F.col("head.order")
-    begin = F.when(tag == "LINE", first).otherwise(F.coalesce(F.try_element_at("lines", F.lit(1))["order"], F.lit(-1)))
-    # Single lines that were duplicates have no place; elements without lines come first, in the order of emission.
-    place = F.when((tag != "LINE") | first.isNotNull(), F.struct((tag == "BLOCK").alias("last"), F.when(tag == "BLOCK", 0).otherwise(begin).alias("begin"), "section", "pos"))
-    return assembled_xml(tree.repartition("page_id"), width, height, more, F.col("line_pos"), place, shape_last=True)
+    return _xml(_sorted_lists(tree), width, height)
+
+
+def placed_xml(pages: DataFrame, width: int, height: int) -> DataFrame:
+    """:func:`sorted_xml` for pages of :func:`placed` whose elements carry a ``string``; no page is taken apart."""
+    return _xml(_named(pages.where(F.size("places") > 0)), width, height)
+
+
+def _xml(lists: DataFrame, width: int, height: int) -> DataFrame:
+    """The XML of lists that have an element at least. The lines of an element follow it, so they are a slice of the list."""
+    none = F.array().cast("array<string>")
+
+    def row(e: Column) -> Column:
+        line = e["tag"] == "LINE"
+        attrs, shape = written(lambda c: e[c], {"ORDER": F.when(line, e["ord"]), "STRING": F.when(line, e["string"])})
+        return F.struct(*[e[c].alias(c) for c in ("section", "pos", "child", "tag")], attrs.alias("attrs"), shape.alias("shape"), e["line_pos"].alias("order"))
+
+    heads = F.filter(F.transform("rows", lambda e, i: F.when(e["child"] == 0, i)), lambda i: i.isNotNull())
+
+    def node(i: Column, k: Column) -> Column:
+        inner = F.slice("rows", i + 2, F.coalesce(F.get("heads", k + 1), F.size("rows")) - i - 1)
+        lines = F.transform(F.filter(inner, lambda e: e["order"].isNotNull()), lambda e: F.struct(e["order"].alias("order"), element_xml(F.lit("LINE"), e["attrs"], none, 2).alias("xml")))
+        return F.struct(F.get("rows", i).alias("head"), F.array_sort(lines).alias("lines"))
+
+    def part(n: Column) -> Column:
+        head, lines = n["head"], n["lines"]
+        tag, first, block = head["tag"], head["order"], head["tag"] == "BLOCK"
+        begin = F.when(tag == "LINE", first).otherwise(F.coalesce(F.get(lines, F.lit(0))["order"], F.lit(-1)))
+        # Single lines that were duplicates have no place; elements without lines come first, in the order of emission.
+        place = F.when((tag != "LINE") | first.isNotNull(), F.struct(block.alias("last"), F.when(block, 0).otherwise(begin).alias("begin"), head["section"].alias("section"), head["pos"].alias("pos")))
+        shapes = F.when(head["shape"].isNotNull(), F.array(head["shape"])).otherwise(none)
+        return F.struct(place.alias("place"), head.alias("head"), F.concat(F.transform(lines, lambda v: v["xml"]), shapes).alias("inner"))
+
+    nodes = lists.select("page_id", F.transform("elements", row).alias("rows")).select("page_id", "rows", heads.alias("heads")).select("page_id", F.transform("heads", node).alias("nodes"))
+    kept = F.array_sort(F.filter(F.transform("nodes", part), lambda p: p["place"].isNotNull()))
+    parts = nodes.select("page_id", F.transform(kept, lambda p: element_xml(p["head"]["tag"], p["head"]["attrs"], p["inner"], 1)).alias("parts"))
+    return parts.select("page_id", element_xml(F.lit("PAGE"), F.lit(f' WIDTH="{width}" HEIGHT="{height}"'), F.col("parts")).alias("xml"))

@@ -198,10 +198,10 @@ def tree(spark, sf_dir, smooth=False):
     return P.ordered_lists(B.element_lists(pages(spark, sf_dir)), WIDTH, HEIGHT, smooth)
 
 
-def named_tree(spark, sf_dir):
-    """The smoothed tree with a stand-in for recognised texts: the numbers of detections."""
+def named_pages(spark, sf_dir):
+    """Smoothed pages with a stand-in for recognised texts: the numbers of detections."""
     named = pages(spark, sf_dir).withColumn("string", F.concat(F.lit("line "), F.col("det_idx").cast("string")))
-    return P.with_strings(P.ordered(B.page_elements(named, carry=("string",)), WIDTH, HEIGHT, True))
+    return P.placed(B.element_lists(named, carry=("string",)), WIDTH, HEIGHT, True)
 
 
 @query()
@@ -219,13 +219,13 @@ def smooth_order(spark, sf_dir):
 @query()
 def page_chain_text(spark, sf_dir):
     """Detections to text: G2, G5, G7, G9, J5, T8's result, A11, A12."""
-    return P.page_texts(named_tree(spark, sf_dir))
+    return P.placed_texts(named_pages(spark, sf_dir))
 
 
 @query()
 def page_chain_xml(spark, sf_dir):
     """Detections to XML with ORDER and STRING: K2, M4, G2 to G9."""
-    return P.sorted_xml(named_tree(spark, sf_dir), WIDTH, HEIGHT)
+    return P.placed_xml(named_pages(spark, sf_dir), WIDTH, HEIGHT)
 
 
 #: Lines with their first container; the text blocks of a page as one list, merged child by child (``merged``); every element (``elements``).

@@ -60,3 +60,16 @@ def test_path_through_many_places():
         got = O.cheapest_path(19, lambda i, j: 1.0 if j == i + 1 else 0.01)
     assert got == [0, *(k for i in range(0, 18, 3) for k in (i + 2, i + 1, i + 3))]
     assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("name", ["page_chain_text", "page_chain_xml"])
+def test_chains_keep_pages_whole(spark, tmp_path, name):
+    """A page is put together once, after one shuffle, and stays one list; a page without elements has no row."""
+    rows = [f"({8 * k}L, {part}L, 1L, 1, 1.0D, 1.0D, {tenths}D, 0.1D, 'N', 'O', timestamp'2020-01-01')" for k, part, tenths in ((0, 1, 0.1), (0, 17, 0.1), (1, 1, 0.0), (2, 8, 0.1))]
+    spark.sql(f"select * from values {', '.join(rows)} as t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.queries()[name](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\baggregate\(", plan)) == 1 and plan.count("Aggregate [") == 1 and plan.count("Repartition") == 1 and "Generate" not in plan
+    got = {r["page_id"]: r[1] for r in found.collect()}
+    assert sorted(got) == ([0, 2] if name == "page_chain_xml" else [0])  # page 2 has no line, page 1 nothing of enough score
+    assert "line 0" in got[0]
