@@ -191,10 +191,11 @@ def fixed3_text(x: Column) -> Column:
 
 def quoted_attribute(text: Column) -> Column:
     """An XML attribute's value in quotation marks: single ones if it holds double ones alone."""
+    double, single = F.lit('"'), F.lit("'")
+    plain = F.concat(double, text, double), ~F.rlike(text, F.lit('[&<>\n\r\t"]'))  # most values, for which the many replacements are left out
     for sign, name in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
         text = F.replace(text, F.lit(sign), F.lit(name))
-    double, single = F.lit('"'), F.lit("'")
-    return F.when(F.contains(text, double) & ~F.contains(text, single), F.concat(single, text, single)).otherwise(F.concat(double, F.replace(text, double, F.lit("&quot;")), double))
+    return F.when(plain[1], plain[0]).when(F.contains(text, double) & ~F.contains(text, single), F.concat(single, text, single)).otherwise(F.concat(double, F.replace(text, double, F.lit("&quot;")), double))
 
 
 def parse_int(text: Column) -> Column:

@@ -131,7 +131,7 @@ def _named(pages: DataFrame) -> DataFrame:
 
 def _texts(lists: DataFrame) -> DataFrame:
     with_place = F.filter("elements", lambda e: e["line_pos"].isNotNull())
-    lines = F.array_sort(F.transform(with_place, lambda e: F.struct(e["line_pos"].alias("line_pos"), F.coalesce(e["string"], F.lit("")).alias("s"))))
+    lines = F.sort_array(F.transform(with_place, lambda e: F.struct(e["line_pos"].alias("line_pos"), F.coalesce(e["string"], F.lit("")).alias("s"))))
     return lists.select("page_id", lines.alias("l")).select("page_id", F.array_join(F.transform("l", lambda x: x["s"]), "\n").alias("text"), F.size("l").alias("n_lines"))
 
 
@@ -156,7 +156,7 @@ def placed_xml(pages: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def _xml(lists: DataFrame, width: int, height: int) -> DataFrame:
-    """The XML of lists that have an element at least. The lines of an element follow it, so they are a slice of the list."""
+    """The XML of lists that have an element at least. The lines of an element follow it, up to the next element."""
     none = F.array().cast("array<string>")
 
     def row(e: Column) -> Column:
@@ -167,9 +167,11 @@ def _xml(lists: DataFrame, width: int, height: int) -> DataFrame:
     heads = F.filter(F.transform("rows", lambda e, i: F.when(e["child"] == 0, i)), lambda i: i.isNotNull())
 
     def node(i: Column, k: Column) -> Column:
-        inner = F.slice("rows", i + 2, F.coalesce(F.get("heads", k + 1), F.size("rows")) - i - 1)
+        # By single places: a slice would copy the whole list for each element.
+        last = F.coalesce(F.get("heads", k + 1), F.size("rows")) - 1
+        inner = F.when(last > i, F.transform(F.sequence(i + 1, last), lambda j: F.get("rows", j))).otherwise(F.filter(F.array(F.get("rows", i)), lambda e: F.lit(False)))
         lines = F.transform(F.filter(inner, lambda e: e["order"].isNotNull()), lambda e: F.struct(e["order"].alias("order"), element_xml(F.lit("LINE"), e["attrs"], none, 2).alias("xml")))
-        return F.struct(F.get("rows", i).alias("head"), F.array_sort(lines).alias("lines"))
+        return F.struct(F.get("rows", i).alias("head"), F.sort_array(lines).alias("lines"))
 
     def part(n: Column) -> Column:
         head, lines = n["head"], n["lines"]
@@ -181,6 +183,7 @@ def _xml(lists: DataFrame, width: int, height: int) -> DataFrame:
         return F.struct(place.alias("place"), head.alias("head"), F.concat(F.transform(lines, lambda v: v["xml"]), shapes).alias("inner"))
 
     nodes = lists.select("page_id", F.transform("elements", row).alias("rows")).select("page_id", "rows", heads.alias("heads")).select("page_id", F.transform("heads", node).alias("nodes"))
-    kept = F.array_sort(F.filter(F.transform("nodes", part), lambda p: p["place"].isNotNull()))
+    # sort_array compares natively, array_sort by a lambda function.
+    kept = F.sort_array(F.filter(F.transform("nodes", part), lambda p: p["place"].isNotNull()))
     parts = nodes.select("page_id", F.transform(kept, lambda p: element_xml(p["head"]["tag"], p["head"]["attrs"], p["inner"], 1)).alias("parts"))
     return parts.select("page_id", element_xml(F.lit("PAGE"), F.lit(f' WIDTH="{width}" HEIGHT="{height}"'), F.col("parts")).alias("xml"))
